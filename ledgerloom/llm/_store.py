@@ -1,0 +1,36 @@
+"""Tables written between steps, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        held = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", held)
+    return held.rstrip("/")
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows as a table in the shared folder and reads it back.
+
+    This cuts the lineage: what follows survives the loss of any executor and
+    repeats none of the work before. `sweep` removes the tables of a session.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the session's tables; results not yet written can no longer be read."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerloom/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
