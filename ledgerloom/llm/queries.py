@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, substring_dedup
+from ledgerloom.llm import decontaminate, line_dedup, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,28 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), carry=False).drop("source")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+    return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_substring_dedup": op3_substring_dedup}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op5_mixing": op5_mixing,
+        "op9_line_dedup": op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op5_mixing": mixing.ORACLE,
+        "op9_line_dedup": line_dedup.ORACLE,
+    }
