@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, line_dedup, mixing, substring_dedup
+from ledgerloom.llm import decontaminate, line_dedup, mixing, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), carry=False).drop("source")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
     return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_mixing": op5_mixing,
+        "op7_quality_rules": op7_quality_rules,
         "op9_line_dedup": op9_line_dedup,
     }
 
@@ -45,5 +50,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op5_mixing": mixing.ORACLE,
+        "op7_quality_rules": quality_rules.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
     }
