@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, line_dedup, mixing, quality_rules, substring_dedup
+from ledgerloom.llm import _labelled, decontaminate, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(hits)
 
 
+def _predicted(scores: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    held_out = F.coalesce(_labelled.fold(F.col("doc_id"), folds) == held, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    return _predicted(quality_classifier.score(docs, model), quality_classifier.LEARN_FOLDS, 0, quality_classifier.THRESHOLD)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -30,6 +41,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.score(docs, model), toxicity.LEARN_FOLDS, toxicity.HELD_FOLD, toxicity.THRESHOLD)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
     return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -38,9 +55,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_mixing": op5_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
     }
 
