@@ -127,10 +127,16 @@ def split(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES,
     ends[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     counts = np.diff(np.searchsorted(start, offsets))
+    return Words(data, range_hashes(data, start, end), start, end, counts)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes in each range."""
+    n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * _power(int(_MULT), n), out=total[1:])
-    hashes = (total[end] - total[start]) * _power(_INV, n)[start]
-    return Words(data, mix(hashes + (end - start).astype(np.uint64) * _STEP), start, end, counts)
+    hashes = (total[end] - total[start]) * _power(_INV, n)[np.minimum(start, n - 1)] if n else total[end]
+    return mix(hashes + (end - start).astype(np.uint64) * _STEP)
 
 
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:

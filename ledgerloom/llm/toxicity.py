@@ -1,6 +1,7 @@
 """Toxicity: a counterfactually regularised linear classifier.
 
-Texts are sets of lower-cased words. Words that tell the labels apart are
+Texts are sets of lower-cased words and of the first bytes of longer words, so that
+inflected forms share a feature. Those that tell the labels apart are
 selected by their counts in a bounded sample of labelled rows; the identity
 terms (names of groups of people) are always among them. In each labelled text
 with an identity term, the terms are swapped for others of their kind, and the
@@ -27,6 +28,8 @@ from ledgerloom.llm import _labelled, _text as X
 
 #: Words selected by the labels, at most; texts of the sample that hold a selected word, at least.
 MAX_WORDS, MIN_TEXTS = 512, 5
+#: Bytes of the stems that are features beside the whole words.
+STEMS = (4, 6)
 L2, FAIR = 0.3, 10.0
 THRESHOLD = 0.7
 LEARN_FOLDS, HELD_FOLD = 3, 1
@@ -56,7 +59,7 @@ def _pairs(column: pa.Array, known: np.ndarray | None) -> Iterator[tuple[np.ndar
     """(row, word) of the distinct words of each text: the hash, or the place in the sorted array `known`."""
     for a, _, raw, offsets in X.pieces(column):
         words = X.split(raw, offsets, X.NOT_ALNUM, lower=True)
-        row, h = words.text_of, words.hashes
+        row, h = _features(words)
         if known is not None:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[at] == h
@@ -68,6 +71,18 @@ def _pairs(column: pa.Array, known: np.ndarray | None) -> Iterator[tuple[np.ndar
         yield a + row[new], h[new]
 
 
+def _features(words: X.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word and of the stems of longer words."""
+    rows, hashes = [words.text_of], [words.hashes]
+    for length in STEMS:
+        long = np.flatnonzero(words.end - words.start > length)
+        if len(long):
+            start = words.start[long]
+            rows.append(rows[0][long])
+            hashes.append(X.mix(X.range_hashes(words.data, start, start + length) + np.uint64(length)))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 @dataclass
 class Linear:
     """Sorted word hashes with weights; the offset is that of a text without any of them."""
