@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import _labelled, decontaminate, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import _labelled, decontaminate, license_scan, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
+        "op10_license_scan": op10_license_scan,
     }
 
 
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
+        "op10_license_scan": license_scan.ORACLE,
     }
