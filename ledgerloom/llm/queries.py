@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import _labelled, decontaminate, license_scan, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import _labelled, decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), carry=False).drop("source")
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_mixing": op5_mixing,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
@@ -73,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_substring_dedup": substring_dedup.ORACLE,
+        "op4_jaccard_join": jaccard_join.ORACLE,
         "op5_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
