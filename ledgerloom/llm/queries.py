@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import _labelled, decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import _labelled, decontaminate, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), carry=False).drop("source")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_mixing": op5_mixing,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
