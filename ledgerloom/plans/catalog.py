@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.plans import pages, postings, runs
+
+_ALL = pages.QUERIES | postings.QUERIES | runs.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL exists for all queries but those that read HTML as a tree, iterate, or compare fuzzily."""
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
