@@ -50,9 +50,10 @@ IDENTITIES = (
 )
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    raw = " ".join(words).encode()
-    return X.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), X.NOT_ALNUM, lower=True).hashes
+def _made(term: str) -> np.ndarray:
+    """The features of a word: its own first."""
+    raw = term.encode()
+    return _features(X.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), X.NOT_ALNUM, lower=True))[1]
 
 
 def _pairs(column: pa.Array, known: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -99,27 +100,32 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def swapped(x: np.ndarray, kinds: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x with an identity term, and these rows with every term replaced by the next of its kind."""
-    terms = [t for kind in kinds for t in kind]
-    rows = np.flatnonzero(x[:, terms].any(1)) if terms else np.zeros(0, int)
-    other = x[rows].copy()
+@dataclass
+class Kind:
+    """The places of a kind's terms among the features, and for each term the features that it makes (itself and its stems)."""
+
+    terms: np.ndarray
+    makes: np.ndarray
+
+
+def swap_changes(x: np.ndarray, kinds: list[Kind], turn: int) -> np.ndarray:
+    """Of the rows with an identity term, the features lost less those gained when each term becomes the turn-th after it of its kind."""
+    change = np.zeros_like(x)
     for kind in kinds:
-        other[:, kind] = np.roll(x[np.ix_(rows, kind)], 1, axis=1)
-    return x[rows], other
+        if turn % len(kind.terms):
+            change += x[:, kind.terms] @ (kind.makes - np.roll(kind.makes, -turn, axis=0))
+    return change[np.abs(change).any(1)]
 
 
-def fit_matrix(x: np.ndarray, y: np.ndarray, kinds: list[list[int]], l2: float = L2, fair: float = FAIR) -> tuple[np.ndarray, float]:
+def fit_matrix(x: np.ndarray, y: np.ndarray, kinds: list[Kind], l2: float = L2, fair: float = FAIR) -> tuple[np.ndarray, float]:
     """Weights and offset that minimise log loss + l2 |w|^2 / 2 + fair times the mean squared change under swaps, by Newton steps."""
     n, k = x.shape
     design, at = np.hstack([x, np.ones((n, 1))]), np.zeros(k + 1)
     ridge = np.diag([l2] * k + [1e-6])
-    for turn in range(max((len(kind) for kind in kinds), default=1) - 1):
-        rolled = [list(np.roll(kind, turn)) if turn < len(kind) else kind for kind in kinds]
-        a, b = swapped(x, rolled)
-        if len(a):
-            d = np.hstack([a - b, np.zeros((len(a), 1))])
-            ridge += 2 * fair * n / len(a) * (d.T @ d) / max(1, k)
+    for turn in range(1, max((len(kind.terms) for kind in kinds), default=1)):
+        change = swap_changes(x, kinds, turn)
+        if len(change):
+            ridge[:-1, :-1] += 2 * fair * n / len(change) * (change.T @ change)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(design @ at, -500, 500)))
         slope = design.T @ (p - y) + ridge @ at
@@ -154,9 +160,9 @@ def fit(
     base = ones / n
     apart = F.abs(F.col("a") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
     told = [r.h for r in counts.orderBy(apart.desc(), "h").limit(max_words).select("h").collect()]
-    own = [_hash(list(kind)) for kind in identities]
-    words = np.unique(np.concatenate([X.unsigned(np.array(told, np.int64)), *own]))
-    kinds = [[int(i) for i in np.searchsorted(words, kind)] for kind in own]
+    made = [[_made(term) for term in kind] for kind in identities]
+    words = np.unique(np.concatenate([X.unsigned(np.array(told, np.int64)), *(m for kind in made for m in kind)]))
+    kinds = [Kind(np.searchsorted(words, [m[0] for m in kind]), np.array([np.isin(words, m) for m in kind], float)) for kind in made]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
