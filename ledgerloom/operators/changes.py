@@ -31,7 +31,6 @@ def diff_pages(current: DataFrame, previous: DataFrame, *, key: str = "key", con
     rows = current.groupBy(F.col(key)).agg(F.min_by(F.struct(*[F.col(c) for c in current.columns]), pos).alias("_row")).select("_row.*")
     old = previous.select(F.col(key).alias("_key"), F.col(content).alias("_content"))
     joined = rows.join(old, F.col(key) == F.col("_key"), "left")
-    same = joined.where(F.col("_key").isNotNull() & F.col(content).eqNullSafe(F.col("_content")))  # noqa: F841
     changed = joined.where(F.col("_key").isNotNull() & ~F.col(content).eqNullSafe(F.col("_content"))).select(*current.columns, F.lit("UPDATED").alias("status"))
     fresh = diff(rows, previous, key=key, moved=moved, pos=pos).where("status <> 'ACTIVE'")
     return changed.unionByName(fresh)

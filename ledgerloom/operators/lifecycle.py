@@ -22,9 +22,8 @@ def advance(state: DataFrame, current: DataFrame, evaluated: DataFrame | None, n
     rows = state.join(new, F.col("hash") == F.col("_hash"), "full_outer")
     if evaluated is not None:
         seen = evaluated.select(F.col("source_url").alias("_site")).distinct()
-        sites = seen.agg(F.count(F.lit(1)).alias("_sites"))
-        rows = rows.join(seen, F.col("source_url") == F.col("_site"), "left").join(F.broadcast(sites), how="cross")
-        waits = (F.col("_sites") > 0) & (F.coalesce("source_url", F.lit("")) != "") & F.col("_site").isNull()
+        rows = rows.join(seen, F.col("source_url") == F.col("_site"), "left")
+        waits = F.lit(not seen.isEmpty()) & (F.coalesce("source_url", F.lit("")) != "") & F.col("_site").isNull()
     else:
         waits = F.lit(False)
     here, closed = F.col("_hash").isNotNull(), F.col("status") == "CLOSED"

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions import fixed, scores, text as T, urls as U
 from ledgerloom.functions.fuzzy import partial_ratio, token_set_ratio
 
-#: Roles or filters in one broadcast side of a cross join, at most.
-MAX_ROLES = 10_000
+#: Target roles, or role vectors broadcast, at most.
+MAX_ROLES = 1_000
 
 
 def exclusion(title: Column, description: Column) -> Column:
@@ -99,16 +99,17 @@ def non_job_page(url: Column, title: Column) -> Column:
     return T.has_part(both, fixed.NON_JOB_PAGE) & ~T.has_part(both, fixed.JOB_PAGE)
 
 
-def _roles(spark, roles: Sequence[str]) -> DataFrame:
-    """The roles with the normalised titles that count as a synonym of each; a small side by construction."""
+def _roles(roles: Sequence[str]) -> Column:
+    """The roles with the normalised titles that count as a synonym of each, as an array of literals."""
     if len(roles) > MAX_ROLES:
         raise ValueError(f"at most {MAX_ROLES} roles")
     plain = lambda s: " ".join("".join(ch if ch.isalnum() or ch in "_ " else " " for ch in s.lower()).split())
     rows = []
     for at, role in enumerate(roles):
         variants = {v for head, others in fixed.ROLE_SYNONYMS.items() if plain(role) in {plain(head), *map(plain, others)} for v in map(plain, (head, *others))}
-        rows.append((at, role, plain(role), sorted(variants)))
-    return F.broadcast(spark.createDataFrame(rows, "role_pos int, role string, role_norm string, variants array<string>"))
+        same = F.array(*[F.lit(v) for v in sorted(variants)]).cast("array<string>")
+        rows.append(F.struct(F.lit(at).alias("role_pos"), F.lit(role).alias("role"), F.lit(plain(role)).alias("role_norm"), same.alias("variants")))
+    return F.array(*rows)
 
 
 def match_roles(
@@ -125,7 +126,7 @@ def match_roles(
     gate = gate & strict_policy(t) if strict else gate
     gate = gate & ~senior_role(t, d) if exclude_senior else gate
     titles = df.where(gate).select(T.match_title(t).alias("title_norm")).distinct()
-    pairs = titles.crossJoin(_roles(df.sparkSession, roles))
+    pairs = titles.select("title_norm", F.explode(_roles(roles)).alias("r")).select("title_norm", "r.*")
     ratio = token_set_ratio("title_norm", "role_norm") if fuzzy else F.lit(0)
     pairs = pairs.withColumn("ratio", ratio)
     part = F.contains("title_norm", "role_norm")
@@ -158,9 +159,11 @@ def semantic_gate(vectors: DataFrame, roles: DataFrame, *, threshold: float = 0.
     """Per id: best (highest cosine with a role vector) and passes; a missing vector passes. Roles are a small side."""
     if roles.limit(MAX_ROLES + 1).count() > MAX_ROLES:
         raise ValueError(f"at most {MAX_ROLES} role vectors")
-    side = roles.select(F.col(vector).alias("_role"))
-    scored = vectors.select(ident, vector).join(F.broadcast(side), how="cross").groupBy(ident).agg(F.max(scores.cosine(F.col(vector), F.col("_role"))).alias("best"), F.max(F.col(vector).isNull()).alias("_none"))
-    return scored.select(ident, F.when(~F.col("_none"), F.col("best")).alias("best"), (F.col("_none") | (F.col("best") >= threshold)).alias("passes"))
+    side = roles.agg(F.collect_list(vector).alias("_roles"))  # one bounded row beside each vector: no shuffle
+    own = F.col(vector)
+    best = F.array_max(F.transform("_roles", lambda r: scores.cosine(own, r)))
+    scored = vectors.select(ident, vector).join(F.broadcast(side)).select(ident, F.when(own.isNotNull(), best).alias("best"), own.isNull().alias("_none"))
+    return scored.select(ident, "best", (F.col("_none") | (F.col("best") >= threshold)).alias("passes"))
 
 
 def target_title(title: Column, targets: Sequence[str]) -> Column:

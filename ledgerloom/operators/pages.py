@@ -34,8 +34,8 @@ def pagination_links(pages: DataFrame, *, url: str = "url", html: str = "html",
 def crawl(seeds: DataFrame, edges: DataFrame, *, rounds: int, most: int) -> DataFrame:
     """url and depth of the pages reached from the seeds(url) over edges(url, link), at most `most` a round.
 
-    Each round joins the frontier with the edges and drops what was seen before;
-    the pages seen are checkpointed so that plans stay short.
+    Each round joins the frontier with the edges and drops what was seen before. The
+    bounds are part of the operator: rounds is small, and each round's pages are taken in order of their URLs.
     """
     frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     seen = frontier

@@ -6,22 +6,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, text as T, urls as U
 
-#: Rows of each of titles, locations and companies in a plan, at most.
-MAX_TERMS = 100_000
-
 
 def query_plan(titles: DataFrame, locations: DataFrame, companies: DataFrame, *, budget: int, company_budget: int = 4) -> DataFrame:
     """step, query, location, source and company of the searches to run.
 
-    Each input has value and pos. Titles and locations meet in a cross join that
-    is cut to the first `budget` titles first: each gives at least one search.
+    Each input has value and pos. Every title gives a search per location, so no more
+    than the first `budget` of either can take part, and only these meet.
     """
     none = F.lit("")
     named = companies.where(F.trim("value") != "").select(F.concat("value", F.lit(" careers jobs")).alias("query"), none.alias("location"), F.lit("COMPANY").alias("source"), F.col("value").alias("company"), F.lit(0).alias("phase"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     first = lambda df: df.groupBy(F.lower(F.trim("query")).alias("q"), F.lower(F.trim("location")).alias("l")).agg(F.min_by(F.struct(*df.columns), F.struct("phase", "a", "b")).alias("r")).select("r.*")
     own = first(named).orderBy("a").limit(min(company_budget, budget))
     distinct = titles.groupBy(F.lower(F.trim("value")).alias("_k")).agg(F.min_by(F.struct("value", "pos"), "pos").alias("r")).select("r.*").orderBy("pos").limit(budget)
-    places = locations.where(F.trim("value") != "").select(F.trim("value").alias("location"), F.col("pos").cast("long").alias("b")).orderBy("b").limit(MAX_TERMS)
+    places = locations.where(F.trim("value") != "").select(F.trim("value").alias("location"), F.col("pos").cast("long").alias("b")).orderBy("b").limit(budget)
     pairs = distinct.crossJoin(F.broadcast(_or_blank(places)))
     rest = pairs.select(F.col("value").alias("query"), "location", F.lit("SEARCH").alias("source"), none.alias("company"), F.lit(1).alias("phase"), F.col("pos").cast("long").alias("a"), "b")
     order = ("phase", "a", "b")
