@@ -32,14 +32,15 @@ def company_stats(active: DataFrame, new: DataFrame, *, company: str = "company"
 def event_cap(df: DataFrame, per_event: int, budget: int, *, event: str, event_pos: str, pos: str, max_events: int | None = None) -> DataFrame:
     """The first rows of each event in order, then as many rows over all events as the budget lets through.
 
-    The budget is a running sum over the events' counts, so only one row per
-    event is ordered as a whole; a partly covered event keeps its first rows.
+    The budget is a running sum over the events' counts. Every event uses some of it,
+    so no more than the first `budget` events are ordered as a whole, with one
+    row each; a partly covered event keeps its first rows.
     """
     if max_events is not None:
         firsts = df.groupBy(event).agg(F.min(event_pos).alias("_at")).orderBy("_at", event).limit(max_events)
         df = df.join(firsts.select(event), event, "left_semi")
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(event).orderBy(pos))).where(F.col("_r") <= per_event)
-    sizes = ranked.groupBy(event).agg(F.min(event_pos).alias("_at"), F.count(F.lit(1)).alias("_n"))
+    sizes = ranked.groupBy(event).agg(F.min(event_pos).alias("_at"), F.count(F.lit(1)).alias("_n")).orderBy("_at", event).limit(budget)
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_at", event).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = sizes.select(F.col(event).alias("_event"), before.alias("_before")).where(F.col("_before") < budget)
     out = ranked.join(lead, F.col(event) == F.col("_event")).where(F.col("_before") + F.col("_r") <= budget)
