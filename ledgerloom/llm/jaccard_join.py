@@ -6,8 +6,10 @@ the Jaccard similarity of their sets reaches percent / 100.
 The tokens are hashed into groups. If two sets of at most m elements reach the
 threshold, at most D = 2 m (100 - p) / (100 + p) elements are in one of them alone, so among
 more than D groups one is the same in both. Documents are therefore dealt out by
-the contents of their largest groups (exactly as many that D + 1 of each
-document's groups take part, so no link is lost), per band of sizes. Documents
+the contents of D + 1 of their groups, per band of sizes: those that hold the rarest shingles.
+What ranks a group is its content alone, so two linked documents both choose
+the best of the groups that they share, and no link is lost; rarity is read
+from a table of counts of all shingles by hash, of fixed size. Documents
 that share such a key are connected to a block; blocks are packed in order of size into
 the leaves of an R-tree over the documents' group counts. Trees are searched from
 node to point with the bound that an overlap is at most the sum of the
@@ -28,6 +30,7 @@ are handled whole; extra columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +52,11 @@ NODE = 16
 #: Members of blocks whose ids are broadcast to fetch their texts, at most (40 bytes each); more are fetched by a shuffle join.
 BROADCAST_MEMBERS = 500_000
 
+#: Keys of several documents that are broadcast to find these, at most (16 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Cells of the table of shingle counts (8 bytes each), and the parts that it is summed in.
+CELL_BITS, PARTS = 20, 64
+
 _U = np.uint64
 
 
@@ -104,7 +112,11 @@ class Bands:
         return 2 * largest * (100 - self.percent) // (100 + self.percent)
 
 
-def _keys(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _keys(h: np.ndarray, bounds: np.ndarray, bands: Bands, rarity: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(set, key) of the groups that deal the sets out."""
     size = np.diff(bounds)
     if not len(size) or not size.max():
@@ -121,17 +133,53 @@ def _keys(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[np.
         groups = apart + 1 + max(1, (apart + 1) // 4) if apart else 1
         at = np.repeat(np.arange(len(member)), size[member])
         own = h[np.repeat(bounds[member] - np.concatenate(([0], np.cumsum(size[member])[:-1])), size[member]) + np.arange(len(at))]
-        own = X.mix(own + _U(band))
-        cell = at * groups + ((own >> _U(32)) % _U(groups)).astype(np.int64)
+        mixed = X.mix(own + _U(band))
+        cell = at * groups + ((mixed >> _U(32)) % _U(groups)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         count = np.bincount(cell, minlength=len(member) * groups)
-        content = _sums(own[order], np.concatenate(([0], np.cumsum(count))))
-        count = count.reshape(len(member), groups)
-        needed = np.partition(count, groups - 1 - apart, axis=1)[:, groups - 1 - apart]
-        row, group = np.nonzero(count >= needed[:, None])
+        content = X.mix(_sums(mixed[order], np.concatenate(([0], np.cumsum(count)))) + count.astype(np.uint64))
+        full = np.flatnonzero(count)
+        rarest = np.minimum.reduceat(rarity[_cells(own[order])], np.concatenate(([0], np.cumsum(count[full])[:-1])))
+        rank = np.full(len(count), np.iinfo(np.uint64).max, np.uint64)  # the rarest first, then the largest, then by content
+        rank[full] = (np.minimum(rarest, (1 << 23) - 1).astype(np.uint64) << _U(40)) | ((255 - np.minimum(count[full], 255)).astype(np.uint64) << _U(32)) | (content[full] >> _U(32))
+        rank = rank.reshape(len(member), groups)
+        last = np.partition(rank, apart, axis=1)[:, apart]
+        row, group = np.nonzero(rank <= last[:, None])
         yield member[row], X.mix(content[row * groups + group] ^ X.mix(_U(band << 32) + group.astype(np.uint64)))
 
 
+def _tally(ngram: int):
+    """Counts of shingles by cell, in parts; what a task has counted leaves it once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for _, _, h in _shingles(batch.column(0), ngram):
+                total += np.bincount(_cells(h), minlength=len(total))
+        yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(total, PARTS)], pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts, however many rows each has."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(counts), np.int64)
+            total[part] = total[part] + own if part in total else own
+    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+
+
+def shingle_counts(texts: DataFrame, ngram: int) -> np.ndarray:
+    """The table of shingle counts over all texts: 2^CELL_BITS cells, whatever the corpus."""
+    rows = texts.mapInArrow(_tally(ngram), "part int, counts binary").repartition("part").mapInArrow(_add, "part int, counts binary").collect()
+    table = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.int64)
+    for r in rows:
+        table[r.part] = np.frombuffer(r.counts, np.int64)
+    return table.ravel()
+
+
 def _sketch(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,13 +191,13 @@ def _sketch(ngram: int):
     return run
 
 
-def _deal(ngram: int, percent: int):
+def _deal(ngram: int, percent: int, rarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             for _, bounds, h in _shingles(batch.column(0), ngram):
                 one, _ = _digests(h, bounds)
-                for member, key in _keys(h, bounds, bands):
+                for member, key in _keys(h, bounds, bands, rarity.value):
                     yield pa.record_batch([X.signed(key), X.signed(one[member])], names=["key", "d1"])
 
     return run
@@ -306,16 +354,19 @@ def _across(percent: int):
 
 def join(
     docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, groups: int = GROUPS, broadcast_members: int = BROADCAST_MEMBERS,
-    id_col: str = "doc_id", text_col: str = "text",
+    broadcast_keys: int = BROADCAST_KEYS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, its own included) and n_links (rows that it links with)."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = stash(read.mapInArrow(_sketch(ngram), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "sketch")
     classes = stash(sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
-    keys = read.where("doc_id IS NOT NULL").select("text").mapInArrow(_deal(ngram, percent), "key bigint, d1 bigint")
+    known = read.where("doc_id IS NOT NULL").select("text")
+    rarity = docs.sparkSession.sparkContext.broadcast(shingle_counts(known, ngram))
+    keys = known.mapInArrow(_deal(ngram, percent, rarity), "key bigint, d1 bigint")
     shared = stash(keys.groupBy("key").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least < most").select("key", "least"), "shared")
-    near = keys.join(shared, "key").where("d1 <> least").select(F.col("d1").alias("u"), F.col("least").alias("v"))
+    few = shared.count() <= broadcast_keys
+    near = keys.join(F.broadcast(shared) if few else shared, "key").where("d1 <> least").select(F.col("d1").alias("u"), F.col("least").alias("v"))
     blocks = components(near)
     blocks = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
 

@@ -64,13 +64,14 @@ def test_against_all_pairs(spark, monkeypatch, ngram, percent, leaf):
 
 def test_shuffle_paths_agree(spark):
     docs = K.frame(spark, K.documents())
-    one, two = (sorted(map(str, J.join(docs, broadcast_members=n).collect())) for n in (0, 10**6))
+    one, two = (sorted(map(str, J.join(docs, broadcast_members=n, broadcast_keys=n).collect())) for n in (0, 10**6))
     assert one == two
 
 
 def test_no_link_is_lost_by_the_keys():
     """Any two sets above the threshold share a key."""
     rng = np.random.default_rng(0)
+    rarity = rng.integers(0, 9, 1 << J.CELL_BITS)
     for percent in (60, 80, 90, 95):
         bands = J.Bands(percent)
         for n in (1, 2, 3, 5, 9, 10, 19, 40, 100, 400):
@@ -91,7 +92,7 @@ def test_no_link_is_lost_by_the_keys():
                         break
                 h, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
                 keys = [set(), set()]
-                for member, key in J._keys(h, bounds, bands):
+                for member, key in J._keys(h, bounds, bands, rarity):
                     for m, k in zip(member.tolist(), key.tolist(), strict=True):
                         keys[m].add(k)
                 assert keys[0] & keys[1], (percent, n)

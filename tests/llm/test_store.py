@@ -1,0 +1,15 @@
+from ledgerloom.llm import _store
+
+
+def test_stash_reads_back_and_sweep_removes(spark):
+    df = spark.createDataFrame([(1, "a"), (None, None)], "x int, y string")
+    held = _store.stash(df, "t")
+    assert held.schema == df.schema and sorted(map(str, held.collect())) == sorted(map(str, df.collect()))
+    assert held.inputFiles()[0].startswith(_store.shared_dir(spark))
+    _store.sweep(spark)
+    try:
+        held.collect()
+    except Exception as error:
+        assert "exist" in str(error).lower()
+    else:
+        raise AssertionError("the table is still there")
