@@ -170,8 +170,11 @@ def _judge(target: int, digest: bool):
 
 
 def _repeated(rows: DataFrame, by: str) -> DataFrame:
-    """h of the windows found under more than one value of `by`, and the least of these."""
-    return rows.groupBy("h").agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least < most").select("h", "least")
+    """h of the windows found under more than one value of `by`, and the least of these.
+
+    Written, so that a join with it shuffles both sides anew and its hot windows can be split.
+    """
+    return stash(rows.groupBy("h").agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least < most").select("h", "least"), "repeated")
 
 
 def deduplicate(
