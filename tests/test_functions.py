@@ -160,3 +160,22 @@ def test_html_postings(spark):
     df = spark.createDataFrame([("https://careers.acme.com/list", PAGE), ("https://e.com", None)], "url string, html string")
     assert {(r.title, r.link) for r in html.openings(df).collect()} == {("Data Engineer", "https://careers.acme.com/jobs/1"), ("QA Analyst", "https://careers.acme.com/jobs/7")}
     assert values(spark, html.page_title(F.col("a")), [PAGE, "", None]) == ["Careers at Acme", "", ""]
+
+
+def test_descriptions_of_postings(spark):
+    ld = lambda kind, text, key="description": f'<script type="application/ld+json">{{"@type": {kind}, "{key}": "{text}"}}</script>'
+    long, menu = "We build data tools. " * 11, "<nav>" + "<a href=/x>Some menu entry</a>" * 20 + "</nav>"
+    text = long.strip()
+    cases = [
+        (ld('"Organization"', long) + menu, ""),  # not a posting
+        (ld('"Organization"', "x" * 130) + ld('["Thing", " JobPosting "]', f"<b>{long}</b>apply NOW", "jobDescription"), text + " "),
+        (f"{menu}<div class='x Job-Description y'>{long}<script>no</script><noscript>no</noscript></div>", text),
+        (f"{menu}<div id=job-description>short</div><div class=description>{long}</div>", text),
+        (f"{menu}<article class=job>{long}</article><div role=main>{long * 2}</div>", text),
+        (f"{menu}<div id=job-description>{'z' * 199}</div>", ""),
+        (f"<div class=other>{long}</div>", ""),  # long, but without a phrase of postings
+        (f"<div>Job summary: {long} Related jobs: none</div>", f"Job summary: {text} "),
+        ("<div>Job summary: short</div>", ""),
+        (None, ""),
+    ]
+    assert values(spark, html.extract_description(F.col("a")), [x for x, _ in cases]) == [x for _, x in cases]
