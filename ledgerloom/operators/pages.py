@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, html as H, text as T, urls as U
+from ledgerloom.llm._store import stash
 
 
 def links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
@@ -46,6 +47,34 @@ def crawl(seeds: DataFrame, edges: DataFrame, *, rounds: int, most: int) -> Data
     return seen
 
 
+def crawl_sites(seeds: DataFrame, edges: DataFrame, *, max_pages: int = 8) -> DataFrame:
+    """seed, n, url and depth of the pages visited from each of the seeds(url) over edges(url, pos, link), in the order n of a queue.
+
+    Every seed has a queue of its own and stops after `max_pages` pages, itself included; URLs are the same if they are equal
+    in lower case without blanks around. Each round visits what the queues of all seeds hold at one depth, so it ends after max_pages - 1
+    rounds, or when no queue has a page left. Pages without edges are visited and lead nowhere.
+    """
+    max_pages, token = max(1, max_pages), F.lower(F.trim("link"))
+    named = edges.withColumn("token", token).groupBy("url", "token").agg(F.min("pos").alias("pos"), F.min_by("link", "pos").alias("link"))
+    # Of a page's links at most max_pages can be seen before and fewer than max_pages can be visited, so no later ones are needed.
+    near = named.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).where(F.col("_n") < 2 * max_pages).drop("_n")
+    near = stash(near, "edges")
+    start = seeds.select("url").distinct()
+    seen = stash(start.select(F.col("url").alias("seed"), F.lit(0).alias("n"), "url", F.lit(0).alias("depth"), F.lower(F.trim("url")).alias("token")), "visited")
+    frontier = seen
+    for depth in range(1, max_pages):
+        reached = frontier.select("seed", "n", "url").join(near, "url").groupBy("seed", "token").agg(F.min_by(F.struct("n", "pos", "link"), F.struct("n", "pos")).alias("at"))
+        fresh = reached.join(seen.select("seed", "token"), ["seed", "token"], "left_anti")
+        order = F.row_number().over(Window.partitionBy("seed").orderBy("at.n", "at.pos"))
+        counted = seen.groupBy("seed").agg(F.max("n").alias("last"))
+        numbered = fresh.withColumn("k", order).where(F.col("k") < max_pages).join(counted, "seed").withColumn("n", F.col("last") + F.col("k")).where(F.col("n") < max_pages)
+        frontier = stash(numbered.select("seed", "n", F.col("at.link").alias("url"), F.lit(depth).alias("depth"), "token"), "visited")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.drop("token")
+
+
 def first_success(results: DataFrame, *, key: str = "url", priority: str = "priority", ok: str = "ok") -> DataFrame:
     """Per key the first successful result in order of priority, with the errors of the strategies before it; else all errors."""
     row = F.struct(*[F.col(c) for c in results.columns if c != key])

@@ -99,8 +99,8 @@ def posting_descriptions(spark, sf_dir):
 
 def crawl_frontier(spark, sf_dir):
     pages = dedup.first_wins(table(spark, sf_dir, "pages", "page_id", "url", "html"), ["url"], ["page_id"])
-    edges = P.links(pages.select("url", "html")).where(U.is_web(C("link"))).select("url", "link").distinct()
-    return P.crawl(pages.where("page_id < 5").select("url"), edges, rounds=2, most=50)
+    edges = P.links(pages.select("url", "html")).where(U.is_web(C("link"))).select("url", "pos", "link")
+    return P.crawl_sites(pages.select("url"), edges)
 
 
 def unwrap_redirects(spark, sf_dir):

@@ -1,11 +1,14 @@
 """Order-dependent operators against plain loops; tables, crawls and the streaming cycle."""
 
 import random
+from collections import Counter
 
 import pytest
+from helpers import SF
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import changes, dedup, lifecycle, pages, planning, reports
+from ledgerloom.plans import pages as plans
 from ledgerloom.sources import lines, tables
 from ledgerloom.streaming import cycle
 
@@ -93,6 +96,32 @@ def test_pagination_and_crawl(spark):
     assert {(r.url, r.depth) for r in seen} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+@pytest.mark.parametrize("most", [1, 4, 8])
+def test_crawl_of_each_site_is_the_loop_with_a_queue(spark, most):
+    rng = random.Random(7)
+    names = [f"u{i:02d}" for i in range(30)]
+    edges = [(u, pos, v.upper() if rng.random() < 0.3 else v) for u in names[:25] for pos, v in enumerate(rng.choices([*names, " u03 "], k=rng.randrange(25)))]
+    want = set()
+    for seed in names:
+        queue, visited = [(seed, 0)], {}
+        while queue and len(visited) < most:
+            url, depth = queue.pop(0)
+            if url.lower().strip() in visited:
+                continue
+            visited[url.lower().strip()] = (seed, len(visited), url, depth)
+            queue += [(v, depth + 1) for u, _, v in edges if u == url and v.lower().strip() not in visited and v not in [x for x, _ in queue]]
+        want |= set(visited.values())
+    got = pages.crawl_sites(spark.createDataFrame([(u,) for u in names], "url string"), spark.createDataFrame(edges, "url string, pos int, link string"), max_pages=most).collect()
+    assert {(r.seed, r.n, r.url, r.depth) for r in got} == want and len(got) == len(want)
+
+
+def test_crawl_query_starts_from_every_page(spark):
+    first = spark.read.parquet(f"{SF}/pages.parquet")
+    got = plans.crawl_frontier(spark, SF).collect()
+    assert {r.seed for r in got if r.depth == 0} == {r.url for r in first.collect()}
+    assert max(Counter(r.seed for r in got).values()) <= 8
+
+
 def test_line_lists(spark, tmp_path):
     path = tmp_path / "list.txt"
     path.write_text("# head\n\n.\nhttps://E.com/a/\n https://e.com/a?x=1 \nAI Engineer\nai engineer\nhttps://e.com/b\n")
