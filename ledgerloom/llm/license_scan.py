@@ -1,7 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. It matches a template if it holds at least the
-share `threshold` of the template's distinct words. The join is exact and
+A block is a line of a text, or a window of consecutive words over more than one line:
+as many words as the template has, divided by `threshold`, so that a wrapped statement
+with a few other words between is met. It matches a template if it holds at least the
+share `threshold` of the template's distinct words. A window counts where none of its lines
+holds as much, and of overlapping ones of a template the best, then the first. The join is exact and
 filters before it verifies: the words of all templates are ordered by the number of
 documents of the whole corpus that hold them, rarest first; a match needs a
 word of the template's prefix (all but the last ceil(threshold * size) - 1 words in
@@ -19,6 +22,7 @@ Columns other than the id and the text are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil
 
@@ -63,6 +67,7 @@ class Index:
         by_hash = np.argsort(hashes)
         self.hashes, self.rank = hashes[by_hash], by_hash
         self.templates = [(np.array(sorted(rank[x] for x in words)), label, ceil(threshold * len(words) - 1e-9)) for words, label in spelt if words]
+        self.spans = [ceil(len(w.hashes) / threshold - 1e-9) if threshold else len(w.hashes) for text, _ in templates if len((w := _words(text)).hashes)]
         self.prefix = np.zeros(len(order), bool)
         self.by_word: dict[int, list[int]] = {}
         for t, (words, _, need) in enumerate(self.templates):
@@ -82,8 +87,8 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, words.hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words.hashes, self.rank[at], -1)
 
-    def matches(self, found: list[int], n_distinct: int) -> Iterator[tuple[str, float]]:
-        """(label, containment) of the templates met by a block with the sorted ranks `found` among its distinct words."""
+    def matches(self, found: list[int], n_distinct: int) -> Iterator[tuple[int, str, float]]:
+        """(template, label, containment) of the templates met by a block with the sorted ranks `found` among its distinct words."""
         seen: set[int] = set()
         for j, x in enumerate(found):
             for t in self.by_word.get(x, ()):
@@ -95,7 +100,40 @@ class Index:
                     continue
                 common = len(np.intersect1d(words, found[j:], assume_unique=True))
                 if common >= need:
-                    yield label, common / len(words)
+                    yield t, label, common / len(words)
+
+    def wrapped(self, words: X.Words, rank: np.ndarray, line: np.ndarray, shares: dict[tuple[int, int], float]) -> Iterator[tuple[int, str, float]]:
+        """(first word, label, containment) of the windows over lines that meet a template; shares: of (line, template) where a line does."""
+        hot = np.flatnonzero(rank >= 0)
+        ends_at = hot + words.left[hot]
+        for t, (own, label, need) in enumerate(self.templates):
+            among = np.isin(rank[hot], own)
+            at, until = hot[among], np.minimum(hot[among] + self.spans[t], ends_at[among])
+            rare = at[np.isin(rank[at], own[: len(own) - need + 1])]
+            if not len(rare):
+                continue
+            next_rare = rare[np.minimum(np.searchsorted(rare, at - self.spans[t] + 1), len(rare) - 1)]
+            near = np.abs(next_rare - at) < self.spans[t]
+            at, until = at[near], until[near]
+            to, distinct = np.searchsorted(at, until), np.zeros(len(at), np.int64)
+            for x in own.tolist():
+                held = np.concatenate(([0], np.cumsum(rank[at] == x)))
+                distinct += held[to] > held[:-1]
+            maybe = np.flatnonzero((distinct >= need) & (line[at] < line[at[to - 1]]))
+            found = []
+            for j in maybe.tolist():
+                inside = [i for i in at[j : to[j]].tolist() if words.word(i) == self.spelling[rank[i]]]
+                share = len({int(rank[i]) for i in inside}) / len(own)
+                if share * len(own) < need - 1e-9 or line[inside[0]] == line[inside[-1]]:
+                    continue
+                if all(shares.get((n, t), 0.0) < share for n in range(int(line[inside[0]]), int(line[inside[-1]]) + 1)):
+                    found.append((-share, inside[0], inside[-1]))
+            taken: list[tuple[int, int]] = []
+            for share, a, b in sorted(found):
+                k = bisect_left(taken, (a, b))
+                if (k == 0 or taken[k - 1][1] < a) and (k == len(taken) or b < taken[k][0]):
+                    taken.insert(k, (a, b))
+                    yield a, label, -share
 
     def places(self, words: X.Words, left: np.ndarray) -> Iterator[tuple[int, str]]:
         for n, known in self.phrases.items():
@@ -108,7 +146,7 @@ class Index:
 
 
 def _scan(column: pa.Array, index: Index) -> Iterator[tuple[int, list[tuple[int, str]], list[tuple[int, str, float]]]]:
-    """Words, phrase places (word, label) and matched blocks (line, label, containment) of each text."""
+    """Words, phrase places (word, label) and matched blocks (first line, label, containment) of each text."""
     for _, _, raw, offsets in X.pieces(column):
         words = X.split(raw, offsets, X.NOT_ALNUM, lower=True)
         first, text_of = words.first, words.text_of
@@ -122,14 +160,18 @@ def _scan(column: pa.Array, index: Index) -> Iterator[tuple[int, list[tuple[int,
         if len(hot):
             breaks = np.flatnonzero(raw == 10)
             line = np.searchsorted(breaks, words.start) + text_of  # unique over texts: a text's end is a break too
+            shares: dict[tuple[int, int], float] = {}
+            number = lambda i: int(np.searchsorted(breaks, words.start[i]) - np.searchsorted(breaks, offsets[text_of[i]]))  # noqa: B023, E731
             for at in np.unique(line[hot]).tolist():
                 a, b = np.searchsorted(line, [at, at + 1])
                 own = [i for i in range(a, b) if rank[i] >= 0 and words.word(i) == index.spelling[rank[i]]]
                 found = sorted({int(rank[i]) for i in own})
                 text = int(text_of[a])
-                number = int(np.searchsorted(breaks, words.start[a]) - np.searchsorted(breaks, offsets[text]))
-                for label, share in index.matches(found, len(np.unique(words.hashes[a:b]))):
-                    blocks.setdefault(text, []).append((number, label, share))
+                for t, label, share in index.matches(found, len(np.unique(words.hashes[a:b]))):
+                    shares[at, t] = share
+                    blocks.setdefault(text, []).append((number(a), label, share))
+            for i, label, share in index.wrapped(words, rank, line, shares):
+                blocks.setdefault(int(text_of[i]), []).append((number(i), label, share))
         for t, n in enumerate(words.counts.tolist()):
             yield n, sorted(base.get(t, [])), sorted(blocks.get(t, []))
 
@@ -154,7 +196,7 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES, *, text_col: str
 
 
 def scan(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, base (word, label) of every phrase, and blocks (line, label, containment) of every matched block."""
+    """Per document: doc_id, n_words, base (word, label) of every phrase, and blocks (first line, label, containment) of every matched block."""
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, phrases, threshold, document_frequencies(docs, templates, text_col=text_col)))
     base_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     block_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))

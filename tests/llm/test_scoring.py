@@ -196,6 +196,47 @@ def test_licenses_against_brute_force(spark):
     assert LS.digest(LS.scan(K.empty(spark))).count() == 0
 
 
+BSD = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided"
+GPL = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public\n# License as published by"
+
+
+def test_wrapped_license_statements(spark):
+    once = BSD.replace("\n", " ")
+    texts = [BSD, f"x\n{GPL}", f"the of\n{once}\nand use in", f"{BSD}\n{BSD}", BSD.replace("\n", "\n" + "other " * 8), "Permission is hereby granted, free of charge, to any\nperson obtaining\na copy of this software", BSD.split("\n")[0], BSD.split("\n")[1]]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(90, None, "s"), (91, "", "s")]
+    got = {r.doc_id: [(b.line, b.label) for b in r.blocks] for r in LS.scan(K.frame(spark, rows)).collect()}
+    assert got == {0: [(0, "bsd")], 1: [(1, "gpl"), (2, "gpl")], 2: [(1, "bsd")], 3: [(0, "bsd"), (2, "bsd")], 4: [], 5: [(0, "mit")], 6: [], 7: [], 90: [], 91: []}
+
+
+def test_wrapped_licenses_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i, (template, _) in enumerate(LS.TEMPLATES * 12):
+        words = template.split()
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randrange(len(words)), rng.choice(["is", "of", "the", "zzz", "this"]))
+        del words[rng.randrange(len(words)) : rng.choice([0, len(words)])]
+        text = " ".join([*K.sentence(rng, rng.randint(0, 9)).split(), *words, *rng.choice(LS.TEMPLATES)[0].split()])
+        rows.append((i, re.sub(" ", lambda m: rng.choice([" ", " ", "\n"]), text), "s"))
+    met = 0
+    got = {r.doc_id: r for r in LS.scan(K.frame(spark, rows), phrases=()).collect()}
+    for i, text, _ in rows:
+        words, best = text.split(), {}
+        for template, label in LS.TEMPLATES:
+            t, span = set(template.split()), math.ceil(len(template.split()) / LS.THRESHOLD)
+            lines = [n for n, x in enumerate(text.split("\n")) for _ in x.split()]
+            blocks = [x.split() for x in text.split("\n")] + [words[p : p + span] for p in range(len(words)) if lines[p] < lines[min(p + span, len(words)) - 1]]
+            share = max(len(t & set(x)) / len(t) for x in blocks)
+            if share >= LS.THRESHOLD - 1e-9:
+                best[label] = max(best.get(label, 0.0), share)
+        own = {}
+        for b in got[i].blocks:
+            own[b.label] = max(own.get(b.label, 0.0), b.containment)
+        assert own == pytest.approx(best)
+        met += any(not any(len(set(t.split()) & set(x.split())) >= LS.THRESHOLD * len(set(t.split())) for x in text.split("\n") for t, y in LS.TEMPLATES if y == label) for label in best)
+    assert met > 20
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, name):
     agree(spark, queries.queries()[name], queries.oracle_sql()[name])
