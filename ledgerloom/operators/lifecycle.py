@@ -43,6 +43,26 @@ def advance(state: DataFrame, current: DataFrame, evaluated: DataFrame | None, n
     )
 
 
+def enriched(rows: DataFrame, state: DataFrame, now, *, run_id: str, run_iteration: int, key: str = "hash") -> DataFrame:
+    """rows with first_seen, last_seen, closed_at, run_id (text) and run_iteration: a row's own value if it has one, else the state's of its hash, else of this run."""
+    none = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+    kept = state.select(F.col("hash").alias("_key"), *[F.col(c).cast("string").alias(f"_{c}") for c in ("first_seen", "last_seen", "closed_at")])
+    now = F.lit(now).cast("timestamp").cast("string")
+    own = {"first_seen": now, "last_seen": now, "closed_at": F.lit("")}
+    added = {c: F.coalesce(none(c), F.nullif(F.col(f"_{c}"), F.lit("")), last) for c, last in own.items()}
+    added["run_id"] = F.coalesce(none("run_id"), F.lit(run_id))
+    added["run_iteration"] = F.coalesce(F.nullif(none("run_iteration").cast("int"), F.lit(0)), F.lit(run_iteration))
+    joined = rows.join(kept, (F.trim(F.col(key)) == F.col("_key")) & (F.col("_key") != ""), "left")
+    return joined.withColumns(added).select(*rows.columns, *[c for c in added if c not in rows.columns])
+
+
+def flagged(rows: DataFrame, new: DataFrame, *, key: str = "hash", name: str = "status") -> DataFrame:
+    """rows with a column that is NEW where the hash (null as empty) is among those of `new`, else ACTIVE."""
+    known = new.select(F.coalesce(key, F.lit("")).alias("_key")).distinct()
+    joined = rows.join(known, F.coalesce(rows[key], F.lit("")) == F.col("_key"), "left")
+    return joined.withColumn(name, F.when(F.col("_key").isNotNull(), "NEW").otherwise("ACTIVE")).drop("_key")
+
+
 def closed_now(state: DataFrame, now) -> DataFrame:
     return state.where((F.col("status") == "CLOSED") & (F.col("closed_at") == F.lit(now).cast("timestamp")))
 

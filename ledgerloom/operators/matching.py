@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, scores, text as T, urls as U
 from ledgerloom.functions.fuzzy import partial_ratio, token_set_ratio
@@ -221,3 +221,14 @@ def is_entry_level(title: Column, description: Column, include: Sequence[str], e
     both = F.concat_ws(" ", T.text(title), T.text(description))
     barred = T.has_part(both, exclude) if exclude else F.lit(False)
     return exclusion(title, description).isNull() & ~barred & inclusion(title, description, include).isNotNull()
+
+
+def entry_level_jobs(
+    df: DataFrame, *, title: str = "title", description: str = "description", experience: str = "experience", order: str = "pos", site: str | None = None, most: int = 50, **options,
+) -> DataFrame:
+    """The first `most` rows (of each site, if its column is given) that match a role which isn't senior, or name entry experience in experience or description."""
+    rows = match_roles(df, title=title, description=description, **options)
+    kept = rows.where(F.col("matched") | entry_experience(F.col(experience)) | entry_experience(F.col(description))).select(*df.columns)
+    if site is None:
+        return kept.orderBy(order).limit(most)
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(site).orderBy(order))).where(F.col("_n") <= most).drop("_n")

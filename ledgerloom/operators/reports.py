@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.functions import urls as U
+
 
 def top(df: DataFrame, key: str | Column, n: int, *, pos: str, name: str = "name") -> DataFrame:
     """The n most frequent keys with their counts; ties by first appearance, then by name."""
@@ -66,6 +68,18 @@ def run_metrics(sites: DataFrame) -> DataFrame:
     )
 
 
+def companies_without_jobs(sites: DataFrame) -> DataFrame:
+    """company: the distinct first hints in the URLs of sites (url, ok, jobs_count) that were read and had no jobs, in order."""
+    empty = sites.where(F.col("ok") & (F.coalesce("jobs_count", F.lit(0)) == 0) & (F.trim("url") != ""))
+    hints = F.filter(F.transform(U.company_candidates(F.trim("url")), U.company_words), lambda x: x != "")
+    return empty.select(F.get(hints, F.lit(0)).alias("company")).where(F.col("company").isNotNull()).distinct().orderBy("company")
+
+
+def tracked_hashes(state: DataFrame, *, key: str = "hash") -> DataFrame:
+    """hash: the distinct hashes of a state over all companies, without blanks around and without empty ones."""
+    return state.select(F.trim(key).alias("hash")).where("hash <> ''").distinct()
+
+
 def histogram(df: DataFrame, key: str, *, name: str = "name", blank: str = "Unknown") -> DataFrame:
     """Rows per key; empty and null keys count as `blank`."""
     return df.groupBy(F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit(blank)).alias(name)).agg(F.count(F.lit(1)).alias("n"))

@@ -179,3 +179,13 @@ def test_descriptions_of_postings(spark):
         (None, ""),
     ]
     assert values(spark, html.extract_description(F.col("a")), [x for x, _ in cases]) == [x for _, x in cases]
+
+
+def test_meta_description(spark):
+    cases = [
+        ("<meta name=keywords content=no><META content=' A &amp; B > C ' Name='Twitter:Description'><meta name=description content=later>", "A & B > C"),
+        ("<!-- <meta name=description content=no> --><meta name=description><meta name=description content=x>", ""),
+        (PAGE, ""),
+        (None, ""),
+    ]
+    assert values(spark, html.extract_meta_description(F.col("a")), [x for x, _ in cases]) == [x for _, x in cases]

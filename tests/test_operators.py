@@ -7,7 +7,7 @@ import pytest
 from helpers import SF
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import changes, dedup, lifecycle, pages, planning, reports
+from ledgerloom.operators import changes, dedup, lifecycle, matching, pages, planning, reports
 from ledgerloom.plans import pages as plans
 from ledgerloom.sources import lines, tables
 from ledgerloom.streaming import cycle
@@ -122,6 +122,35 @@ def test_crawl_query_starts_from_every_page(spark):
     assert max(Counter(r.seed for r in got).values()) <= 8
 
 
+def test_entry_level_by_role_experience_or_description(spark):
+    rows = [(1, "a", "Junior Software Engineer", "", ""), (2, "a", "Cook", "", "0-2 years"), (3, "a", "Cook", "for fresh talent", None), (4, "a", "Cook", "", "9 years"), (5, "b", None, "1 year", None), (6, "a", "Clerk", "", "Entry")]
+    df = spark.createDataFrame(rows, "pos int, site string, title string, description string, experience string")
+    assert [r.pos for r in matching.entry_level_jobs(df).orderBy("pos").collect()] == [1, 2, 3, 5, 6]
+    assert [r.pos for r in matching.entry_level_jobs(df, most=2).collect()] == [1, 2]
+    assert sorted(r.pos for r in matching.entry_level_jobs(df, most=2, site="site").collect()) == [1, 2, 5]
+
+
+def test_lifecycle_fields_and_new_flags(spark):
+    state = spark.createDataFrame([("a", "2024-01-01", "2024-01-02", None), ("b", "2024-01-03", "2024-01-04", "2024-01-05")], "hash string, f string, l string, c string")
+    state = state.select("hash", *[F.to_timestamp(x).alias(y) for x, y in (("f", "first_seen"), ("l", "last_seen"), ("c", "closed_at"))])
+    rows = spark.createDataFrame([(" a ", "", "r0", 0), ("b", "2020-02-02", None, 5), ("x", None, "", None), (None, None, None, None)], "hash string, first_seen string, run_id string, run_iteration int")
+    got = {r.hash: tuple(r)[1:] for r in lifecycle.enriched(rows, state, "2024-02-01", run_id="r9", run_iteration=3).collect()}
+    first, day = "2024-02-01 00:00:00", "2024-01-0{} 00:00:00"
+    assert got == {
+        " a ": (day.format(1), "r0", 3, day.format(2), ""), "b": ("2020-02-02", "r9", 5, day.format(4), day.format(5)), "x": (first, "r9", 3, first, ""), None: (first, "r9", 3, first, ""),
+    }
+    flags = lifecycle.flagged(rows, spark.createDataFrame([("b",), ("b",), ("z",)], "hash string")).collect()
+    assert {r.hash: r.status for r in flags} == {" a ": "ACTIVE", "b": "NEW", "x": "ACTIVE", None: "ACTIVE"} and len(flags) == 4
+
+
+def test_companies_without_jobs_and_tracked_hashes(spark):
+    sites = [("https://jobs.lever.co/zeta-labs", True, 0), ("https://jobs.lever.co/zeta-labs", True, None), (" https://acme.breezy.hr/ ", True, 0), ("https://jobs.lever.co/beta", False, 0), ("https://jobs.lever.co/gamma", True, 2), ("", True, 0), (None, True, 0), ("https://jobs.lever.co/delta", None, 0)]
+    df = spark.createDataFrame(sites, "url string, ok boolean, jobs_count int")
+    assert [r.company for r in reports.companies_without_jobs(df).collect()] == ["acme", "zeta labs"]
+    state = spark.createDataFrame([("c1", "h1"), ("c2", " h1 "), ("c2", "h2"), ("c1", " "), ("c3", None)], "company string, hash string")
+    assert sorted(r.hash for r in reports.tracked_hashes(state).collect()) == ["h1", "h2"]
+
+
 def test_line_lists(spark, tmp_path):
     path = tmp_path / "list.txt"
     path.write_text("# head\n\n.\nhttps://E.com/a/\n https://e.com/a?x=1 \nAI Engineer\nai engineer\nhttps://e.com/b\n")
