@@ -2,8 +2,8 @@
 
 A document fails on its own for too few words or too much repetition. Beyond
 that, normalised lines (A-Z lower-cased, runs of white space one space) are hashed and
-counted by the distinct texts of a host that hold them, so that copies of one
-text count once; lines above the limit are removed, and a document that keeps
+counted by the distinct documents of a host that hold them, copies of a text each on
+their own; lines above the limit are removed, and a document that keeps
 less than a share of its words is rejected as depleted.
 
 Only hashes and counts are shuffled, combined first; the lines above the limit
@@ -11,7 +11,7 @@ are broadcast when they are few and joined by shuffle otherwise. No text moves.
 
 Defined cases: a null text has no words and no lines, so it fails; an empty
 text likewise; the null host is a host; a null doc_id is a document like any
-other; rows equal in doc_id, host and text are alike in every result; lines
+other; rows equal in doc_id, host and text are one document and alike in every result; lines
 without a word are no lines; long texts are handled whole, in time n log n.
 Other columns pass through `clean` and are not looked at.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm._store import stash
 
-#: A line in more texts of a host than this goes.
+#: A line in more documents of a host than this goes.
 MAX_DOCS = 100
 #: A document keeps at least this share of its words, or is rejected.
 MIN_LEFT = 0.5
@@ -78,7 +78,7 @@ def frequent_lines(docs: DataFrame, *, max_docs: int = MAX_DOCS, id_col: str = "
     read = read.where(F.col("line").rlike(_WORD)).withColumn("line", _normalised(F.col("line")))
     marked = [F.col("host").isNull(), F.coalesce("host", F.lit("")), F.col("line")]
     lines = read.select("doc_id", "host", "t", "pos", F.regexp_count("line", F.lit(_WORD)).alias("words"), F.xxhash64(*marked).alias("k1"), F.xxhash64(F.lit(1), *marked).alias("k2"))
-    counted = lines.select("k1", "k2", "t").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"))
+    counted = lines.select("k1", "k2", "doc_id", "t").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"))
     return lines, stash(counted.where(F.col("docs") > max_docs).select("k1", "k2"), "lines")
 
 

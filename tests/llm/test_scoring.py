@@ -159,6 +159,14 @@ def test_quality_rules_against_brute_force(spark):
     assert R.judge(K.empty(spark)).count() == 0 and R.clean(K.empty(spark)).count() == 0
 
 
+def test_copies_count_as_documents(spark):
+    banner, rng = "one line of a host that all of its pages share", random.Random(2)
+    texts = [f"{K.sentence(rng, 60)}\n{banner}" for _ in range(6)]
+    rows = [(i, texts[i // 2], "pairs") for i in range(12)] + [(50, texts[0], "once")] * 12 + [(60 + i, texts[i], "few") for i in range(6)]
+    got = {(r.doc_id, r.n_words - r.n_left) for r in R.judge(K.frame(spark, rows), max_docs=8).collect()}
+    assert got == {(i, 11) for i in range(12)} | {(50, 0)} | {(60 + i, 0) for i in range(6)}
+
+
 def test_long_repetitive_text_is_handled(spark):
     docs = K.frame(spark, [(1, "a b " * 100_000, "s")])
     assert R.judge(docs).first().n_repeat_words == 200_000
