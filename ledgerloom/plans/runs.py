@@ -23,7 +23,7 @@ STATUSES = ("new", "applied", "rejected", "interview")
 
 
 def _seen(spark, sf_dir, start: str, end: str):
-    """Distinct users with an error event in the period, as rows seen at their source."""
+    """Distinct users with a purchase in the period, as rows seen at their source."""
     rows = table(spark, sf_dir, "events", "ts", "user_id", "event_type").where((C("ts") >= start) & (C("ts") < end) & (C("event_type") == "purchase"))
     return rows.select(C("user_id").cast("string").alias("hash"), F.concat(F.lit("s"), (C("user_id") % 10)).alias("source_url")).distinct()
 
