@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier
-from ledgerloom.llm._store import shared_dir
+from ledgerloom.store import shared_dir
 
 #: Words of a shingle, and percent of Jaccard similarity, of near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, html as H, text as T, urls as U
-from ledgerloom.llm._store import stash
+from ledgerloom.store import stash
 
 
 def links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:

@@ -186,7 +186,7 @@ QUERIES = {
     "openings_from_html": (openings_from_html, None),
     "posting_descriptions": (posting_descriptions, None),
     "crawl_frontier": (crawl_frontier, None),
-    "unwrap_redirects": (unwrap_redirects, "SELECT page_id, url AS target FROM pages"),
+    "unwrap_redirects": (unwrap_redirects, "SELECT page_id, regexp_replace(url, '#.*$', '') AS target FROM pages"),
     "unvisited_domains": (unvisited_domains, f"""
         WITH p AS (SELECT page_id, url, {domain_sql()} AS k FROM pages)
         SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page_id) AS n FROM p WHERE page_id % 3 <> 0 AND k NOT IN (SELECT k FROM p WHERE page_id % 6 = 0)) WHERE n = 1"""),

@@ -6,15 +6,13 @@ source, and a week a run. Orders stand in for rows of the primary table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import urls as U
 from ledgerloom.operators import changes, dedup, lifecycle, reports
 from ledgerloom.plans.pages import table
 from ledgerloom.sources import lines as L, tables
+from ledgerloom.store import new_path
 from ledgerloom.streaming import cycle
 
 C = F.col
@@ -67,7 +65,7 @@ def lifecycle_multi_run(spark, sf_dir):
 
 def stream_cycle(spark, sf_dir):
     """The multi-run lifecycle again, fed as files to a stream of one batch a week."""
-    base = f"{_shared(spark)}/cycle-{uuid.uuid4().hex[:12]}"
+    base = new_path(spark, "cycle")
     start = "2024-01-01"
     for i, end in enumerate(WEEKS):
         rows = _seen(spark, sf_dir, start, end).withColumn("observed_at", F.lit(end).cast("timestamp"))
@@ -78,14 +76,6 @@ def stream_cycle(spark, sf_dir):
     return tables.load_state(spark, f"{base}/state", cycle.STATE_SCHEMA)[0]
 
 
-def _shared(spark) -> str:
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held.rstrip("/")
-
-
 def ttl_cleanup(spark, sf_dir):
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select(C("o_orderkey").cast("string").alias("hash"), F.when(C("o_orderstatus") == "F", "CLOSED").otherwise("ACTIVE").alias("status"), F.when(C("o_orderkey") % 9 != 0, C("o_orderdate")).alias("closed_at"))
     return lifecycle.expire(rows, "1998-06-15").select("hash", "status")
@@ -209,7 +199,7 @@ def append_new(spark, sf_dir):
 
 def delete_keys(spark, sf_dir):
     """A written table without the rows of given keys, read back."""
-    path = f"{_shared(spark)}/delete-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "delete")
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     tables.replace(rows, path)
     tables.delete_keys(spark, path, rows.where("o_custkey % 4 = 0").select("o_custkey"), "o_custkey")
@@ -218,7 +208,7 @@ def delete_keys(spark, sf_dir):
 
 def partition_overwrite(spark, sf_dir):
     """Two of the partitions replaced in a table by status."""
-    path = f"{_shared(spark)}/parts-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "parts")
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
     tables.replace_partitions(rows, path, "o_orderstatus")
     tables.replace_partitions(rows.where("o_orderstatus <> 'F' AND o_orderkey % 2 = 0"), path, "o_orderstatus")
