@@ -1,90 +1,164 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Word and bigram counts of the training documents are combined in the tasks,
-shuffled by hash and written into a Bloom filter: an n-gram of count c is
-entered once for each level 1 to 1 + floor(log2 c), so that probing the levels
-in turn, until one is missing, gives its quantised count. The filter is made of
-segments, each sized by its own entries and built by one task; segments are
-broadcast in shards of at most `shard_bytes`, and every shard is one pass over
-the documents, so a worker's memory stays bounded while the filter grows with
-the corpus.
-
-A token w after v has the probability (c(vw) + a P(w)) / (c(v) + a), with
-a = PRIOR c(v)^POWER + 1 and P the add-one unigram. The unigram is exact for frequent words,
-which are broadcast (at most `frequent` entries); other words take the filter's
-count. The base score is exact for all: rarer words are joined with the word
-counts by a shuffle.
+The n-grams of the training documents, up to three words, are counted in the
+tasks, sent to segments by their hash and written into a Bloom filter: an
+n-gram of count c is entered once for each level 1 to 1 + floor(log2 c), so
+probing the levels in turn, until one is missing, gives its quantised count. A
+segment holds about SEGMENT_GRAMS n-grams whatever the corpus: their number follows
+the number of training tokens. Segments are broadcast in shards of about
+`shard_bytes`, one pass over the documents each, so a worker's memory stays bounded
+while the filter grows with the corpus. A pass that isn't the only one writes the
+levels it found, one compressed byte a token and order, and no text.
+
+Every count in the model's score is the filter's, at any size of the corpus: a token
+w after the n-gram h has the probability (c(hw) + a P(w)) / (c(h) + a), P being that
+of the next shorter history and at last the add-one unigram; a is PRIOR c(h)^POWER + 1
+for one word of history and LONG_PRIOR for more.
+
+The base score is exact: counts of frequent words (at most `frequent`) are
+broadcast, and other words are joined with the word counts by a shuffle, which gives the same.
 
 Defined cases: a null text is empty and has the end token alone; a document
 with a null id is learned from and isn't held out; rows that share id and text
 are scored alike; without training documents every count is 0 and every token has probability 1;
-texts are read whole; extra columns are not looked at.
+ids are whole numbers; texts are read whole; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import _labelled, _text as X
-from ledgerloom.llm._store import stash
+from ledgerloom.store import discard, stash
 
 FOLDS, HELD_FOLD = 7, 2
+#: Words of the longest n-grams.
+ORDER = 3
 #: Probes at the first level, which tells seen from unseen, and at the others.
-PROBES = (8, 3)
-#: Bits of an n-gram's hash that name its segment.
-SEGMENT_BITS = 12
-#: Bytes of the filter broadcast at once, at most (or one segment).
+PROBES = (6, 3)
+#: Counted n-grams of a segment, on average, at most.
+SEGMENT_GRAMS = 1 << 20
+#: Bytes of the filter broadcast at once, about (or one segment).
 SHARD_BYTES = 128 << 20
-#: Words whose exact counts are broadcast, at most (12 bytes each).
-FREQUENT = 4_000_000
-PRIOR, POWER = 4.0, 0.75
+#: Words whose exact counts are broadcast for the base score, at most (16 bytes each).
+FREQUENT = 1_000_000
+PRIOR, POWER, LONG_PRIOR = 4.0, 0.75, 20.0
 #: Tokens that a task counts before it sends the counts on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Bits of a hash that tell n-grams of one segment apart.
+REST_BITS = 40
 
 _U = np.uint64
 END, BEGIN = _U(0x6E0F1D2C3B4A5968), _U(0x1234FEDC5678BA90)
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, token hashes with an end after each text, hashes of the tokens before them, bounds) of chunks of texts."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, token hashes with an end after each text, bounds) of chunks of texts."""
     for a, _, raw, offsets in X.pieces(column):
         words = X.split(raw, offsets, X.SPACES, lower=True)
         bounds = words.first + np.arange(len(words.counts) + 1)
         token = np.full(bounds[-1], END, np.uint64)
         token[np.arange(len(words.hashes)) + words.text_of] = words.hashes
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[bounds[:-1]] = BEGIN
-        yield a, token, before, bounds
+        yield a, token, bounds
 
 
-def _bigram(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return X.mix(before * _U(0x9E3779B97F4A7C15) + token)
+def grams(token: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+    """For one word to `order` words, the hash of the n-gram that ends at each token; texts begin with as many marks as it takes."""
+    out, place = [token], np.arange(len(token)) - np.repeat(bounds[:-1], np.diff(bounds))
+    for back in range(1, order):
+        earlier = np.full(len(token), BEGIN, np.uint64)
+        earlier[back:] = token[:-back]
+        earlier[place < back] = BEGIN
+        out.append(X.mix(earlier * _U(0x9E3779B97F4A7C15) + out[-1] + _U(back)))
+    return out
 
 
-def _count(of_bigrams: bool):
-    """Emits h and c of the words (or bigrams), combined over FLUSH tokens."""
+def _combined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h, c = np.unique(np.concatenate(held), return_counts=True)
+    return h, c.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([X.signed(h), c.astype(np.int64)], names=["h", "c"])
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h and c of the words, combined over FLUSH tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for _, token, _ in _tokens(batch.column(0)):
+            held.append(token)
+            size += len(token)
+            if size >= FLUSH:
+                h, c = _combined(held)
+                yield pa.record_batch([X.signed(h), c], names=["h", "c"])
+                held, size = [], 0
+    if held:
+        h, c = _combined(held)
+        yield pa.record_batch([X.signed(h), c], names=["h", "c"])
+
+
+def _segment(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> _U(64 - bits)).astype(np.int64)
+
+
+def _rest(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << _U(bits)) >> _U(64 - REST_BITS)
+
+
+def _bytes(values: np.ndarray, width: int, cuts: np.ndarray) -> pa.Array:
+    """The values between the cuts as binaries, `width` bytes each."""
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8)[:, :width])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data)])
+
 
+def _packed(h: np.ndarray, c: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row per segment of sorted distinct hashes with counts: what tells them apart in the segment, and the counts."""
+    segment = _segment(h, bits)
+    first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    cuts = np.concatenate((first, [len(h)]))
+    return pa.record_batch([segment[first], _bytes(_rest(h, bits), REST_BITS // 8, cuts), _bytes(c, 8, cuts)], names=["segment", "rest", "counts"])
+
+
+def _unpacked(rest) -> np.ndarray:
+    raw = np.frombuffer(rest, np.uint8).reshape(-1, REST_BITS // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : REST_BITS // 8] = raw
+    return out.view(np.uint64).ravel()
+
+
+_PACKED = "segment bigint, rest binary, counts binary"
+
+
+def _count_grams(bits: int, order: int):
+    """Packed counts of the n-grams of two words and more, combined over FLUSH tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for _, token, before, _ in _tokens(batch.column(0)):
-                held.append(_bigram(before, token) if of_bigrams else token)
+            for _, token, bounds in _tokens(batch.column(0)):
+                held += grams(token, bounds, order)[1:]
                 size += len(token)
                 if size >= FLUSH:
-                    yield flush()
+                    yield _packed(*_combined(held), bits)
                     held, size = [], 0
         if held:
-            yield flush()
+            yield _packed(*_combined(held), bits)
+
+    return run
+
+
+def _pack_words(bits: int):
+    """Packed counts of rows h and c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = X.unsigned(batch.column(0).to_numpy()), batch.column(1).to_numpy()
+            order = np.argsort(h)
+            if len(h):
+                yield _packed(h[order], c[order], bits)
 
     return run
 
@@ -99,70 +173,84 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
 
-def _places(h: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndarray:
-    x, step = (X.mix(h + _U(0xA24BAED4963EE407 * k % (1 << 64))) for k in (2 * level, 2 * level + 1))
-    return ((((x + (step | _U(1)) * _U(probe)) >> _U(32)) * bits) >> _U(32)).astype(np.int64)
-
-
 def _probes(level: int) -> int:
     return PROBES[0] if level == 1 else PROBES[1]
 
 
-def build_segment(h: np.ndarray, c: np.ndarray) -> bytes:
-    """The filter of these n-grams, about half of its bits set; at most 512 MB."""
+def _places(rest: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the level's probes in a segment of so many bits; the caller may narrow `rest` and `bits` between probes."""
+    x, step = (X.mix(rest + _U(0xA24BAED4963EE407 * k % (1 << 64))) for k in (2 * level, 2 * level + 1))
+    step |= _U(1)
+    for _ in range(_probes(level)):
+        yield ((((x >> _U(32)) * bits) >> _U(32))).astype(np.int64)
+        x = x + step
+
+
+def build_segment(rest: np.ndarray, c: np.ndarray) -> bytes:
+    """The filter of these distinct n-grams, sized by its entries so that about half of its bits are set."""
     level = levels(c)
-    entries = sum(_probes(j) * int((level >= j).sum()) for j in range(1, int(level.max(initial=0)) + 1))
-    bits = min((1 << 32) - 64, -(-int(entries / np.log(2) + 1) // 64) * 64)
+    top = int(level.max(initial=0))
+    entries = sum(_probes(j) * int((level >= j).sum()) for j in range(1, top + 1))
+    bits = -(-int(entries / np.log(2) + 1) // 64) * 64
     out = np.zeros(bits, bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        own = h[level >= j]
-        for i in range(_probes(j)):
-            out[_places(own, j, i, _U(bits))] = True
+    for j in range(1, top + 1):
+        for at in _places(rest[level >= j], j, _U(bits)):
+            out[at] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter segments of rows sorted by h; one segment is held at a time."""
-    h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """The filter segments of packed rows sorted by segment; one segment is held at a time."""
+    at, held = None, []
 
-    def done(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        return pa.record_batch([pa.array([int(h[0] >> _U(64 - SEGMENT_BITS))], pa.int32()), pa.array([build_segment(h[new], np.add.reduceat(c, new))], pa.binary())], names=["segment", "bits"])
+    def done() -> pa.RecordBatch:
+        rest, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(rest)
+        rest, c = rest[order], c[order]
+        new = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
+        return pa.record_batch([pa.array([at], pa.int64()), pa.array([build_segment(rest[new], np.add.reduceat(c, new))], pa.binary())], names=["segment", "bits"])
 
     for batch in batches:
-        h, c = np.concatenate([h, X.unsigned(batch.column(0).to_numpy())]), np.concatenate([c, batch.column(1).to_numpy()])
-        segment = h >> _U(64 - SEGMENT_BITS)
-        cuts = np.flatnonzero(segment[1:] != segment[:-1]) + 1
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
-            yield done(h[a:b], c[a:b])
-        if len(cuts):
-            h, c = h[cuts[-1] :], c[cuts[-1] :]
-    if len(h):
-        yield done(h, c)
+        rest, counts = batch.column(1), batch.column(2)
+        for i, segment in enumerate(batch.column(0).to_pylist()):
+            if segment != at and held:
+                yield done()
+                held = []
+            at = segment
+            held.append((_unpacked(rest[i].as_buffer()), np.frombuffer(counts[i].as_buffer(), np.int64)))
+    if held:
+        yield done()
 
 
 class Filter:
-    """Segments in one array; `level` answers 0 for n-grams of segments that aren't there."""
-
-    def __init__(self, segments: list[tuple[int, bytes]]):
-        self.base, self.bits = np.zeros(1 << SEGMENT_BITS, np.int64), np.zeros(1 << SEGMENT_BITS, np.uint64)
-        at = 0
-        for segment, data in segments:
-            self.base[segment], self.bits[segment] = at * 8, len(data) * 8
-            at += len(data)
-        self.data = np.frombuffer(b"".join(data for _, data in segments), np.uint8)
+    """The segments from `low` on, in one array; `level` answers 0 for n-grams of segments that aren't there."""
+
+    def __init__(self, bits: int, low: int, sizes: np.ndarray, data: np.ndarray):
+        self.segment_bits, self.low, self.data = bits, low, data
+        self.size = (sizes * 8).astype(np.uint64)
+        self.base = (np.concatenate(([0], np.cumsum(sizes)[:-1])) * 8).astype(np.int64) if len(sizes) else sizes.astype(np.int64)
+
+    @classmethod
+    def of(cls, bits: int, low: int, high: int, segments: Iterator[tuple[int, bytes]], room: int) -> Filter:
+        """From (segment, bytes) in order of segments; `room` is the sum of their bytes."""
+        sizes, data, at = np.zeros(high - low, np.int64), np.zeros(room, np.uint8), 0
+        for segment, own in segments:
+            data[at : at + len(own)] = np.frombuffer(own, np.uint8)
+            sizes[segment - low], at = len(own), at + len(own)
+        return cls(bits, low, sizes, data)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.uint8)
-        segment = (h >> _U(64 - SEGMENT_BITS)).astype(np.int64)
-        base, bits = self.base[segment], self.bits[segment]
-        live, j = np.flatnonzero(bits), 1
+        segment = _segment(h, self.segment_bits) - self.low
+        live = np.flatnonzero((segment >= 0) & (segment < len(self.size)))
+        live = live[self.size[segment[live]] > 0]
+        rest, base, size, j = _rest(h[live], self.segment_bits), self.base[segment[live]], self.size[segment[live]], 1
         while len(live):
-            for i in range(_probes(j)):
-                at = base[live] + _places(h[live], j, i, bits[live])
-                live = live[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
+            there = np.ones(len(live), bool)
+            for at in _places(rest, j, size):
+                at += base
+                there &= (np.take(self.data, at >> 3) >> (at & 7).astype(np.uint8)) & 1 == 1
+            live, rest, base, size = live[there], rest[there], base[there], size[there]
             out[live] = j
             j += 1
         return out
@@ -173,77 +261,124 @@ class Counts:
 
     def __init__(self, h: np.ndarray, c: np.ndarray, tokens: int, words: int, begins: float):
         order, self.begins = np.argsort(h), begins
-        self.h, self.c, self.tokens, self.words = h[order], c[order].astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.int64), tokens, words
+        self.h, self.c, self.tokens, self.words = h[order], c[order], tokens, words
+
+    @property
+    def whole(self) -> float:
+        """What a count and one is divided by."""
+        return float(self.tokens + self.words + 1)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Counts, -1 for words that aren't frequent."""
         if not len(self.h):
             return np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.c[at].astype(np.int64), -1)
+        return np.where(self.h[at] == h, self.c[at], -1)
 
 
 def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1])  # every text has an end token
 
 
-_ROWS = "doc_id bigint, t bigint, main boolean, h bigint, tf bigint, n_tokens bigint, n_known bigint, base double, score double"
+def log_probabilities(found: list[np.ndarray], bounds: np.ndarray, counts: Counts) -> np.ndarray:
+    """log10 probability of each token; found: the levels of the n-grams of one word, two words and so on that end there."""
+    c = [count_of(x.astype(np.int64)) for x in found]
+    p = (c[0] + 1) / counts.whole
+    for shorter, longer in zip(c[:-1], c[1:], strict=True):
+        history = np.empty_like(shorter)
+        history[1:] = shorter[:-1]
+        history[bounds[:-1]] = counts.begins
+        prior = PRIOR * history**POWER + 1 if shorter is c[0] else LONG_PRIOR
+        both = np.minimum(longer, np.minimum(shorter, history))  # neither part of an n-gram is rarer than it
+        p = (both + prior * p) / (history + prior)
+    return np.log10(p)
 
 
-def _score(counts, bloom, last: bool):
-    """One pass over the documents with one shard: columns doc_id, t, text and the levels found so far."""
+def _levels_of(own: list[np.ndarray], shard: Filter) -> list[np.ndarray]:
+    """Levels of the n-grams by order; words, which repeat, are probed once each."""
+    word, where = np.unique(own[0], return_inverse=True)
+    return [shard.level(word)[where], *(shard.level(h) for h in own[1:])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, shard = counts.value, bloom.value
-        for batch in batches:
-            found = []
-            for a, token, before, bounds in _tokens(batch.column(2)):
-                n = len(bounds) - 1
-                c = exact.of(token)
-                rare = np.flatnonzero(c < 0)
-                two = shard.level(_bigram(before, token))
-                one = np.zeros(len(token), np.uint8)
-                one[rare] = shard.level(token[rare])
-                if batch.column(3).null_count < len(batch):
-                    had = np.frombuffer(b"".join(batch.column(3).slice(a, n).to_pylist()), np.uint8).reshape(-1, 2)
-                    one, two = np.maximum(one, had[:, 0]), np.maximum(two, had[:, 1])
-                if not last:
-                    both = np.stack([one, two], 1)
-                    found += [both[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                    continue
-                yield from _judged(batch, a, token, bounds, c, rare, one, two, exact)
-            if not last:
-                yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array(found, pa.binary())], names=["doc_id", "t", "text", "levels"])
 
-    return run
+_ROWS = "doc_id bigint, t bigint, main boolean, h bigint, tf bigint, n_tokens bigint, n_known bigint, base double, score double"
+_NAMES = [x.split(" ")[0] for x in _ROWS.split(", ")]
+
+
+def _row(ids: pa.Array, t: pa.Array, **columns) -> pa.RecordBatch:
+    kinds = {"main": pa.bool_(), "base": pa.float64(), "score": pa.float64()}
+    columns |= {"doc_id": ids, "t": t}
+    return pa.record_batch([columns[n] if n in columns else pa.nulls(len(ids), kinds.get(n, pa.int64())) for n in _NAMES], names=_NAMES)
 
 
-def _judged(batch, a, token, bounds, c, rare, one, two, exact) -> Iterator[pa.RecordBatch]:
-    n, whole = len(bounds) - 1, exact.tokens + exact.words + 1
-    known = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / whole), 0.0)
-    count = np.where(c >= 0, c, count_of(one)).astype(float)
-    history = np.empty_like(count)
-    history[1:] = count[:-1]
-    history[bounds[:-1]] = exact.begins
-    pair = np.minimum(count_of(two), np.minimum(count, history))
-    prior = PRIOR * history**POWER + 1
-    p = (pair + prior * (count + 1) / whole) / (history + prior)
+def _base(batch: pa.RecordBatch, a: int, token: np.ndarray, bounds: np.ndarray, counts: Counts, score: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A main row per text with its exact measures, and a row per text and word that isn't frequent."""
+    n = len(bounds) - 1
+    word, where = np.unique(token, return_inverse=True)
+    c = counts.of(word)[where]
+    known = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / counts.whole), 0.0)
     ids, t = batch.column(0).slice(a, n), batch.column(1).slice(a, n)
-    blank = pa.nulls(n, pa.int64())
-    yield pa.record_batch(
-        [ids, t, pa.array(np.ones(n, bool)), t, blank, pa.array(np.diff(bounds)), pa.array(_sum_by((c > 0).astype(np.int64), bounds)), pa.array(_sum_by(known, bounds)), pa.array(_sum_by(np.log10(p), bounds))],
-        names=["doc_id", "t", "main", "h", "tf", "n_tokens", "n_known", "base", "score"],
-    )
+    given = {} if score is None else {"score": pa.array(score)}
+    yield _row(ids, t, main=pa.array(np.ones(n, bool)), h=t, n_tokens=pa.array(np.diff(bounds)), n_known=pa.array(_sum_by((c > 0).astype(np.int64), bounds)), base=pa.array(_sum_by(known, bounds)), **given)
+    rare = np.flatnonzero(c < 0)
     row = np.searchsorted(bounds, rare, "right") - 1
     order = np.lexsort((token[rare], row))
     row, h = row[order], token[rare][order]
     new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, int)
     tf, at = np.diff(np.concatenate((new, [len(h)]))), pa.array(row[new])
-    m = len(new)
-    yield pa.record_batch(
-        [ids.take(at), t.take(at), pa.array(np.zeros(m, bool)), pa.array(X.signed(h[new])), pa.array(tf, pa.int64()), *(pa.nulls(m, pa.int64()),) * 2, *(pa.nulls(m, pa.float64()),) * 2],
-        names=["doc_id", "t", "main", "h", "tf", "n_tokens", "n_known", "base", "score"],
-    )
+    yield _row(ids.take(at), t.take(at), main=pa.array(np.zeros(len(new), bool)), h=pa.array(X.signed(h[new])), tf=pa.array(tf, pa.int64()))
+
+
+def _judge(counts, bloom, order: int):
+    """The one pass where the filter is one shard; columns doc_id, t and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, token, bounds in _tokens(batch.column(2)):
+                found = _levels_of(grams(token, bounds, order), bloom.value)
+                yield from _base(batch, a, token, bounds, counts.value, _sum_by(log_probabilities(found, bounds, counts.value), bounds))
+
+    return run
+
+
+def _measure(counts):
+    """The pass for the base scores alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, token, bounds in _tokens(batch.column(2)):
+                yield from _base(batch, a, token, bounds, counts.value, None)
+
+    return run
+
+
+_FOUND = "doc_id bigint, t bigint, shard int, levels binary"
+
+
+def _probe(bloom, shard: int, order: int):
+    """The levels found in one of several shards, by order and token, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, token, bounds in _tokens(batch.column(2)):
+                found, n = np.stack(_levels_of(grams(token, bounds, order), bloom.value), 1), len(bounds) - 1
+                parts = [zlib.compress(found[x:y].tobytes(), 1) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.record_batch([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array([shard] * n, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "t", "shard", "levels"])
+
+    return run
+
+
+def _merge(counts, order: int):
+    """Scores of rows doc_id, t and parts, the levels found in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for parts in batch.column(2):
+                found = np.maximum.reduce([np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).reshape(-1, order) for x in parts.values])
+                scores.append(float(log_probabilities(list(found.T), np.array([0, len(found)]), counts.value).sum()))
+            yield _row(batch.column(0), batch.column(1), main=pa.array([False] * len(batch), pa.bool_()), h=batch.column(1), score=pa.array(scores, pa.float64()))
+
+    return run
 
 
 def _frequent(vocabulary: DataFrame, most: int) -> Counts:
@@ -257,23 +392,27 @@ def _frequent(vocabulary: DataFrame, most: int) -> Counts:
     return Counts(X.unsigned(table.column("h").to_numpy()), table.column("c").to_numpy(), tokens, words, float(ends.c) if ends else 0.0)
 
 
-def _shards(filters: DataFrame, shard_bytes: int) -> Iterator[tuple[Filter, bool]]:
-    """The filter in shards of at most shard_bytes, read one by one, and whether it is the last."""
-    sizes = filters.select("segment", F.length("bits").alias("n")).orderBy("segment").collect()
-    groups, size = [[]], 0
-    for r in sizes:
-        if groups[-1] and size + r.n > shard_bytes:
-            groups.append([])
-            size = 0
-        groups[-1].append(r.segment)
-        size += r.n
-    for g in groups:
-        own = filters.where(F.col("segment").between(g[0], g[-1])) if g else filters
-        yield Filter([(r.segment, bytes(r.bits)) for r in own.toLocalIterator()]), g is groups[-1]
+def segment_bits(tokens: int, order: int, segment_grams: int) -> int:
+    """Bits of a hash that name its segment: one of so many that a segment counts segment_grams n-grams at most, on average."""
+    return max(1, ceil(log2(max(1, tokens * order) / segment_grams))) if tokens * order > segment_grams else 1
+
+
+def build(train: DataFrame, vocabulary: DataFrame, bits: int, order: int = ORDER) -> DataFrame:
+    """segment and bits: the filter of the n-grams of train(text) and of the words with their counts."""
+    packed = train.mapInArrow(_count_grams(bits, order), _PACKED).unionByName(vocabulary.select("h", "c").mapInArrow(_pack_words(bits), _PACKED))
+    return packed.repartition(max(1, (1 << bits) // 4), "segment").sortWithinPartitions("segment").mapInArrow(_segments, "segment bigint, bits binary")
+
+
+def _shard(spark: SparkSession, filters: DataFrame, bits: int, low: int, high: int):
+    """The segments from low to high - 1, read one file after the other, as a broadcast."""
+    own = filters.where(F.col("segment").between(low, high - 1))
+    room = own.agg(F.sum(F.length("bits"))).first()[0] or 0
+    return spark.sparkContext.broadcast(Filter.of(bits, low, high, ((r.segment, bytes(r.bits)) for r in own.orderBy("segment").toLocalIterator()), int(room)))
 
 
 def score(
-    docs: DataFrame, *, held_out: Column | None = None, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, held_out: Column | None = None, order: int = ORDER, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES,
+    segment_grams: int = SEGMENT_GRAMS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text).
 
@@ -283,26 +422,41 @@ def score(
     held_out = F.coalesce(_labelled.fold(F.col("doc_id"), FOLDS) == HELD_FOLD if held_out is None else held_out, F.lit(False))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     train = read.where(~held_out).select("text")
-    vocabulary = stash(train.mapInArrow(_count(False), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    segment = F.shiftrightunsigned("h", 64 - SEGMENT_BITS)
-    grams = train.mapInArrow(_count(True), "h bigint, c bigint").unionByName(vocabulary)
-    filters = stash(grams.repartition(segment).sortWithinPartitions("h").mapInArrow(_segments, "segment int, bits binary"), "filter")
+    vocabulary = stash(train.mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "words")
     counts = _frequent(vocabulary, frequent)
+    bits = segment_bits(counts.tokens, order, segment_grams)
+    filters = stash(build(train, vocabulary, bits, order), "filter")
     held = spark.sparkContext.broadcast(counts)
-    rows = read.select("doc_id", F.xxhash64("text").alias("t"), "text", F.lit(None).cast("binary").alias("levels"))
-    for shard, last in _shards(filters, shard_bytes):
-        run = _score(held, spark.sparkContext.broadcast(shard), last)
-        rows = rows.mapInArrow(run, _ROWS) if last else stash(rows.mapInArrow(run, "doc_id bigint, t bigint, text string, levels binary"), "levels")
+    rows = read.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    total = filters.agg(F.sum(F.length("bits"))).first()[0] or 0
+    step = -(-(1 << bits) // max(1, -(-total // shard_bytes)))
+    ranges = [(low, min(low + step, 1 << bits)) for low in range(0, 1 << bits, step)]
+    if len(ranges) == 1:
+        rows = rows.mapInArrow(_judge(held, _shard(spark, filters, bits, *ranges[0]), order), _ROWS)
+    else:
+        passes = []
+        for number, (low, high) in enumerate(ranges):
+            bloom = _shard(spark, filters, bits, low, high)
+            passes.append(stash(rows.mapInArrow(_probe(bloom, number, order), _FOUND), "levels"))
+            bloom.destroy()
+        found = passes[0]
+        for other in passes[1:]:
+            found = found.unionByName(other)
+        # equal rows first become one, so that a list has one part of each shard
+        parts = found.groupBy("doc_id", "t", "shard").agg(F.max("levels").alias("levels")).groupBy("doc_id", "t").agg(F.collect_list("levels").alias("parts"))
+        scored = stash(parts.mapInArrow(_merge(held, order), _ROWS), "scored")
+        discard(filters, *passes)
+        rows = rows.mapInArrow(_measure(held), _ROWS).unionByName(scored)
     joined = rows.join(vocabulary.select(F.col("h").alias("w"), "c"), F.col("h") == F.col("w"), "left")
     c = F.coalesce("c", F.lit(0))
-    main, rare = F.col("main"), ~F.col("main")
+    main, rare = F.col("main"), F.col("tf").isNotNull()
     summed = joined.groupBy("doc_id", "t").agg(
         F.sum(F.when(main, 1)).alias("rows"),
         F.max("n_tokens").alias("n_tokens"),
         F.max("n_known").alias("known"),
         F.sum(F.when(rare & (c > 0), F.col("tf"))).alias("rare"),
         F.max("base").alias("base"),
-        F.sum(F.when(rare, F.col("tf") * F.log10((c + 1) / F.lit(float(counts.tokens + counts.words + 1))))).alias("rare_base"),
+        F.sum(F.when(rare, F.col("tf") * F.log10((c + 1) / F.lit(counts.whole)))).alias("rare_base"),
         F.max("score").alias("score"),
     )
     out = summed.select(
@@ -316,3 +470,17 @@ def score(
         F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row"),
     )
     return out.drop("_row")
+
+
+ORACLE_BASE = r"""
+WITH k AS (SELECT n, list_reduce(list_concat([n], range(8)), lambda a, i: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS b(n)),
+tab AS (SELECT list(v ORDER BY n) AS tab FROM k),
+f AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda a, ch: xor(a >> 8, tab[(xor(a, ch) & 255) + 1])), 4294967295) % 7 = 2 AS held_out FROM documents, tab),
+d AS (SELECT doc_id, held_out, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS w FROM documents JOIN f USING (doc_id)),
+s AS (SELECT doc_id, held_out, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM s WHERE NOT held_out GROUP BY x),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))), 3) AS base_score
+FROM s LEFT JOIN c USING (x), n GROUP BY doc_id
+"""

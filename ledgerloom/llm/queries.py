@@ -45,6 +45,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op6: its exact columns, the base score to three digits."""
+    return op6_lm_scoring(spark, sf_dir).withColumn("base_score", F.round("base_score", 3)).drop("score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_mixing": op5_mixing,
         "op6_lm_scoring": op6_lm_scoring,
+        "lm_base_scores": lm_base_scores,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
@@ -85,6 +91,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op4_jaccard_join": jaccard_join.ORACLE,
         "op5_mixing": mixing.ORACLE,
+        "lm_base_scores": lm_scoring.ORACLE_BASE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_license_scan": license_scan.ORACLE,
