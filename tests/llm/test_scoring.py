@@ -12,7 +12,7 @@ import pytest
 from helpers import SF, agree
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import license_scan as LS, lm_scoring as LM, quality_classifier as Q, quality_rules as R, queries, toxicity as TX
+from ledgerloom.llm import _text as X, license_scan as LS, lm_scoring as LM, quality_classifier as Q, quality_rules as R, queries, toxicity as TX
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -117,7 +117,8 @@ def test_lm_against_a_plain_model(spark, options):
     plain = sorted((str(i), len(tokens(t)), exact[str(i), t]) for i, t, _ in rows)
     scored = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
     off = [abs(a - b) / n for (_, n, a), (_, _, b) in zip(plain, scored, strict=True)]
-    assert sum(off) / len(off) < 0.02  # one n-gram in 64 that was never seen passes six probes, and is then a tenth as likely or ten times
+    # of bigrams that were never seen one in 64 passes six probes, and makes its word 100 to 10,000 times likelier
+    assert sum(off) / len(off) < 0.05
 
 
 def test_shards_and_segments_do_not_change_scores(spark):
@@ -147,12 +148,14 @@ def test_filter_never_forgets_and_rarely_invents():
     rng, bits = np.random.default_rng(0), 5
     h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
     c = rng.integers(1, 200, len(h))
+    h = LM._marked(h, False) | (np.arange(len(h)) % 2).astype(np.uint64)
     order = (h >> np.uint64(64 - bits)).astype(int)
     built = [(int(s), LM.build_segment(LM._rest(h[order == s], bits), c[order == s])) for s in np.unique(order)]
     bloom = LM.Filter.of(bits, 0, 1 << bits, iter(built), sum(len(b) for _, b in built))
     level = bloom.level(h)
     assert (level >= LM.levels(c)).all() and (level == LM.levels(c)).mean() > 0.8
-    assert (bloom.level(h + np.uint64(1)) > 0).mean() < 0.03
+    other = X.mix(h)
+    assert (bloom.level(LM._marked(other, False)) > 0).mean() < 0.025 and (bloom.level(LM._marked(other, True)) > 0).mean() < 0.08
     half = LM.Filter.of(bits, 16, 1 << bits, iter(built[16:]), sum(len(b) for _, b in built[16:]))
     assert (half.level(h) == np.where(order >= 16, level, 0)).all()
     assert LM.levels(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
@@ -162,21 +165,23 @@ def test_segments_follow_the_corpus():
     assert [LM.segment_bits(n, 3, 1 << 20) for n in (0, 1000, 1 << 20, 71_000_000, 10**13)] == [1, 1, 2, 8, 25]
 
 
-def rules(rows, limit):
-    hosts = {}
+def rules(rows, limit, percent=0, min_left=0.5):
+    hosts, sizes = {}, {}
     plain = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", K.lowered(x)).strip(" ")
-    for _, t, s in rows:
+    for i, t, s in rows:
+        sizes.setdefault(s, set()).add((i, t))
         for x in (t or "").split("\n"):
             if K.spaced(x):
-                hosts.setdefault((s, plain(x)), set()).add(t)
+                hosts.setdefault((s, plain(x)), set()).add((i, t))
+    above = {k for k, held in hosts.items() if len(held) > limit and 100 * len(held) > percent * len(sizes[k[0]])}
     out = []
     for i, t, s in rows:
         w, lines = K.spaced(t), [x for x in (t or "").split("\n") if K.spaced(x)]
         runs = Counter(tuple(w[p : p + 3]) for p in range(len(w) - 2))
         again = {q for p in range(len(w) - 2) if runs[tuple(w[p : p + 3])] > 1 for q in range(p, p + 3)}
-        left = len(w) - sum(len(K.spaced(x)) for x in lines if len(hosts[(s, plain(x))]) > limit)
+        left = len(w) - sum(len(K.spaced(x)) for x in lines if (s, plain(x)) in above)
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
-        out.append((str(i), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(again), failed, left, not failed and left >= 0.5 * len(w)))
+        out.append((str(i), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(again), failed, left, not failed and left >= min_left * len(w)))
     return sorted(out)
 
 
@@ -186,21 +191,30 @@ def test_quality_rules_against_brute_force(spark):
     rows = K.documents() + [(700 + i, f"{K.sentence(rng, 40 - i)}\n {banner.upper()} \n{banner}", "s1") for i in range(12)] + [(720, f"{banner}\n{K.sentence(rng, 60)} #| 𝄞", None)]
     docs = K.frame(spark, rows)
     for few in (10**6, 0):  # broadcast, and shuffle join
-        got = R.judge(docs, max_docs=5, broadcast_lines=few).collect()
-        assert sorted((str(r.doc_id), *r[1:]) for r in got) == rules(rows, 5)
-    clean = R.clean(docs, max_docs=5)
+        for percent, min_left in ((0, 0.5), (20, 0.9)):
+            got = R.judge(docs, max_docs=5, percent=percent, min_left=min_left, broadcast_lines=few).collect()
+            assert sorted((str(r.doc_id), *r[1:]) for r in got) == rules(rows, 5, percent, min_left)
+    clean = R.clean(docs, max_docs=5, percent=0, min_left=0.5)
     assert clean.columns == docs.columns
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(i for i, *_, kept in rules(rows, 5) if kept)
     assert not any(banner in r.text.lower() for r in clean.where("source = 's1'").collect())
     assert R.judge(K.empty(spark)).count() == 0 and R.clean(K.empty(spark)).count() == 0
 
 
-def test_copies_count_as_documents(spark):
+def test_copies_count_as_documents_and_the_limit_grows_with_the_host(spark):
     banner, rng = "one line of a host that all of its pages share", random.Random(2)
     texts = [f"{K.sentence(rng, 60)}\n{banner}" for _ in range(6)]
     rows = [(i, texts[i // 2], "pairs") for i in range(12)] + [(50, texts[0], "once")] * 12 + [(60 + i, texts[i], "few") for i in range(6)]
-    got = {(r.doc_id, r.n_words - r.n_left) for r in R.judge(K.frame(spark, rows), max_docs=8).collect()}
-    assert got == {(i, 11) for i in range(12)} | {(50, 0)} | {(60 + i, 0) for i in range(6)}
+    cut = lambda rows, **options: {(r.doc_id, r.n_words - r.n_left) for r in R.judge(K.frame(spark, rows), **options).collect()}
+    assert cut(rows, max_docs=8) == {(i, 11) for i in range(12)} | {(50, 0)} | {(60 + i, 0) for i in range(6)}
+    rows = [(i, texts[i % 6], "large") for i in range(9)] + [(i, K.sentence(rng, 60), "large") for i in range(9, 90)]
+    assert {n for i, n in cut(rows, percent=9) if i < 9} == {11} and {n for _, n in cut(rows, percent=10)} == {0}
+
+
+def test_the_method_itself_rejects_documents(spark):
+    rows = queries.op7_quality_rules(spark, SF.replace("0.001", "0.01")).collect()
+    assert sum(r.n_left < r.n_words for r in rows) > 50 and any(not r.kept and not r.base_failed for r in rows)
+    assert sum(r.base_failed or r.kept for r in rows) > 0.99 * len(rows)
 
 
 def test_long_repetitive_text_is_handled(spark):
