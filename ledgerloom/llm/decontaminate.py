@@ -3,14 +3,17 @@
 The windows of all benchmark items (13 words, or the whole of a shorter item)
 make a hash set that is broadcast; every document's token windows are probed
 against it, and a hit is verified word by word before it counts. The benchmark
-is dealt out in blocks of at most `block_bytes` of text, so each broadcast is
-bounded whatever the benchmark's size; each block is one more scan.
+is dealt out in blocks of at most `block_bytes` of text, of which the set takes at most fifteen
+times as much. One block is broadcast at a time: of several, each is a scan
+of the documents that writes the texts it hits (by hash, without the text) and is then
+destroyed, so a large benchmark takes more scans and no more memory. Longer items are
+cut into pieces that overlap by all but one word of a window.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words (or null) is no item; items that repeat a text all count; an item with a
 null id marks words but is no counted item; rows are judged one by one, so
-repeated or null doc_ids are harmless; columns other than the id and the text
-are not looked at.
+repeated or null doc_ids are harmless; doc_ids are whole numbers; columns other than the id and the text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerloom.llm import _text as X
+from ledgerloom.store import stash
 
 WINDOW = 13
 #: Benchmark text in one broadcast block, at most.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 HIT_SCHEMA = T.StructType(
     [
@@ -38,42 +42,70 @@ HIT_SCHEMA = T.StructType(
 
 
 class WindowSet:
-    """Benchmark windows by hash, with a bitmap that turns most words away."""
+    """The distinct windows of items in arrays: by length their sorted hashes, where they stand in the items' text and which
+    items hold them, with a bitmap that turns most words away."""
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.by_hash: dict[int, list[tuple[tuple[bytes, ...], list[str | None]]]] = {}
-        self.bitmaps: dict[int, np.ndarray] = {}
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = X.split(raw, np.array([0, len(raw)]), X.NOT_ALNUM, lower=True)
-            n = len(words.hashes)
-            length = min(window, n)
-            if not length:
-                continue
-            plain = [words.word(i) for i in range(n)]
-            bitmap = self.bitmaps.setdefault(length, np.zeros(1 << self.BITS, bool))
-            for i, h in enumerate(X.windows(words.hashes, length).tolist()):
-                bitmap[h >> (64 - self.BITS)] = True
-                entries, key = self.by_hash.setdefault(h, []), tuple(plain[i : i + length])
-                for have, ids in entries:
-                    if have == key:
-                        ids.append(item_id)
-                        break
-                else:
-                    entries.append((key, [item_id]))
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        raw, ends = "".join(text for _, text in items).encode(), np.cumsum([len(text.encode()) for _, text in items], dtype=np.int64)
+        self.ids = [i for i, _ in items]
+        self.words = words = X.split(np.frombuffer(raw, np.uint8), np.concatenate(([0], ends)), X.NOT_ALNUM, lower=True)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in sorted({min(window, n) for n in words.counts.tolist()} - {0}):
+            at = np.flatnonzero((words.left >= length) & np.repeat((words.counts >= window) if length == window else (words.counts == length), words.counts))
+            self.by_length[length] = self._grouped(X.windows(words.hashes, length)[at], at, words.text_of[at], length)
+        words.hashes = np.zeros(0, np.uint64)
+        words.start, words.end = words.start.astype(np.int32), words.end.astype(np.int32)
+
+    def _grouped(self, h: np.ndarray, at: np.ndarray, item: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """(hashes, places, first items, items, bitmap) of the distinct windows: equal hashes count as one window only where the words are equal."""
+        order = np.lexsort((item, at, h))
+        h, at, item = h[order], at[order], item[order]
+        fresh = np.concatenate(([True], h[1:] != h[:-1]))
+        start = np.flatnonzero(fresh)
+        if self._same(at, at[np.repeat(start, np.diff(np.concatenate((start, [len(h)]))))], length).all():
+            kind = np.cumsum(fresh) - 1
+        else:  # different windows of one hash
+            seen: dict[tuple, int] = {}
+            kind = np.array([seen.setdefault((x, *self.spelt(i, length)), len(seen)) for x, i in zip(h.tolist(), at.tolist(), strict=True)])
+        order = np.lexsort((item, kind))
+        kind, own, new = kind[order], item[order], np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (own[1:] != own[:-1])
+        firsts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        places, hashes = at[order][firsts], h[order][firsts]
+        by_hash = np.argsort(hashes, kind="stable")
+        counts = np.bincount(kind[new], minlength=len(firsts))
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        own = own[new]
+        items = np.concatenate([own[bounds[k] : bounds[k + 1]] for k in by_hash]) if not (by_hash == np.arange(len(by_hash))).all() else own
+        bitmap = np.zeros(1 << self.BITS, bool)
+        bitmap[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        return hashes[by_hash], places[by_hash].astype(np.int32), np.concatenate(([0], np.cumsum(counts[by_hash]))), items.astype(np.int32), bitmap
+
+    def _same(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+        """Whether the windows at a and at b have equal words."""
+        out, move = np.ones(len(a), bool), np.flatnonzero(a != b)
+        if len(move):
+            out[move] = [self.spelt(i, length) == self.spelt(j, length) for i, j in zip(a[move].tolist(), b[move].tolist(), strict=True)]
+        return out
+
+    def spelt(self, at: int, length: int) -> list[bytes]:
+        return [self.words.word(i) for i in range(at, at + length)]
 
     def hits(self, words: X.Words) -> Iterator[tuple[int, int, list[str | None]]]:
         """(first word, words, items) of every occurrence of a window in any of the texts."""
         left = words.left
-        for length, bitmap in self.bitmaps.items():
+        for length, (hashes, places, bounds, items, bitmap) in self.by_length.items():
             found = X.windows(words.hashes, length)
             maybe = np.flatnonzero(bitmap[(found >> np.uint64(64 - self.BITS)).astype(np.int64)])
-            for i in maybe[left[maybe] >= length].tolist():
-                for key, ids in self.by_hash.get(int(found[i]), ()):
-                    if len(key) == length and all(words.word(i + j) == w for j, w in enumerate(key)):
-                        yield i, length, ids
+            maybe = maybe[left[maybe] >= length]
+            low, high = np.searchsorted(hashes, found[maybe]), np.searchsorted(hashes, found[maybe], "right")
+            for i, a, b in zip(maybe[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                own = [words.word(i + j) for j in range(length)]
+                for k in range(a, b):
+                    if own == self.spelt(int(places[k]), length):
+                        yield i, length, [self.ids[x] for x in items[bounds[k] : bounds[k + 1]].tolist()]
 
 
 def _scan(column: pa.Array, known: WindowSet) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -103,17 +135,100 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcasts of the benchmark's windows, each made of at most block_bytes of text (or of one item)."""
-    spark, out, held, size = benchmark.sparkSession, [], [], 0
+def _pieces(text: str, window: int, most: int) -> Iterator[str]:
+    """The text, or parts of it of at most `most` bytes (of one window at least) that hold all of its windows."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) <= most:
+        yield text
+        return
+    words, at = X.split(raw, np.array([0, len(raw)]), X.NOT_ALNUM, lower=True), 0
+    n = len(words.start)
+    while at < n:
+        to = max(int(np.searchsorted(words.end, words.start[at] + most, "right")), min(at + window, n))
+        yield raw[words.start[at] : words.end[to - 1]].tobytes().decode()
+        at = n if to == n else to - window + 1
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[WindowSet]:
+    """Sets of the benchmark's windows, each made of at most block_bytes of text; one set without windows if there are no items."""
     items = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
+    held, size, some = [], 0, False
     for item_id, text in items.toLocalIterator():
-        if held and size + len(text) > block_bytes:
-            out.append(spark.sparkContext.broadcast(WindowSet(held, window)))
-            held, size = [], 0
-        held.append((item_id, text))
-        size += len(text)
-    return [*out, spark.sparkContext.broadcast(WindowSet(held, window))]
+        for piece in _pieces(text, window, block_bytes):
+            more = len(piece.encode())
+            if held and size + more > block_bytes:
+                yield WindowSet(held, window)
+                held, size, some = [], 0, True
+            held.append((item_id, piece))
+            size += more
+    if held or not some:
+        yield WindowSet(held, window)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in rows], _SPANS)
+
+
+def _keys(text: Column) -> list[Column]:
+    """Two hashes that name a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+_HIT = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), *HIT_SCHEMA.fields[2:]])
+
+
+def _hit_texts(block):
+    """t1, t2, spans and item_ids of the texts (columns t1, t2, text) with a hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, s, ids) for i, (_, s, ids) in enumerate(_scan(batch.column(2), block.value)) if s]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), _spans([s for _, s, _ in found]), pa.array([x for *_, x in found], pa.list_(pa.string()))], names=_HIT.names)
+
+    return run
+
+
+def _merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text from the sets of what the blocks found; columns t1, t2, spans and items, arrays of arrays."""
+    for batch in batches:
+        spans = [_merged([(x["start"], x["end"]) for part in row for x in part]) for row in batch.column(2).to_pylist()]
+        items = [sorted({x for part in row for x in part}) for row in batch.column(3).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), _spans(spans), pa.array(items, pa.list_(pa.string()))], names=_HIT.names)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> tuple:
+    """(block, None): the whole benchmark as one broadcast; or (None, hits): t1, t2, spans and item_ids of all texts with a hit."""
+    context, blocks = docs.sparkSession.sparkContext, _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return context.broadcast(block), None
+    read, hits = docs.select(*_keys(F.col(text_col)), F.col(text_col).alias("text")), None
+    while block is not None:
+        held = context.broadcast(block)
+        found = stash(read.mapInArrow(_hit_texts(held), _HIT), "hits")
+        held.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+        block, after = after, next(blocks, None)
+    # copies of a text have found the same, so a set has one element of each block
+    sets = hits.groupBy("t1", "t2").agg(F.collect_set("spans").alias("spans"), F.collect_set("item_ids").alias("item_ids"))
+    return None, stash(sets.mapInArrow(_merge_hits, _HIT), "hits")
+
+
+def _beside(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
+    """row (the document), n_words, spans and item_ids."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(F.col(text_col)))
+    both = row.alias("r").join(hits.alias("h"), (F.col("r.t1") == F.col("h.t1")) & (F.col("r.t2") == F.col("h.t2")), "left")
+    plain = F.translate(F.col("row")[text_col], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n_words = F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return both.select("row", n_words.alias("n_words"), *[F.coalesce(F.col(f"h.{c}"), F.array().cast(HIT_SCHEMA[c].dataType)).alias(c) for c in ("spans", "item_ids")])
+
+
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
 def find_hits(
@@ -122,29 +237,19 @@ def find_hits(
 ) -> DataFrame:
     """Per document: doc_id, n_words, spans of words inside a benchmark window, and the item_ids found."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    block, hits = _search(read, benchmark, "text", item_col, item_text_col, window, block_bytes)
+    if block is None:
+        return _beside(read, "text", hits).select("row.doc_id", "n_words", "spans", "item_ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(_scan(batch.column(1), block.value)) for block in blocks]
-            rows = [found[0][i] if len(found) == 1 else _joined([f[i] for f in found]) for i in range(len(batch))]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([n for n, _, _ in rows], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([ids for _, _, ids in rows], pa.list_(pa.string())),
-                ],
-                names=HIT_SCHEMA.names,
-            )
+            rows = list(_scan(batch.column(1), block.value))
+            columns = [batch.column(0), pa.array([n for n, _, _ in rows], pa.int64()), _spans([s for _, s, _ in rows]), pa.array([ids for _, _, ids in rows], pa.list_(pa.string()))]
+            yield pa.record_batch(columns, names=HIT_SCHEMA.names)
 
     return read.mapInArrow(scan, HIT_SCHEMA)
 
 
-def _joined(parts: list[tuple[int, list[tuple[int, int]], list[str]]]) -> tuple[int, list[tuple[int, int]], list[str]]:
-    return parts[0][0], _merged([s for _, spans, _ in parts for s in spans]), sorted({x for _, _, ids in parts for x in ids})
-
-
 def _contaminated(n_words: int, spans: list[tuple[int, int]], share: int) -> bool:
     hit = sum(b - a for a, b in spans)
     return hit > 0 and share * hit >= n_words
@@ -162,22 +267,32 @@ def decontaminate(
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    at = docs.columns.index(text_col)
+    block, hits = _search(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def cut(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        columns = [*batch.columns[: len(names)]]
+        columns[at] = pa.array([_cut(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)], batch.schema.field(at).type)
+        return pa.record_batch(columns, names=names)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(_scan(batch.column(at), block.value)) for block in blocks]
-            rows = [_joined([f[i] for f in found]) for i in range(len(batch))]
+            rows = list(_scan(batch.column(at), block.value))
             if remove == "documents":
                 yield batch.filter(pa.array([not _contaminated(n, spans, share) for n, spans, _ in rows], pa.bool_()))
             else:
-                texts = [_cut(t, spans) if spans else t for t, (_, spans, _) in zip(batch.column(at).to_pylist(), rows, strict=True)]
-                columns = [*batch.columns]
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
-                yield pa.record_batch(columns, schema=batch.schema)
+                yield cut(batch, [spans for _, spans, _ in rows])
+
+    def cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield cut(batch, [[(x["start"], x["end"]) for x in row] for row in batch.column(len(names)).to_pylist()])
 
-    return docs.mapInArrow(clean, docs.schema)
+    if block is not None:
+        return docs.mapInArrow(clean, docs.schema)
+    both = _beside(docs, text_col, hits)
+    if remove == "documents":
+        return both.where((F.size("spans") == 0) | (share * _n_hit("spans") < F.col("n_words"))).select("row.*")
+    return both.select(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("spans").alias("s")).mapInArrow(cut_found, docs.schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -192,11 +307,10 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def digest(hits: DataFrame, share: int = 20) -> DataFrame:
     """The columns of the query op1 from the rows of find_hits."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return hits.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        _n_hit("spans").alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
