@@ -5,13 +5,13 @@ place in both, a repeated passage of half that length. So windows of the
 shortest level are compared first, thinned to the least hash of each stretch
 (a choice that depends on content alone and is made in every window of twice
 the length); only where such a window occurs in two different texts are the
-windows of twice the length compared, and so on, until the target is reached
-or no candidates survive.
+windows of twice the length compared, thinned likewise, and so on, until no candidates survive
+or the target is reached, at which all windows around the candidates are compared.
 
 Equal texts are one class, compared through the row of smallest doc_id; in
 every other row of the class each window also starts in that smaller document.
 
-Hashes have 64 bits. Counts are combined before each shuffle, and joins on hot
+Candidates are named by 64 bits, and windows of the target by 128. Counts are combined before each shuffle, and joins on hot
 windows are left to adaptive skew splitting; no group is collected.
 
 Defined cases: a null text has no words; a text with fewer words than a window
@@ -34,6 +34,8 @@ from ledgerloom.llm import _text as X
 from ledgerloom.store import stash
 
 TARGET = 50
+#: Words of the shortest windows, about.
+START = 13
 
 
 def levels(target: int, start: int) -> list[int]:
@@ -62,19 +64,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _thinned(length: int, upper: int):
-    """Emits, for each text, the windows of `length` words that are least in a window of `upper` words."""
+def _thinned(length: int, upper: int, before: int | None = None):
+    """Emits, for each text, the windows of `length` words that are least in a window of `upper` words; columns text, t1 and,
+    if `before` is given, near: then only those that hold a candidate of `before` words, found at one of these places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1 = batch.column(1).to_numpy()
             for a, _, raw, offsets in X.pieces(batch.column(0)):
                 words = X.split(raw, offsets)
-                h = X.windows(words.hashes, length)
+                h, first = X.windows(words.hashes, length), words.first
                 least = X.least_in_window(h, upper - length + 1)
                 at = np.unique(least[words.left[: len(least)] >= upper])
+                if before is not None:
+                    held = [first[k] + _covering(batch.column(2)[a + k].values.to_numpy(), before, length, int(n)) for k, n in enumerate(words.counts)]
+                    at = np.intersect1d(at, np.concatenate(held), assume_unique=True)
                 text_of = words.text_of[at]
-                yield pa.record_batch([X.signed(h[at]), t1[a + text_of], at - words.first[text_of]], names=["h", "t1", "pos"])
+                yield pa.record_batch([X.signed(h[at]), t1[a + text_of], at - first[text_of]], names=["h", "t1", "pos"])
 
     return scan
 
@@ -89,20 +95,19 @@ def _covering(pos: np.ndarray, length: int, upper: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(marks[: n - upper + 1]) > 0)
 
 
-def _extended(length: int, upper: int, *keys: str):
-    """Emits the windows of `upper` words around each candidate of `length` words; columns text, near and the keys."""
+def _extended(length: int, upper: int):
+    """Emits the windows of `upper` words around each candidate of `length` words, with two hashes; columns text, near, doc_id and t1."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, near = X.binary(batch.column(0)), batch.column(1)
-            ids = [batch.column(2 + k).to_numpy() for k in range(len(keys))]
+            texts, near, ids, t1 = X.binary(batch.column(0)), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for i in range(len(batch)):
                 raw = np.frombuffer(texts[i].as_buffer(), np.uint8)
                 words = X.split(raw, np.array([0, len(raw)]))
                 at = _covering(near[i].values.to_numpy(), length, upper, len(words.hashes))
                 if len(at):
-                    h = X.windows(words.hashes, upper)[at]
-                    yield pa.record_batch([X.signed(h), *(np.full(len(at), x[i]) for x in ids), at], names=["h", *keys, "pos"])
+                    one, two = (X.windows(x, upper)[at] for x in (words.hashes, X.mix(words.hashes ^ np.uint64(0x3C6EF372FE94F82B))))
+                    yield pa.record_batch([X.signed(one), X.signed(two), np.full(len(at), ids[i]), np.full(len(at), t1[i]), at], names=["h", "h2", "doc_id", "t1", "pos"])
 
     return scan
 
@@ -169,16 +174,16 @@ def _judge(target: int, digest: bool):
     return scan
 
 
-def _repeated(rows: DataFrame, by: str) -> DataFrame:
-    """h of the windows found under more than one value of `by`, and the least of these.
+def _repeated(rows: DataFrame, by: str, *keys: str) -> DataFrame:
+    """The windows (by the hashes `keys`) found under more than one value of `by`, and the least of these.
 
     Written, so that a join with it shuffles both sides anew and its hot windows can be split.
     """
-    return stash(rows.groupBy("h").agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least < most").select("h", "least"), "repeated")
+    return stash(rows.groupBy(*keys).agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least < most").select(*keys, "least"), "repeated")
 
 
 def deduplicate(
-    docs: DataFrame, *, target: int = TARGET, start: int = 25, digest: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, target: int = TARGET, start: int = START, digest: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and kept, the words left joined by one space (digest: their SHA-256).
 
@@ -188,21 +193,21 @@ def deduplicate(
     steps = steps if len(steps) > 1 else [max(1, target // 2), target]
     keyed = _keyed(docs, id_col, text_col)
     known = keyed.where("doc_id IS NOT NULL")
-    windows = known.select("text", "t1").mapInArrow(_thinned(steps[0], steps[1]), _schema("h", "t1", "pos"))
-    found = windows.join(_repeated(windows, "t1").select("h"), "h").groupBy("t1").agg(F.collect_set("pos").alias("near"))
-    length = steps[0]
-    for upper in steps[1:-1]:
-        windows = known.join(found, "t1").select("text", "near", "t1").mapInArrow(_batched(_extended(length, upper, "t1")), _schema("h", "t1", "pos"))
-        found = windows.join(_repeated(windows, "t1").select("h"), "h").groupBy("t1").agg(F.collect_set("pos").alias("near"))
-        found, length = stash(found, "level"), upper
+    candidates, found, before = _schema("h", "t1", "pos"), None, None
+    for length, upper in zip(steps[:-1], steps[1:], strict=True):
+        texts = known.select("text", "t1") if found is None else known.join(found, "t1").select("text", "t1", "near")
+        windows = texts.mapInArrow(_thinned(length, upper, before), candidates)
+        again = windows.join(_repeated(windows, "t1", "h").select("h"), "h")
+        found, before = stash(again.groupBy("t1").agg(F.collect_set("pos").alias("near")), "level"), length
     leaders = known.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id")).join(found, "t1", "left")
     marked = keyed.join(leaders.withColumn("leads", F.lit(True)), ["doc_id", "t1", "t2"], "left")
     marked = marked.select("doc_id", "t1", "text", (F.col("leads").isNull() & F.col("doc_id").isNotNull()).alias("copy"), "near")
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
     held = stash(marked.mapInArrow(_settle(target, digest), "doc_id bigint, t1 bigint, n_words bigint, n_removed bigint, kept string, text string, near array<bigint>"), "substring")
     waiting = held.where("near IS NOT NULL")
-    windows = waiting.select("text", "near", "doc_id", "t1").mapInArrow(_batched(_extended(length, target, "doc_id", "t1")), _schema("h", "doc_id", "t1", "pos"))
-    later = windows.join(_repeated(windows, "doc_id"), "h").where("doc_id > least").groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("pos"))
+    windows = waiting.select("text", "near", "doc_id", "t1").mapInArrow(_batched(_extended(before, target)), _schema("h", "h2", "doc_id", "t1", "pos"))
+    again = windows.join(_repeated(windows, "doc_id", "h", "h2"), ["h", "h2"])
+    later = again.where("doc_id > least").groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("pos"))
     judged = waiting.select("doc_id", "t1", "text").join(later, ["doc_id", "t1"], "left").select("doc_id", "text", "pos")
     return held.where("near IS NULL").select(*_RESULT).unionByName(judged.mapInArrow(_judge(target, digest), result))
 
