@@ -6,15 +6,16 @@ replacement of any size. A source's target in words buys complete epochs over
 all of its documents first; the rest is the prefix of the key order whose words
 come nearest to what is left.
 
-A source may hold most of the rows, so its order is dealt out: keys fall into
-buckets that follow the key order, the buckets' sizes are summed ahead, and
-each task sorts one bucket of one source.
+What the fraction takes is thus all documents of a source up to one place of its
+key order, the cut, and a document is judged by its own key alone. Keys fall into buckets that follow
+the key order; sums over sources and buckets tell the bucket of each cut, and only the rows of these buckets, without
+texts, are sorted. Sizes and keys are written once; texts are never shuffled.
 
 Defined cases: a null or empty text has size 0, costs nothing and is taken 0
 words; the null source comes last and is a source like any other; a null doc_id
 draws its key from the empty text; rows that tie in key and doc_id are ordered
-by a hash of their text, and equal rows share what is taken in an undefined but
-equal-valued order; no rows give no rows. An input column named as a result
+by a hash of their text, and rows equal in id, source and text are taken together or not at
+all; no rows give no rows. An input column named as a result
 column is replaced.
 """
 
@@ -22,11 +23,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.store import stash
+
 WEIGHTS = (5, 2, 1)
 #: Most that a source gives, as a multiple of its size.
 MAX_EPOCHS = 3
-#: Slices of a source's key order; each is sorted by one task.
+#: Slices of a source's key order; the one with the cut is sorted by one task.
 BUCKETS = 1024
+#: Sources whose cuts are broadcast, at most (100 bytes each, and a name); more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = "mix"
 
 _DIGITS = 13
@@ -74,6 +79,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
     return shared.select("source", "source_size", target.alias("target"))
 
 
+def _cuts(rows: DataFrame, weights: tuple[int, ...], cap: int, buckets: int) -> DataFrame:
+    """Per source: target, epochs, and the cut: the documents below cut_bucket, and in it those up to cut_at, are taken once more.
+
+    rows: source, size and at (the place in the key order: key, then doc_id, null last, then tie), and bucket.
+    """
+    summed = stash(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    aimed = targets(summed.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
+    epochs = F.coalesce(F.least(F.lit(cap), F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))), F.lit(0)).cast("long")
+    aimed = stash(aimed.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < cap, F.col("target") - F.col("epochs") * F.col("source_size"))), "targets")
+    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = summed.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).withColumnRenamed("source", "_source")
+    plan = starts.join(aimed, F.col("_source").eqNullSafe(F.col("source")))
+    cut = plan.where((F.col("ahead") <= F.col("rest")) & (F.col("ahead") + F.col("words") > F.col("rest"))).select("_source", F.col("bucket").alias("cut_bucket"), "ahead", "rest")
+    cut = stash(cut, "cuts")
+    own = rows.join(F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("cut_bucket")))
+    own = own.groupBy("_source", "at").agg(F.sum("size").alias("size"), F.any_value("ahead").alias("ahead"), F.any_value("rest").alias("rest"))
+    within = F.coalesce(F.sum("size").over(Window.partitionBy("_source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = own.withColumn("within", within).where(F.col("ahead") + F.col("within") + F.col("size") / 2 <= F.col("rest"))
+    last = fits.groupBy(F.col("_source").alias("_s")).agg(F.max("at").alias("cut_at"))
+    cut = cut.select("_source", "cut_bucket").join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "cut_bucket", "cut_at")
+    return stash(aimed.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "rest", "cut_bucket", "cut_at"), "plan")
+
+
 def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, carry: bool = True,
@@ -81,37 +109,29 @@ def mix(
     """The documents with size, source_size, target (of the source) and taken (words of the document in the mix).
 
     `quality` is a positive weight by document, quality_weight of the text unless given.
-    carry=False returns doc_id and source beside these columns and moves no text.
+    carry=False returns doc_id and source beside these columns.
     """
     weight = quality_weight(F.col(text_col)) if quality is None else quality
-    held = F.struct(*[F.col(c) for c in (docs.columns if carry else [])], F.lit(0).alias("_"))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        n_words(F.col(text_col)).alias("size"),
-        F.xxhash64(text_col).alias("tie"),
-        sampling_key(F.col(id_col), weight, seed).alias("key"),
-        held.alias("row"),
-    )
-    rows = rows.withColumn("bucket", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int"))
-    summed = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    aimed = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    starts = summed.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "ahead")
-    plan = starts.join(aimed, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
-    within = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    epochs = F.least(F.lit(cap), F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).cast("long")
-    epochs = F.coalesce(epochs, F.lit(0).cast("long"))
-    rest = F.col("target") - epochs * F.col("source_size")
-    part = (epochs < cap) & (F.col("ahead") + F.col("within") + F.col("size") / 2 <= rest)
-    taken = F.col("size") * (epochs + F.when(part, 1).otherwise(0))
+    key = sampling_key(F.col(id_col), weight, seed)
+    place = F.struct(F.col("key"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tie"))
+
+    def placed(*more: Column) -> DataFrame:
+        rows = docs.select(*more, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), key.alias("key"))
+        return rows.withColumn("at", place).withColumn("bucket", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int"))
+
+    rows = stash(placed().select("doc_id", "source", "size", "at", "bucket"), "sizes")
+    plan = _cuts(rows, weights, cap, buckets)
+    few = plan.count() <= BROADCAST_SOURCES
+    # with texts, sizes and keys are computed again where the text is: that is cheaper than to shuffle it
+    rows = placed(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else rows
+    both = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
+    below = F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & F.coalesce(F.col("at") <= F.col("cut_at"), F.lit(False)))
+    taken = F.col("size") * (F.col("epochs") + F.when(F.col("rest").isNotNull() & below, 1).otherwise(0))
+    both = both.withColumn("taken", taken.cast("long"))
     added = ["size", "source_size", "target", "taken"]
-    placed = placed.withColumn("taken", taken.cast("long"))
     if not carry:
-        return placed.select("doc_id", "source", *added)
-    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
+        return both.select("doc_id", "source", *added)
+    return both.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 ORACLE = r"""
