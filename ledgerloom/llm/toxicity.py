@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm import _labelled, _text as X
+from ledgerloom.store import discard, stash
 
 #: Words selected by the labels, at most; texts of the sample that hold a selected word, at least.
 MAX_WORDS, MIN_TEXTS = 512, 5
@@ -142,7 +143,7 @@ def fit(
 ) -> Linear:
     """Learns from at most max_rows labels that meet `learn`; by default those outside of the held-out fold."""
     learn = _labelled.fold(F.col("doc_id"), LEARN_FOLDS) != HELD_FOLD if learn is None else learn
-    rows = _labelled.sample(docs, labels, label, learn, max_rows=max_rows, id_col=id_col, text_col=text_col)
+    rows = stash(_labelled.sample(docs, labels, label, learn, max_rows=max_rows, id_col=id_col, text_col=text_col), "sample")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,6 +156,7 @@ def fit(
     texts = rows.agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).first()
     ones, n = int(texts.ones or 0), int(texts.n)
     if not 0 < ones < n:
+        discard(rows)
         return Linear(np.zeros(0, np.uint64), np.zeros(0), float(np.log(1e9) if n and ones == n else -np.log(1e9)))
     counts = rows.select("text", "y").mapInArrow(spell, "h bigint, ones bigint, n bigint").groupBy("h").agg(F.sum("ones").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= min_texts)
     base = ones / n
@@ -173,6 +175,7 @@ def fit(
             yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2), b.column(3)], names=["w", "y", "o1", "o2"])
 
     got = rows.mapInArrow(look, "w array<int>, y int, o1 bigint, o2 bigint").orderBy("o1", "o2", "y").limit(max_rows).select("w", "y").collect()
+    discard(rows)
     x = np.zeros((len(got), len(words)), np.float32)
     for i, r in enumerate(got):
         x[i, r.w] = 1
