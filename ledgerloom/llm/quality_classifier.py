@@ -17,7 +17,6 @@ Texts are read whole.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,53 +34,101 @@ THRESHOLD = 0.3
 LEARN_FOLDS = 5
 
 
-def _logit(part: float, whole: float) -> float:
-    return float(np.log((part + 0.5) / (whole + 1.0)))
+def _logit(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.log((part + 0.5) / (whole + 1.0))
 
 
-def statistics(raw: bytes) -> list[float]:
-    """The transformed statistics of a text; the first is log(1 + words)."""
-    words, size = raw.split(), max(len(raw), 1)
-    n, counts = len(words), Counter(words)
-    chars = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    upper, letters = int(chars[65:91].sum()), int(chars[65:91].sum() + chars[97:123].sum() + chars[128:].sum())
-    digits, wide = int(chars[48:58].sum()), int(chars[128:].sum())
-    marks = int(chars[33:48].sum() + chars[58:65].sum() + chars[91:97].sum() + chars[123:127].sum())
-    symbols = int(chars[[ord(c) for c in "#*$%&|<>"]].sum())
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    lengths = np.array([len(x) for x in lines] or [0])
-    sizes = np.array([len(w) for w in words] or [0])
+#: Kinds of bytes; each byte is of one.
+_KINDS = ("other", "upper", "lower", "digit", "wide", "mark", "symbol", "!", ".", ",", "|", "space", "line")
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:48] = _KIND[58:65] = _KIND[91:97] = _KIND[123:127] = _KINDS.index("mark")
+_KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = (_KINDS.index(k) for k in ("upper", "lower", "digit", "wide"))
+_KIND[[ord(c) for c in "#*$%&<>"]] = _KINDS.index("symbol")
+for _c in "!.,|":
+    _KIND[ord(_c)] = _KINDS.index(_c)
+_KIND[32], _KIND[10] = _KINDS.index("space"), _KINDS.index("line")
+
+
+def _mean_and_spread(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each row's values, 0 without values."""
+    count = np.maximum(np.bincount(row, minlength=n), 1)
+    mean = np.bincount(row, values, n) / count
+    return mean, np.sqrt(np.bincount(row, (values - mean[row]) ** 2, n) / count)
+
+
+def _repeats(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each row, and how often the most frequent occurs."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, int)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, row[first], np.diff(np.concatenate((first, [len(h)]))))
+    return np.bincount(row[first], minlength=n), most
+
+
+def _packed(raw: np.ndarray) -> int:
     packer = zlib.compressobj(1)
-    packed = len(packer.compress(raw)) + len(packer.flush())
-    return [
-        np.log1p(n),
-        np.log1p(sizes.mean()),
-        np.log1p(sizes.std()),
-        _logit(upper, letters),
-        _logit(digits, size),
-        _logit(wide, letters),
-        _logit(marks, size),
-        _logit(symbols, size),
-        _logit(chars[ord("!")], size),
-        _logit(chars[ord(".")], n),
-        _logit(chars[ord(",")], n),
-        _logit(chars[ord("|")], n),
-        _logit(chars[32] + chars[10], size),
-        _logit(len(counts), n),
-        _logit(max(counts.values(), default=0), n),
-        _logit(sum(map(bytes.__eq__, words, words[1:])), n),
-        _logit(sum(map(bytes.isupper, words)), n),
-        np.log1p(len(lines)),
-        np.log1p(lengths.mean()),
-        np.log1p(lengths.std()),
-        _logit(len(lines) - len(set(lines)), len(lines)),
-        np.log(packed / size + 0.01),
-    ]
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    rows = [statistics(t.as_py()) for t in X.binary(column)]
-    return np.array(rows, float).reshape(len(rows), -1)
+    return len(packer.compress(raw)) + len(packer.flush())
+
+
+def _chunk_statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    n, size = len(offsets) - 1, np.diff(offsets)
+    kinds = np.bincount(np.repeat(np.arange(n) * len(_KINDS), size) + _KIND[raw], minlength=n * len(_KINDS)).reshape(n, -1)
+    of = lambda *names: sum(kinds[:, _KINDS.index(k)] for k in names)
+    whole, letters = np.maximum(size, 1), of("upper", "lower", "wide")
+
+    words = X.split(raw, offsets)
+    count, row = words.counts, words.text_of
+    distinct, most = _repeats(words.hashes, row, n)
+    twice = np.flatnonzero((words.hashes[1:] == words.hashes[:-1]) & (row[1:] == row[:-1]))
+    cased = np.concatenate(([0], np.cumsum(_KIND[raw] == _KINDS.index("upper")))), np.concatenate(([0], np.cumsum(_KIND[raw] == _KINDS.index("lower"))))
+    upper, lower = (x[words.end] - x[words.start] for x in cased)
+    shouted = np.bincount(row[(upper > 0) & (lower == 0)], minlength=n)
+    word_mean, word_spread = _mean_and_spread((words.end - words.start).astype(float), row, n)
+
+    breaks = np.flatnonzero(raw == 10)
+    start, end = np.sort(np.concatenate((offsets[:-1], breaks + 1))), np.sort(np.concatenate((offsets[1:], breaks)))
+    of_text = np.repeat(np.arange(n), np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=n) + 1)
+    full = np.searchsorted(words.start, start) < np.searchsorted(words.start, end)  # lines with a word
+    start, end, of_text = start[full], end[full], of_text[full]
+    lines = np.bincount(of_text, minlength=n)
+    line_mean, line_spread = _mean_and_spread((end - start).astype(float), of_text, n)
+    different, _ = _repeats(X.range_hashes(raw, start, end), of_text, n)
+
+    packed = np.array([_packed(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    return np.stack(
+        [
+            np.log1p(count),
+            np.log1p(word_mean),
+            np.log1p(word_spread),
+            _logit(of("upper"), letters),
+            _logit(of("digit"), whole),
+            _logit(of("wide"), letters),
+            _logit(of("mark", "symbol", "!", ".", ",", "|"), whole),
+            _logit(of("symbol", "|"), whole),
+            _logit(of("!"), whole),
+            _logit(of("."), count),
+            _logit(of(","), count),
+            _logit(of("|"), count),
+            _logit(of("space", "line"), whole),
+            _logit(distinct, count),
+            _logit(most, count),
+            _logit(np.bincount(row[twice], minlength=n), count),
+            _logit(shouted, count),
+            np.log1p(lines),
+            np.log1p(line_mean),
+            np.log1p(line_spread),
+            _logit(lines - different, lines),
+            np.log(packed / whole + 0.01),
+        ],
+        1,
+    )
+
+
+def statistics(column: pa.Array) -> np.ndarray:
+    """A row of transformed statistics for each text; the first is log(1 + words)."""
+    parts = [_chunk_statistics(raw, offsets) for _, _, raw, offsets in X.pieces(column)]
+    return np.concatenate(parts) if parts else np.zeros((0, 22))
 
 
 @dataclass
@@ -111,7 +158,7 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(vectors) + self.offset, -500, 500)))
 
 
-def fit_vectors(vectors: np.ndarray, y: np.ndarray, pooled: float = POOLED, ridge: float = RIDGE) -> Discriminant:
+def fitstatistics(vectors: np.ndarray, y: np.ndarray, pooled: float = POOLED, ridge: float = RIDGE) -> Discriminant:
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return Discriminant(np.zeros(1), np.ones(1), [], 0.0, float(y.mean()) if len(y) else 0.5)
     model = Discriminant(vectors.mean(0), vectors.std(0) + 1e-6, [], 1.0, 0.0)
@@ -149,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, labe
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([pa.array(list(_vectors(b.column(0))), pa.list_(pa.float64())), b.column(1), b.column(2), b.column(3)], names=["v", "y", "o1", "o2"])
+            yield pa.record_batch([pa.array(list(statistics(b.column(0))), pa.list_(pa.float64())), b.column(1), b.column(2), b.column(3)], names=["v", "y", "o1", "o2"])
 
     got = rows.mapInArrow(measure, "v array<double>, y int, o1 bigint, o2 bigint").orderBy("o1", "o2", "y").limit(max_rows).select("v", "y").collect()
-    return fit_vectors(np.array([r.v for r in got]), np.array([r.y for r in got]))
+    return fitstatistics(np.array([r.v for r in got]), np.array([r.y for r in got]))
 
 
 def score(docs: DataFrame, model: Discriminant, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +208,7 @@ def score(docs: DataFrame, model: Discriminant, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(held.value.score(_vectors(b.column(1))), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([b.column(0), pa.array(held.value.score(statistics(b.column(1))), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id bigint, score double")
 
@@ -172,6 +219,6 @@ def keep(docs: DataFrame, model: Discriminant, *, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(held.value.score(_vectors(b.column(at))) >= threshold, pa.bool_()))
+            yield b.filter(pa.array(held.value.score(statistics(b.column(at))) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
