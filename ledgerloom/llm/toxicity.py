@@ -1,7 +1,7 @@
 """Toxicity: a counterfactually regularised linear classifier.
 
-Texts are sets of lower-cased words and of the first bytes of longer words, so that
-inflected forms share a feature. Those that tell the labels apart are
+Texts are bags of lower-cased words and of the first bytes of longer words, so that
+inflected forms share a feature; one that occurs n times has the value log2(1 + n). Those that tell the labels apart are
 selected by their counts in a bounded sample of labelled rows; the identity
 terms (names of groups of people) are always among them. In each labelled text
 with an identity term, the terms are swapped for others of their kind, and the
@@ -57,8 +57,8 @@ def _made(term: str) -> np.ndarray:
     return _features(X.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), X.NOT_ALNUM, lower=True))[1]
 
 
-def _pairs(column: pa.Array, known: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, word) of the distinct words of each text: the hash, or the place in the sorted array `known`."""
+def _values(column: pa.Array, known: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, feature, value) of the distinct features of each text: the hash, or the place in the sorted array `known`."""
     for a, _, raw, offsets in X.pieces(column):
         words = X.split(raw, offsets, X.NOT_ALNUM, lower=True)
         row, h = _features(words)
@@ -70,7 +70,8 @@ def _pairs(column: pa.Array, known: np.ndarray | None) -> Iterator[tuple[np.ndar
         row, h = row[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-        yield a + row[new], h[new]
+        first = np.flatnonzero(new)
+        yield a + row[first], h[first], np.log2(1 + np.diff(np.concatenate((first, [len(h)]))))
 
 
 def _features(words: X.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +97,8 @@ class Linear:
     def score(self, column: pa.Array) -> np.ndarray:
         total = np.full(len(column), self.offset)
         if len(self.words):
-            for row, at in _pairs(column, self.words):
-                np.add.at(total, row, self.weights[at])
+            for row, at, value in _values(column, self.words):
+                np.add.at(total, row, self.weights[at] * value)
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
@@ -148,7 +149,7 @@ def fit(
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b.column(1).to_numpy()
-            for row, h in _pairs(b.column(0), None):
+            for row, h, _ in _values(b.column(0), None):
                 word, at = np.unique(h, return_inverse=True)
                 ones = np.bincount(at, y[row], len(word)).astype(np.int64)
                 yield pa.record_batch([X.signed(word), ones, np.bincount(at, minlength=len(word)).astype(np.int64)], names=["h", "ones", "n"])
@@ -168,17 +169,18 @@ def fit(
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[list[int]] = [[] for _ in range(len(b))]
-            for row, at in _pairs(b.column(0), words):
-                for r, w in zip(row.tolist(), at.tolist(), strict=True):
-                    found[r].append(w)
-            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2), b.column(3)], names=["w", "y", "o1", "o2"])
-
-    got = rows.mapInArrow(look, "w array<int>, y int, o1 bigint, o2 bigint").orderBy("o1", "o2", "y").limit(max_rows).select("w", "y").collect()
+            found: list[list[tuple[int, float]]] = [[] for _ in range(len(b))]
+            for row, at, value in _values(b.column(0), words):
+                for r, w, v in zip(row.tolist(), at.tolist(), value.tolist(), strict=True):
+                    found[r].append((w, v))
+            lists = [pa.array([[x[k] for x in row] for row in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float64()))]
+            yield pa.record_batch([*lists, b.column(1), b.column(2), b.column(3)], names=["w", "v", "y", "o1", "o2"])
+
+    got = rows.mapInArrow(look, "w array<int>, v array<double>, y int, o1 bigint, o2 bigint").orderBy("o1", "o2", "y").limit(max_rows).select("w", "v", "y").collect()
     discard(rows)
     x = np.zeros((len(got), len(words)), np.float32)
     for i, r in enumerate(got):
-        x[i, r.w] = 1
+        x[i, r.w] = r.v
     weights, offset = fit_matrix(x.astype(float), np.array([r.y for r in got], float), kinds, l2, fair)
     return Linear(words, weights, offset)
 
