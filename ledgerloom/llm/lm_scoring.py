@@ -40,8 +40,9 @@ from ledgerloom.store import discard, stash
 FOLDS, HELD_FOLD = 7, 2
 #: Words of the longest n-grams.
 ORDER = 3
-#: Probes at the first level, which tells seen from unseen, and at the others.
-PROBES = (6, 3)
+#: Probes at the first level, which tells seen from unseen, for n-grams of one or two words and for longer ones, and at the other levels.
+#: A longer n-gram counts only where its parts are found too, so fewer probes do.
+PROBES = (6, 4, 3)
 #: Counted n-grams of a segment, on average, at most.
 SEGMENT_GRAMS = 1 << 20
 #: Bytes of the filter broadcast at once, about (or one segment).
@@ -49,8 +50,10 @@ SHARD_BYTES = 128 << 20
 #: Words whose exact counts are broadcast for the base score, at most (16 bytes each).
 FREQUENT = 1_000_000
 PRIOR, POWER, LONG_PRIOR = 4.0, 0.75, 20.0
+#: Texts are handled in chunks of about so many bytes; a longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 19
 #: Tokens that a task counts before it sends the counts on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bits of a hash that tell n-grams of one segment apart.
 REST_BITS = 40
 
@@ -60,7 +63,7 @@ END, BEGIN = _U(0x6E0F1D2C3B4A5968), _U(0x1234FEDC5678BA90)
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, token hashes with an end after each text, bounds) of chunks of texts."""
-    for a, _, raw, offsets in X.pieces(column):
+    for a, _, raw, offsets in X.pieces(column, CHUNK_BYTES):
         words = X.split(raw, offsets, X.SPACES, lower=True)
         bounds = words.first + np.arange(len(words.counts) + 1)
         token = np.full(bounds[-1], END, np.uint64)
@@ -69,14 +72,21 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def grams(token: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
-    """For one word to `order` words, the hash of the n-gram that ends at each token; texts begin with as many marks as it takes."""
+    """For one word to `order` words, the hash of the n-gram that ends at each token; texts begin with as many marks as it takes.
+
+    The lowest bit of a hash tells n-grams of three words and more.
+    """
     out, place = [token], np.arange(len(token)) - np.repeat(bounds[:-1], np.diff(bounds))
     for back in range(1, order):
         earlier = np.full(len(token), BEGIN, np.uint64)
         earlier[back:] = token[:-back]
         earlier[place < back] = BEGIN
         out.append(X.mix(earlier * _U(0x9E3779B97F4A7C15) + out[-1] + _U(back)))
-    return out
+    return [_marked(h, back > 1) for back, h in enumerate(out)]
+
+
+def _marked(h: np.ndarray, long: bool) -> np.ndarray:
+    return (h & ~_U(1)) | _U(long)
 
 
 def _combined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +115,7 @@ def _segment(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _rest(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h << _U(bits)) >> _U(64 - REST_BITS)
+    return _marked((h << _U(bits)) >> _U(64 - REST_BITS), False) | (h & _U(1))
 
 
 def _bytes(values: np.ndarray, width: int, cuts: np.ndarray) -> pa.Array:
@@ -155,7 +165,7 @@ def _pack_words(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c = X.unsigned(batch.column(0).to_numpy()), batch.column(1).to_numpy()
+            h, c = _marked(X.unsigned(batch.column(0).to_numpy()), False), batch.column(1).to_numpy()
             order = np.argsort(h)
             if len(h):
                 yield _packed(h[order], c[order], bits)
@@ -173,29 +183,31 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
 
-def _probes(level: int) -> int:
-    return PROBES[0] if level == 1 else PROBES[1]
+def _probes(rest: np.ndarray, level: int) -> np.ndarray:
+    """Number of probes of each n-gram at the level."""
+    return np.where(rest & _U(1) == 1, PROBES[1], PROBES[0]) if level == 1 else np.full(len(rest), PROBES[2])
 
 
-def _places(rest: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of the level's probes in a segment of so many bits; the caller may narrow `rest` and `bits` between probes."""
+def _places(rest: np.ndarray, level: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each probe, whether an n-gram has it, and its place in a segment of so many bits."""
     x, step = (X.mix(rest + _U(0xA24BAED4963EE407 * k % (1 << 64))) for k in (2 * level, 2 * level + 1))
     step |= _U(1)
-    for _ in range(_probes(level)):
-        yield ((((x >> _U(32)) * bits) >> _U(32))).astype(np.int64)
+    probes = _probes(rest, level)
+    for i in range(int(probes.max(initial=0))):
+        yield probes > i, (((x >> _U(32)) * bits) >> _U(32)).astype(np.int64)
         x = x + step
 
 
 def build_segment(rest: np.ndarray, c: np.ndarray) -> bytes:
     """The filter of these distinct n-grams, sized by its entries so that about half of its bits are set."""
     level = levels(c)
-    top = int(level.max(initial=0))
-    entries = sum(_probes(j) * int((level >= j).sum()) for j in range(1, top + 1))
+    tops = [rest[level >= j] for j in range(1, int(level.max(initial=0)) + 1)]
+    entries = sum(int(_probes(own, j).sum()) for j, own in enumerate(tops, 1))
     bits = -(-int(entries / np.log(2) + 1) // 64) * 64
     out = np.zeros(bits, bool)
-    for j in range(1, top + 1):
-        for at in _places(rest[level >= j], j, _U(bits)):
-            out[at] = True
+    for j, own in enumerate(tops, 1):
+        for has, at in _places(own, j, _U(bits)):
+            out[at[has]] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -247,9 +259,9 @@ class Filter:
         rest, base, size, j = _rest(h[live], self.segment_bits), self.base[segment[live]], self.size[segment[live]], 1
         while len(live):
             there = np.ones(len(live), bool)
-            for at in _places(rest, j, size):
+            for has, at in _places(rest, j, size):
                 at += base
-                there &= (np.take(self.data, at >> 3) >> (at & 7).astype(np.uint8)) & 1 == 1
+                there &= ((np.take(self.data, at >> 3) >> (at & 7).astype(np.uint8)) & 1 == 1) | ~has
             live, rest, base, size = live[there], rest[there], base[there], size[there]
             out[live] = j
             j += 1
@@ -360,22 +372,22 @@ def _probe(bloom, shard: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, token, bounds in _tokens(batch.column(2)):
-                found, n = np.stack(_levels_of(grams(token, bounds, order), bloom.value), 1), len(bounds) - 1
-                parts = [zlib.compress(found[x:y].tobytes(), 1) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                found, n = np.stack(_levels_of(grams(token, bounds, order), bloom.value)), len(bounds) - 1
+                parts = [zlib.compress(found[:, x:y].tobytes(), 1) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.record_batch([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array([shard] * n, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "t", "shard", "levels"])
 
     return run
 
 
 def _merge(counts, order: int):
-    """Scores of rows doc_id, t and parts, the levels found in each shard."""
+    """Scores of rows doc_id, t and parts, structs with the levels found in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
             for parts in batch.column(2):
-                found = np.maximum.reduce([np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).reshape(-1, order) for x in parts.values])
-                scores.append(float(log_probabilities(list(found.T), np.array([0, len(found)]), counts.value).sum()))
+                found = np.maximum.reduce([np.frombuffer(zlib.decompress(x["levels"].as_buffer()), np.uint8).reshape(order, -1) for x in parts.values])
+                scores.append(float(log_probabilities(list(found), np.array([0, found.shape[1]]), counts.value).sum()))
             yield _row(batch.column(0), batch.column(1), main=pa.array([False] * len(batch), pa.bool_()), h=batch.column(1), score=pa.array(scores, pa.float64()))
 
     return run
@@ -442,8 +454,8 @@ def score(
         found = passes[0]
         for other in passes[1:]:
             found = found.unionByName(other)
-        # equal rows first become one, so that a list has one part of each shard
-        parts = found.groupBy("doc_id", "t", "shard").agg(F.max("levels").alias("levels")).groupBy("doc_id", "t").agg(F.collect_list("levels").alias("parts"))
+        # equal rows have equal levels, so a set has one part of each shard
+        parts = found.groupBy("doc_id", "t").agg(F.collect_set(F.struct("shard", "levels")).alias("parts"))
         scored = stash(parts.mapInArrow(_merge(held, order), _ROWS), "scored")
         discard(filters, *passes)
         rows = rows.mapInArrow(_measure(held), _ROWS).unionByName(scored)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -28,7 +29,7 @@ def test_toxicity_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     rows = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.005 * len(rows)
-    assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.75 * sum(r.toxic for r in rows)
+    assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.9 * sum(r.toxic for r in rows)
 
 
 def test_folds():
@@ -58,6 +59,130 @@ def test_discriminant_separates_shapes_that_a_plane_cannot():
     assert ((model.score(x) > 0.5) == (np.arange(800) < 400)).mean() > 0.93
 
 
+def plain_statistics(raw):
+    """The statistics of one text, one by one."""
+    logit = lambda part, whole: math.log((part + 0.5) / (whole + 1.0))
+    words, size = raw.split(), max(len(raw), 1)
+    n, counts = len(words), Counter(words)
+    count = lambda test: sum(map(test, raw))
+    upper, wide = count(lambda b: 65 <= b < 91), count(lambda b: b >= 128)
+    letters = upper + wide + count(lambda b: 97 <= b < 123)
+    marks = count(lambda b: chr(b) in string.punctuation)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    lengths, sizes = np.array([len(x) for x in lines] or [0]), np.array([len(w) for w in words] or [0])
+    packer = zlib.compressobj(1)
+    packed = len(packer.compress(raw)) + len(packer.flush())
+    shares = [logit(upper, letters), logit(count(lambda b: 48 <= b < 58), size), logit(wide, letters), logit(marks, size), logit(count(lambda b: chr(b) in "#*$%&|<>"), size), logit(raw.count(b"!"), size)]
+    shares += [logit(raw.count(x), n) for x in (b".", b",", b"|")] + [logit(raw.count(b" ") + raw.count(b"\n"), size), logit(len(counts), n), logit(max(counts.values(), default=0), n)]
+    shares += [logit(sum(a == b for a, b in zip(words, words[1:], strict=False)), n), logit(sum(w.isupper() for w in words), n)]
+    ends = [math.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.std()), logit(len(lines) - len(set(lines)), len(lines)), math.log(packed / size + 0.01)]
+    return [math.log1p(n), np.log1p(sizes.mean()), np.log1p(sizes.std()), *shares, *ends]
+
+
+TRICKY = ["", None, "\n\n", " \t\n a \n a\n", "AB Ab aB 1B ÄB ab", "x x x\nx x x\n\x0bx", "#*$%&|<>!.,;:?@[]^_`{}~'\"", "é" * 50, "one", "a\rb\x0cc\x1cd"]
+
+
+def test_statistics_against_single_texts():
+    texts = TRICKY + [t for _, t, _ in K.documents()] + [f"{K.sentence(random.Random(i), 40)}\n" * 3 for i in range(5)]
+    got = Q.statistics(Q.pa.array(texts))
+    assert np.allclose(got, [plain_statistics((t or "").encode()) for t in texts], rtol=1e-9, atol=1e-9)
+
+
+def test_quality_fit_and_scores_against_a_plain_version(spark):
+    """Sample, statistics, shrunk covariances, densities and the logistic scale, each computed in the plainest way."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    learn = [(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    x, y = np.array([plain_statistics(texts[i]) for i, _ in learn]), np.array([q for _, q in learn])
+    centre, scale = x.mean(0), x.std(0) + 1e-6
+
+    def standard(v):
+        z, n = (v - centre) / scale, np.expm1(v[0])
+        return np.concatenate((z[:1], z[1:] * n / (n + Q.SOFT)))
+
+    z = np.array([standard(v) for v in x])
+    own = [np.cov(z[y == k].T) for k in (0, 1)]
+    pooled, classes = own[0] * (y == 0).mean() + own[1] * (y == 1).mean(), []
+    for k in (0, 1):
+        c = (1 - Q.POOLED) * own[k] + Q.POOLED * pooled
+        classes.append((z[y == k].mean(0), (1 - Q.RIDGE) * c + (Q.RIDGE * np.trace(c) / len(c) + 1e-9) * np.eye(len(c)), (y == k).mean()))
+
+    def difference(v):
+        logs = [math.log(share) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (v - mean) @ np.linalg.inv(c) @ (v - mean) for mean, c, share in classes]
+        return logs[1] - logs[0]
+
+    s = np.array([difference(v) for v in z])
+    ones, zeros = (y == 1).sum(), (y == 0).sum()
+    aim, u, at = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2)), (s - s.mean()) / (s.std() + 1e-9), np.array([0.0, 0.0])
+    loss = lambda w: np.logaddexp(0, w[0] * u + w[1]).sum() - (aim * (w[0] * u + w[1])).sum() + 0.5e-3 * w[0] ** 2
+    step = 4.0
+    while step > 1e-7:  # a search along the axes and diagonals
+        best = min((at + step * np.array(d) for d in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))), key=loss)
+        at, step = (best, step) if loss(best) < loss(at) else (at, step / 2)
+    got = {r.doc_id: r.score for r in queries.op2_quality_classifier(spark, SF.replace("0.001", "0.01")).collect()}
+    assert got.keys() == texts.keys()
+    for i, raw in texts.items():
+        want = 1 / (1 + math.exp(-min(500, max(-500, at[0] * (difference(standard(np.array(plain_statistics(raw)))) - s.mean()) / (s.std() + 1e-9) + at[1]))))
+        assert got[i] == pytest.approx(want, abs=2e-4)
+
+
+def test_toxicity_fit_and_scores_against_a_plain_version(spark):
+    """Features as counters of words and stems, swaps word by word, and a fit by plain descent on the stated loss."""
+    rng = random.Random(8)
+    pool = [*K.WORDS[:40], "friend", "neighbour"]
+    rows = []
+    for i in range(160):
+        words = [rng.choice(pool) for _ in range(12)]
+        if i % 2:
+            words.append(rng.choice(["vermin", "verminous"]))
+        if rng.random() < 0.5:
+            words.append(rng.choice(["christian", "muslim", "sikh"] if i % 2 else ["christian", "sikh"]))
+        rows.append((i, " ".join(words), "s"))
+    identities = (("christian", "muslim", "sikh"),)
+    y = {i: i % 2 for i, _, _ in rows}
+    learn = [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    features = lambda t: Counter(f for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", K.lowered(t)) for f in [w, *[(n, w.encode()[:n]) for n in TX.STEMS if len(w.encode()) > n]])
+    seen = Counter(f for _, t in learn for f in features(t).keys())
+    made = {term: features(term) for kind in identities for term in kind}
+    names = sorted({f for f, n in seen.items() if n >= TX.MIN_TEXTS} | set().union(*[m.keys() for m in made.values()]), key=str)
+    at = {f: k for k, f in enumerate(names)}
+
+    def vector(t):
+        out = np.zeros(len(names))
+        for f, n in features(t).items():
+            if f in at:
+                out[at[f]] = math.log2(1 + n)
+        return out
+
+    x, target = np.array([vector(t) for _, t in learn]), np.array([y[i] for i, _ in learn], float)
+    turns = []
+    for turn in (1, 2):
+        changes = []
+        for v in x:
+            change = np.zeros(len(names))
+            for kind in identities:
+                for k, term in enumerate(kind):
+                    other = kind[(k - turn) % len(kind)]
+                    change += v[at[term]] * (sum(np.eye(len(names))[at[f]] for f in made[term]) - sum(np.eye(len(names))[at[f]] for f in made[other]))
+            if np.abs(change).any():
+                changes.append(change)
+        turns.append(np.array(changes))
+    w, b = np.zeros(len(names)), 0.0
+    fair = sum(c.T @ c * 2 * TX.FAIR * len(x) / len(c) for c in turns) + TX.L2 * np.eye(len(names))
+    rate = 1 / (np.linalg.eigvalsh(fair).max() + 0.25 * np.linalg.eigvalsh(np.hstack([x, np.ones((len(x), 1))]).T @ np.hstack([x, np.ones((len(x), 1))])).max())
+    v, moved = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    for k in range(60_000):  # descent with momentum
+        p = 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+        new = v - rate * np.concatenate((x.T @ (p - target) + fair @ v[:-1], [(p - target).sum() + 1e-6 * v[-1]]))
+        v, moved = new + 0.995 * (new - moved), new
+    w, b = moved[:-1], moved[-1]
+    docs = K.frame(spark, rows)
+    model = TX.fit(docs, spark.createDataFrame([(i, 1, y[i]) for i, _, _ in rows], LABELS), max_words=10**6, identities=identities)
+    got = {r.doc_id: r.score for r in TX.score(docs, model).collect()}
+    for i, t, _ in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(vector(t) @ w + b))), abs=1e-3)
+
+
 def test_swaps_make_identity_terms_weigh_alike(spark):
     rng = random.Random(0)
     rows, labels = [], []
