@@ -8,16 +8,22 @@ mix         the sources are mixed to target weights; documents that the mix take
             with size, source_size, target and taken
 
 Near-duplicates are judged on five-word shingles at a Jaccard similarity of 0.8.
+
+Defined cases, beside those of the operators' docstrings: a null text is scored as the empty one by `quality`, stays null
+in `lines` and `benchmark`, has no near copies, and is never in the mix, as it has no words; a document with a null id is scored and
+mixed like any other, comes last in `lines` and stays in `near`. Rows equal in id and text are one document: they
+lose the same lines, stay or go together in `near`, and are taken alike in `mix`. Rows that share an id and differ in text are judged by
+their own texts. Of equal texts the smallest doc_id stays, whatever the order of rows. Empty tables give empty tables, and without labels
+the classifier scores all documents alike, 0.5, and keeps them. Texts are read whole. Further columns pass through all
+stages under any name, but for size, source_size, target and taken, which the last stage replaces.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier
-from ledgerloom.store import shared_dir
+from ledgerloom.store import discard, new_path, scope
 
 #: Words of a shingle, and percent of Jaccard similarity, of near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -56,10 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex[:12]}"
+    """Applies the stages to documents; each one's rows are written to the shared folder and read again.
+
+    What a stage has written for itself is removed with the stage, and its table once the next one is there.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scope(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        docs._stashed_at = path
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
