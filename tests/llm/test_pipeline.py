@@ -1,9 +1,12 @@
 """Each stage of the pipeline on its own input against the operators' plain versions."""
 
 import re
+from collections import Counter
+from pathlib import Path
 
 import corpus as K
 from helpers import SF
+from pyspark.sql import functions as F
 from test_decontaminate import brute as contaminated
 from test_dedup import kept_lines
 from test_jaccard import brute as near
@@ -40,6 +43,21 @@ def test_stages_on_their_own_inputs(spark, tmp_path):
     assert sum(r.taken for r in after) > 0.8 * sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t, _ in before)
 
 
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, copies, shared ids and clashing names; what is left behind is the last table alone."""
+    docs = K.frame(spark, K.documents()).withColumn("_gone", F.lit(1)).withColumn("t1", F.lit(2)).withColumn("_source", F.lit(3))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = P.run(spark, str(tmp_path))
+    assert {"_gone", "t1", "_source", "key", "row"} <= set(out.columns)
+    rows = [(r.doc_id, r.text) for r in out.collect()]
+    assert rows and all(K.spaced(t) for _, t in rows) and {(i, t) for i, t in rows if i is not None} and max(Counter(t for i, t in rows if i not in (None, 5)).values()) == 1
+    left = Path(out.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert [p.name.rsplit("-", 1)[0] for p in left.iterdir() if p.name.startswith(("pipeline", "mix", "near", "lines"))].count("pipeline-mix") >= 1
+    assert not [p for p in left.iterdir() if p.name.startswith(("near-", "lines-", "mix-", "quality-"))]
+
+
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
