@@ -130,3 +130,42 @@ COMPANY_STOP_WORDS = (
 QUERY_VARIANTS = ('"%s" careers pakistan', '"%s" associate software engineer pakistan', '"%s" ai engineer pakistan', '"%s" fresh graduate jobs pakistan', '"%s" site:lever.co')
 SKIP_LABELS = ("careers", "jobs", "hr", "apply", "recruit", "com", "io")
 BOARD_LABELS = ("jobs", "careers", "career", "job", "apply", "boards", "job-boards")
+
+# Where a page's postings and their parts are looked for.
+JOB_CONTAINERS = (
+    ".job-listing", "[data-job-id]", ".career-item", ".job-post", ".job-card", ".job-result", ".jobResultItem", "li.job", "li.job-item",
+    "article.job", "tr.job", "tr[data-job-id]", ".openings-list > *", ".jobs-list > *",
+)
+JOB_TITLES = (
+    "h1.job-title", "h2.job-title", "h3.job-title", ".position-title", "[data-testid='job-title']", "[data-automation-id='jobTitle']", ".jobTitle", ".job-title",
+    "a[href*='job']", "a[href*='career']", "a[href*='position']", "a[href*='opening']", "a[href*='vacanc']", "a[href*='apply']",
+)
+JOB_COMPANIES = (".company-name", "[data-company]", ".employer", ".job-company")
+JOB_LOCATIONS = (".job-location", "[data-location]", ".location", ".job-meta .location", "[data-automation-id='jobLocation']")
+JOB_TYPES = (".job-type", ".employment-type", "[data-employment-type]", "[data-automation-id='employmentType']")
+APPLY_LINKS = (
+    "a.apply-btn[href]", ".job-link[href]", "[data-apply-url]",
+    "a[href*='job']", "a[href*='career']", "a[href*='position']", "a[href*='opening']", "a[href*='vacanc']", "a[href*='apply']",
+)
+POSTED_DATES = (".posted-date", "[data-posted]", ".job-date", "time[datetime]", "[data-automation-id='jobPostingDate']")
+LIKELY_TITLES = ("h1", "h2", "h3", "h4", "[data-testid='job-title']", "[data-automation-id='jobTitle']", "a[href*='job']", "a[href*='career']")
+NON_JOB_CLASSES = ("nav", "menu", "header", "footer", "sidebar", "breadcrumbs", "cookie", "social", "newsletter")
+LOCATION_PATTERN = r"(?i)\b(remote|hybrid|onsite|on-site|[A-Za-z\s]+,\s*[A-Za-z\s]+)\b"
+DESCRIPTION_BLOCKS = (
+    "#job-description", "[id*='job-description' i]", "[class*='job-description' i]", "[data-testid*='job-description' i]", "[data-automation-id*='job' i]",
+    "[class*='description' i]", "[id*='description' i]", "article.job", "div[role='main']",
+)
+ANCHOR_PHRASES = r"(?i)\b(?:responsibilit|requirements|qualifications|about (?:the )?role|job summary|job description|role overview|what (?:you'?ll|you will) do)"
+HANDOFF_NODES = ("a[href]", "button[onclick]", "button[data-url]", "button[data-href]", "[role='button'][onclick]", "[data-link]", "[data-url]", "[data-href]")
+HANDOFF_WORDS = ("jobs", "job", "career", "careers", "position", "opening", "vacanc", "apply", "greenhouse", "lever", "workable", "ashby")
+SEARCH_PAGES = {
+    "duckduckgo": {"cards": ("div.result", ".result.results_links.results_links_deep"), "links": ("a.result__a", "h2.result__title a"), "snippets": ("a.result__snippet", "div.result__snippet")},
+    "bing": {"cards": ("li.b_algo",), "links": ("h2 a",), "snippets": ("div.b_caption p", "p")},
+    "google": {"cards": ("div.yuRUbf a", "div.g a"), "links": (), "snippets": ("div.VwiC3b", "span.aCOpRe")},
+}
+CAREER_URLS = (
+    "career", "careers", "job", "jobs", "opening", "openings", "vacancy", "vacancies", "apply", "recruit", "recruitment",
+    "lever.co", "greenhouse.io", "workable.com", "breezy.hr", "ashbyhq.com", "myworkdayjobs.com", "workdayjobs.com", "smartrecruiters.com", "jobvite.com", "applytojob.com",
+)
+NON_CAREER_URLS = ("blog", "news", "article", "privacy", "terms", "about", "contact", "pricing", "feature", "product", "service")
+STATUS_COLOURS = {"NEW": "#d9ead3", "UPDATED": "#eeeeee", "EXISTING": "#ffffff", "ACTIVE": "#ffffff", "CLOSED": "#f4cccc"}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, html as H, text as T, urls as U
+from ledgerloom.operators import matching as M
 from ledgerloom.store import stash
 
 
@@ -32,19 +33,99 @@ def pagination_links(pages: DataFrame, *, url: str = "url", html: str = "html",
     return first.withColumn("n", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).where(F.col("n") <= most).select(url, "n", "link")
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, *, rounds: int, most: int) -> DataFrame:
-    """url and depth of the pages reached from the seeds(url) over edges(url, link), at most `most` a round.
+def _first(values: Column) -> Column:
+    """The first element with a text, else null."""
+    return F.get(F.filter(F.transform(values, T.squeezed), lambda x: x != ""), F.lit(0))
+
+
+def _numbered(rows: DataFrame, url: str, key: Column, most: int) -> DataFrame:
+    """The first row of each key of a page, in order of pos, `most` a page, as columns n and row."""
+    row = F.struct(*[F.col(c) for c in rows.columns if c not in (url, "pos")])
+    kept = rows.groupBy(url, key.alias("_k")).agg(F.min("pos").alias("pos"), F.min_by(row, "pos").alias("row"))
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).where(F.col("n") <= most).select(url, "n", "row.*")
+
+
+def _valid_postings(found: DataFrame, url: str) -> DataFrame:
+    """url, pos and the fields of the valid postings in the markup."""
+    rows = found.where(~M.non_job_page(F.col(url), F.col("head"))).select(url, F.posexplode("postings").alias("pos", "p"))
+    page, text = F.col(url), F.col("p.text")
+    link = F.get(F.filter(F.transform(F.filter("p.links", lambda x: x != ""), lambda x: U.resolved(page, x)), M.posting_link), F.lit(0))
+    dated = F.transform("p.dates", lambda d: F.coalesce(F.nullif(F.substring(T.squeezed(d["given"]), 1, 10), F.lit("")), F.nullif(T.posted_date(d["text"]), F.lit(""))))
+    typed = F.coalesce(*[F.when(text.rlike(rf"(?i)\b{p}\b"), F.lit(label)) for label, p in fixed.TYPE_PATTERNS])
+    rows = rows.select(
+        url,
+        "pos",
+        F.coalesce(_first(F.col("p.titles")), F.lit("")).alias("title"),
+        F.coalesce(_first(F.col("p.companies")), U.company_from_host(page)).alias("company"),
+        F.coalesce(_first(F.col("p.places")), F.nullif(T.squeezed(F.regexp_extract(text, fixed.LOCATION_PATTERN, 0)), F.lit("")), F.lit("Not specified")).alias("location"),
+        F.coalesce(_first(F.col("p.types")), typed, F.lit("Not specified")).alias("type"),
+        U.stripped(link).alias("link"),
+        F.coalesce(F.get(F.filter(dated, lambda x: x.isNotNull()), F.lit(0)), T.posted_date(text)).alias("posted_date"),
+    )
+    return rows.where(F.col("link").isNotNull() & M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page))
+
+
+def postings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
+    """url, n, title, company, location, type, link and posted_date of the valid postings of each page, the first of each title and link."""
+    rows = _valid_postings(H.facts(pages, "head", "postings", html=html, keep=(url,)), url)
+    return _numbered(rows, url, F.concat_ws("|", F.lower("title"), "link"), most)
+
+
+def openings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
+    """url, title and link of every page's postings: those of the markup first, then JSON-LD's, the first of each, `most` a page."""
+    found = H.facts(pages, "head", "postings", "ld", html=html, keep=(url,))
+    marked = _valid_postings(found, url).select(url, F.col("pos").cast("long").alias("pos"), "title", "link")
+    page = F.col(url)
+    rows = found.select(url, F.posexplode("ld").alias("pos", "x")).select(url, ((1 << 31) + F.col("pos")).alias("pos"), T.squeezed(F.col("x.title")).alias("title"), F.when(F.col("x.link") != "", U.resolved(page, F.col("x.link"))).otherwise("").alias("link"))
+    rows = rows.where(M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page))
+    return _numbered(marked.unionByName(rows), url, F.concat_ws("|", F.lower("title"), F.lower("link")), most).drop("n")
 
-    Each round joins the frontier with the edges and drops what was seen before. The
-    bounds are part of the operator: rounds is small, and each round's pages are taken in order of their URLs.
+
+_ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
+
+
+def descriptions(pages: DataFrame, *, key: str = "url", html: str = "html", shortest: int = 120, least: int = 200, most: int | None = None) -> DataFrame:
+    """key, description, posted_date and meta_description of each page.
+
+    A description is a JobPosting's JSON-LD text from `shortest` characters on, else the first known block's text from
+    `least` characters on, else the page's text if it is as long and has a phrase of postings; it ends before "Related Jobs" and "Apply".
+    With `most`, one of less than `shortest` characters is left out and others are cut there. A date is an ISO date in a time element, else in the text.
     """
-    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    seen = frontier
-    for depth in range(1, rounds + 1):
-        reached = frontier.join(edges, "url").select(F.col("link").alias("url")).distinct()
-        frontier = reached.join(seen, "url", "left_anti").orderBy("url").limit(most).withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(frontier)
-    return seen
+    found = H.facts(pages, "ld", "detail", html=html, keep=(key,))
+    said = F.get(F.filter(F.transform("ld", lambda x: x["description"]), lambda x: F.length(x) >= shortest), F.lit(0))
+    block = F.get(F.filter("detail.blocks", lambda x: F.length(x) >= least), F.lit(0))
+    body = F.when((F.length("detail.body") >= least) & F.col("detail.body").rlike(fixed.ANCHOR_PHRASES), F.col("detail.body"))
+    text = F.coalesce(said, block, body, F.lit(""))
+    for end in ("Related Jobs", "Apply"):
+        text = F.regexp_replace(text, f"(?i){end}.*$", "")
+    if most is not None:
+        text = F.when(F.length(text) < shortest, "").otherwise(F.substring(text, 1, most))
+    given = F.get(F.filter(F.transform("detail.times", lambda x: F.regexp_extract(x, _ISO_DATE, 0)), lambda x: x != ""), F.lit(0))
+    return found.select(key, text.alias("description"), F.coalesce(given, F.regexp_extract("detail.text", _ISO_DATE, 0)).alias("posted_date"), F.col("detail.meta").alias("meta_description"))
+
+
+def handoff_links(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 6) -> DataFrame:
+    """url, n and link: the first `most` distinct addresses of jobs that a page leads on to, on its own or a related host."""
+    rows = H.facts(pages, "handoffs", html=html, keep=(url,)).select(url, F.posexplode("handoffs").alias("pos", "raw"))
+    rows = rows.where(~F.col("raw").rlike("^(#|javascript:|mailto:|tel:)")).withColumn("link", U.resolved(F.col(url), F.col("raw")))
+    bare = lambda c: F.regexp_replace(U.host(c), ":.*$", "")
+    link = F.col("link")
+    likely = T.has_part(link, fixed.HANDOFF_WORDS) | T.any_of([bare(link).endswith(h) for h in fixed.ATS_HOSTS])
+    return _numbered(rows.where(U.is_web(link) & U.related(bare(F.col(url)), bare(link)) & likely).drop("raw"), url, F.lower("link"), most)
+
+
+def search_results(pages: DataFrame, engine: str, *, key: str = "query", html: str = "html", most: int = 10) -> DataFrame:
+    """key, n, title, link, snippet and engine of the results on a search engine's pages, the first of each address and title."""
+    rows = H.facts(pages, f"{engine}_results", html=html, keep=(key,)).select(key, F.posexplode(f"{engine}_results").alias("pos", "x"))
+    rows = rows.select(key, "pos", T.squeezed(F.col("x.title")).alias("title"), U.unwrapped(F.col("x.href")).alias("link"), "x.snippet", F.lit(engine).alias("engine"))
+    return _numbered(rows.where((F.col("title") != "") & (F.col("link") != "")), key, F.concat_ws("|", F.lower("link"), F.lower("title")), most)
+
+
+def career_urls(results: DataFrame, *, key: str = "query", link: str = "link", pos: str = "n", most: int = 12) -> DataFrame:
+    """key, n and url: of each key's results those that name careers and nothing else, one per domain, in order."""
+    rows = results.select(key, F.col(pos).alias("pos"), U.unwrapped(F.col(link)).alias("url")).where("url <> ''")
+    rows = rows.where(~T.has_part(F.col("url"), fixed.NON_CAREER_URLS) & T.has_part(F.col("url"), fixed.CAREER_URLS)).withColumn("url", F.regexp_replace("url", "/+$", ""))
+    return _numbered(rows, key, F.coalesce(F.nullif(U.domain(F.col("url")), F.lit("")), F.col("url")), most)
 
 
 def crawl_sites(seeds: DataFrame, edges: DataFrame, *, max_pages: int = 8) -> DataFrame:

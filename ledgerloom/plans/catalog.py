@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import pages, postings, runs
+from ledgerloom.plans import markup, pages, postings, runs
 
-_ALL = pages.QUERIES | postings.QUERIES | runs.QUERIES
+_ALL = pages.QUERIES | markup.QUERIES | postings.QUERIES | runs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -84,19 +84,6 @@ def page_anchors(spark, sf_dir):
     return rows.groupBy("url").agg(F.count(F.lit(1)).alias("n_links"), F.max("link").alias("last_link"))
 
 
-def pagination_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
-    return P.pagination_links(dedup.first_wins(pages, ["url"], ["page_id"]).select("url", "html"))
-
-
-def openings_from_html(spark, sf_dir):
-    return H.openings(table(spark, sf_dir, "pages", "url", "html"))
-
-
-def posting_descriptions(spark, sf_dir):
-    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", H.extract_description("html").alias("description"))
-
-
 def crawl_frontier(spark, sf_dir):
     pages = dedup.first_wins(table(spark, sf_dir, "pages", "page_id", "url", "html"), ["url"], ["page_id"])
     edges = P.links(pages.select("url", "html")).where(U.is_web(C("link"))).select("url", "pos", "link")
@@ -182,9 +169,6 @@ QUERIES = {
         r AS (SELECT u, trim(h) AS h, lower({part(1)}) || '://' || {part(2)} AS root, regexp_extract({part(3)}, '^(.*/)', 1) AS dir, {part(3)} AS path FROM a)
         SELECT u AS url, count(*) AS n_links, max(CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(root, '^[^:]*:') || h WHEN starts_with(h, '/') THEN root || h
             WHEN starts_with(h, '?') THEN root || path || h WHEN h = '' THEN u ELSE root || CASE WHEN dir = '' THEN '/' ELSE dir END || h END) AS last_link FROM r GROUP BY u"""),
-    "pagination_links": (pagination_links, None),
-    "openings_from_html": (openings_from_html, None),
-    "posting_descriptions": (posting_descriptions, None),
     "crawl_frontier": (crawl_frontier, None),
     "unwrap_redirects": (unwrap_redirects, "SELECT page_id, regexp_replace(url, '#.*$', '') AS target FROM pages"),
     "unvisited_domains": (unvisited_domains, f"""

@@ -1,7 +1,7 @@
 """Queries over titles, descriptions and scores, with the SQL that they are held against.
 
 The tables hold no postings, so titles, places and texts are taken from fixed
-lists by key, and documents stand in for descriptions.
+lists by key, each list by digits of its own, and documents stand in for descriptions.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ TEXTS = (
 
 
 def pick(values: tuple[str, ...], key: str):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (C(key) % len(values) + 1).cast("int"))
+    """The value that the key (a column or an expression) names, by remainder."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.expr(key) % len(values) + 1).cast("int"))
 
 
 def pick_sql(values: tuple[str, ...], key: str) -> str:
@@ -37,10 +38,10 @@ def pick_sql(values: tuple[str, ...], key: str) -> str:
 
 def _posts(spark, sf_dir):
     rows = table(spark, sf_dir, "part", "p_partkey", "p_brand")
-    return rows.select(C("p_partkey").alias("id"), C("p_brand").alias("company"), pick(TITLES, "p_partkey").alias("title"), pick(PLACES, "p_partkey").alias("place"), pick(TEXTS, "p_partkey").alias("body"))
+    return rows.select(C("p_partkey").alias("id"), C("p_brand").alias("company"), pick(TITLES, "p_partkey").alias("title"), pick(PLACES, "p_partkey div 16").alias("place"), pick(TEXTS, "p_partkey div 144").alias("body"))
 
 
-POSTS = f"posts AS (SELECT p_partkey AS id, p_brand AS company, {pick_sql(TITLES, 'p_partkey')} AS title, {pick_sql(PLACES, 'p_partkey')} AS place, {pick_sql(TEXTS, 'p_partkey')} AS body FROM part)"
+POSTS = f"posts AS (SELECT p_partkey AS id, p_brand AS company, {pick_sql(TITLES, 'p_partkey')} AS title, {pick_sql(PLACES, '(p_partkey // 16)')} AS place, {pick_sql(TEXTS, '(p_partkey // 144)')} AS body FROM part)"
 
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 NORMAL_TITLE = SQUEEZE.format(r"regexp_replace(regexp_replace(regexp_replace(" + SQUEEZE.format("lower(title)") + r", '\([^)]*\)|\[[^\]]*\]|\{[^}]*\}', ' ', 'g'), '[|\-/]+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g')")

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed, fuzzy, html, scores as S, text as T, urls as U
+from ledgerloom.operators import pages as P
 from ledgerloom.operators import matching as M
 
 
@@ -152,14 +153,30 @@ PAGE = """<html><head><title>Careers at Acme</title></head><body><nav class="mai
 <script type="application/ld+json">not json</script></body></html>"""
 
 
+def page_frame(spark, *pages):
+    return spark.createDataFrame([(f"https://careers.acme.com/{i or 'list'}", p) for i, p in enumerate(pages)], "url string, html string")
+
+
 def test_html_postings(spark):
-    found = html.postings(PAGE, "https://careers.acme.com/list")
-    assert [(p["title"], p["apply_link"], p["location"], p["posted_date"], p["company"]) for p in found] == [("Data Engineer", "https://careers.acme.com/jobs/1", "Lahore", "2024-02-03", "Acme")]
-    assert html.ld_postings(PAGE, "https://careers.acme.com/list") == [{"title": "QA Analyst", "link": "https://careers.acme.com/jobs/7"}]
-    assert html.postings("", "") == [] and html.postings("<li class=job><a href='/jobs'>", "https://e.com/blog") == []
-    df = spark.createDataFrame([("https://careers.acme.com/list", PAGE), ("https://e.com", None)], "url string, html string")
-    assert {(r.title, r.link) for r in html.openings(df).collect()} == {("Data Engineer", "https://careers.acme.com/jobs/1"), ("QA Analyst", "https://careers.acme.com/jobs/7")}
+    df = page_frame(spark, PAGE, None, "<li class=job><a href='/jobs'>")
+    found = P.postings(df).collect()
+    assert [(p.title, p.link, p.location, p.posted_date, p.company, p.type) for p in found] == [("Data Engineer", "https://careers.acme.com/jobs/1", "Lahore", "2024-02-03", "Acme", "Not specified")]
+    assert [(r.title, r.link) for r in P.openings(df).collect()] == [("Data Engineer", "https://careers.acme.com/jobs/1"), ("QA Analyst", "https://careers.acme.com/jobs/7")]
     assert values(spark, html.page_title(F.col("a")), [PAGE, "", None]) == ["Careers at Acme", "", ""]
+    blog = spark.createDataFrame([("https://e.com/blog", PAGE.replace("Careers at ", ""))], "url string, html string")
+    assert P.postings(blog).count() == 0
+
+
+def test_containers_without_known_selectors_are_the_boxes_of_titles(spark):
+    page = "<div class=x><h3>Data Engineer</h3><p>Contract, Lahore, Pakistan</p><a href='../jobs/1'></a></div><footer class=footer><h3>Lead Engineer</h3><a href=/jobs/2>x</a></footer><a href='/jobs/3'>Backend Developer</a>"
+    got = {(p.title, p.link, p.type) for p in P.postings(page_frame(spark, page)).collect()}
+    assert got == {("Data Engineer", "https://careers.acme.com/../jobs/1", "Contract"), ("Backend Developer", "https://careers.acme.com/jobs/3", "Not specified")}
+
+
+def test_selectors():
+    root = html.parse("<div class='a b' id=i><ul class=jobs-list><li><p data-x='One Two'>t</p></li></ul></div><p>u</p>")
+    count = lambda spec: len(list(html.every(root, spec)))
+    assert [count(s) for s in ("p", "div.a.b", "#i p", "div > p", ".jobs-list > *", ".jobs-list *", "[data-x*='one t' i]", "[data-x*='one t']", "ul li p", "span")] == [2, 1, 1, 0, 1, 2, 1, 0, 1, 0]
 
 
 def test_descriptions_of_postings(spark):
@@ -178,7 +195,35 @@ def test_descriptions_of_postings(spark):
         ("<div>Job summary: short</div>", ""),
         (None, ""),
     ]
-    assert values(spark, html.extract_description(F.col("a")), [x for x, _ in cases]) == [x for _, x in cases]
+    df = page_frame(spark, *[x for x, _ in cases])
+    got = {r.url: r for r in P.descriptions(df).collect()}
+    assert [got[r.url].description for r in df.collect()] == [x for _, x in cases]
+    cut = {r.url: r.description for r in P.descriptions(df, most=150).collect()}
+    assert [cut[r.url] for r in df.collect()] == [x[:150] if len(x) >= 120 else "" for _, x in cases]
+
+
+def test_dates_of_details(spark):
+    pages = ["<time>2024-01-01</time><time datetime='x'></time><time data-posted='on 2024-02-03 10:00'></time>", "<p>since 2023-05-06</p><script>2020-01-01</script>", "none"]
+    assert [r.posted_date for r in P.descriptions(page_frame(spark, *pages)).orderBy(F.length("url"), "url").collect()] == ["2023-05-06", "", "2024-02-03"]
+
+
+def test_handoff_links(spark):
+    page = """<a href="#x">a</a><a href="/jobs/1">b</a><button onclick="go('/apply/2'); open('https://jobs.lever.co/3')">c</button><a href="https://other.org/jobs">d</a><div data-link="/JOBS/1"></div>
+    <a href="/about">e</a><script>x = 'https://boards.greenhouse.io/acme%20co'; location.assign("/careers/4"); location.href = '/vacancies'</script><a href="mailto:jobs@x">f</a>"""
+    got = [r.link for r in P.handoff_links(page_frame(spark, page), most=9).orderBy("n").collect()]
+    base = "https://careers.acme.com"
+    assert got == [f"{base}/jobs/1", "https://jobs.lever.co/3", f"{base}/apply/2", f"{base}/about", "https://boards.greenhouse.io/acme co", f"{base}/careers/4", f"{base}/vacancies"]
+    assert P.handoff_links(page_frame(spark, page), most=2).count() == 2
+
+
+def test_search_results(spark):
+    page = """<div class="result"><a class="result__a" href="https://duckduckgo.com/l/?uddg=https%3A%2F%2Fa.com%2Fjobs%23x"> A  b </a><div class="result__snippet">s</div></div>
+    <div class="result"><h2 class="result__title"><a href="https://a.com/jobs">a B</a></h2></div><div class="result"><a class="result__a" href="/x">c</a></div>"""
+    df = spark.createDataFrame([("q", page)], "query string, html string")
+    assert [tuple(r) for r in P.search_results(df, "duckduckgo").collect()] == [("q", 1, "A b", "https://a.com/jobs", "s", "duckduckgo")]
+    assert P.search_results(df, "bing").count() == 0
+    google = spark.createDataFrame([("q", "<div class=yuRUbf><a href=https://g.com/jobs></a><h3>T</h3><span class=aCOpRe>s</span></div>")], "query string, html string")
+    assert [(r.title, r.snippet) for r in P.search_results(google, "google").collect()] == [("T", "s")]
 
 
 def test_meta_description(spark):
@@ -188,4 +233,6 @@ def test_meta_description(spark):
         (PAGE, ""),
         (None, ""),
     ]
-    assert values(spark, html.extract_meta_description(F.col("a")), [x for x, _ in cases]) == [x for _, x in cases]
+    df = page_frame(spark, *[x for x, _ in cases])
+    got = {r.url: r.meta_description for r in P.descriptions(df).collect()}
+    assert [got[r.url] for r in df.collect()] == [x for _, x in cases]
