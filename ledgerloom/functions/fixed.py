@@ -169,3 +169,12 @@ CAREER_URLS = (
 )
 NON_CAREER_URLS = ("blog", "news", "article", "privacy", "terms", "about", "contact", "pricing", "feature", "product", "service")
 STATUS_COLOURS = {"NEW": "#d9ead3", "UPDATED": "#eeeeee", "EXISTING": "#ffffff", "ACTIVE": "#ffffff", "CLOSED": "#f4cccc"}
+ASSOCIATE_TITLE_WORDS = ("associate", "junior", "graduate", "trainee", "entry", "entry-level", "intern", "fresher", "new grad")
+OPENING_WORDS = (
+    "engineer", "developer", "scientist", "analyst", "intern", "internship", "associate", "junior", "graduate", "trainee", "entry", "new grad",
+    "software", "backend", "frontend", "full stack", "data", "ai", "ml", "qa", "sre", "devops", "python",
+)
+OPENING_IGNORED = (
+    "privacy", "cookie", "terms", "sign in", "log in", "login", "about us", "contact us", "home", "learn more", "view all", "read more", "subscribe",
+    "press", "investor", "culture", "benefits", "team",
+)

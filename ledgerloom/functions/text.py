@@ -92,6 +92,17 @@ def truthy(c: Column) -> Column:
     return F.lower(F.trim(text(c))).isin("1", "true", "yes", "on")
 
 
+def as_bool(c: Column, default: bool = False) -> Column:
+    """1, true, yes, on and their opposites; the default for anything else."""
+    value = F.lower(F.trim(text(c)))
+    return F.when(value.isin("1", "true", "yes", "on"), True).when(value.isin("0", "false", "no", "off"), False).otherwise(default)
+
+
+def says_entry(c: Column) -> Column:
+    """A model's answer as a truth value: true, yes, 1, entry or entry-level."""
+    return F.lower(F.trim(text(c))).isin("true", "yes", "1", "entry", "entry-level")
+
+
 def html_escaped(c: Column) -> Column:
     out = text(c)
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

@@ -100,10 +100,10 @@ def content_digest(*columns: str) -> Column:
 
 def mark(df: DataFrame, key: str, value: str, status: str, note: str, *, status_col: str = "status", notes_col: str = "notes", order: str = "pos") -> DataFrame:
     """Sets status, and notes unless the note is empty, of the first row whose key has the value."""
-    first = df.where(F.col(key) == value).agg(F.min(order)).first()[0]
-    hit = F.coalesce((F.col(key) == value) & (F.col(order) == F.lit(first)), F.lit(False))
+    first = df.where(F.col(key) == value).agg(F.min(order).alias("_first"))  # one row
+    hit = F.coalesce((F.col(key) == value) & (F.col(order) == F.col("_first")), F.lit(False))
     kept = F.when(hit & F.lit(note != ""), F.lit(note)).otherwise(F.col(notes_col))
-    return df.withColumns({status_col: F.when(hit, F.lit(status)).otherwise(F.col(status_col)), notes_col: kept})
+    return df.join(F.broadcast(first)).withColumns({status_col: F.when(hit, F.lit(status)).otherwise(F.col(status_col)), notes_col: kept}).drop("_first")
 
 
 def note_added(notes: Column, note: Column) -> Column:

@@ -99,7 +99,7 @@ def unwrap_redirects(spark, sf_dir):
 
 def unvisited_domains(spark, sf_dir):
     rows = table(spark, sf_dir, "pages", "page_id", "url")
-    return P.unvisited(rows.where("page_id % 3 <> 0"), rows.where("page_id % 3 = 0 AND page_id % 2 = 0"), pos="page_id")
+    return P.unvisited(rows.where("page_id % 3 <> 0"), rows.where("page_id % 3 = 0"), pos="page_id")
 
 
 def first_success(spark, sf_dir):
@@ -173,7 +173,7 @@ QUERIES = {
     "unwrap_redirects": (unwrap_redirects, "SELECT page_id, regexp_replace(url, '#.*$', '') AS target FROM pages"),
     "unvisited_domains": (unvisited_domains, f"""
         WITH p AS (SELECT page_id, url, {domain_sql()} AS k FROM pages)
-        SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page_id) AS n FROM p WHERE page_id % 3 <> 0 AND k NOT IN (SELECT k FROM p WHERE page_id % 6 = 0)) WHERE n = 1"""),
+        SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page_id) AS n FROM p WHERE page_id % 3 <> 0 AND k NOT IN (SELECT k FROM p WHERE page_id % 3 = 0)) WHERE n = 1"""),
     "first_success": (first_success, """
         WITH t AS (SELECT page_id AS url, unnest([0, 1, 2]) AS p FROM pages), r AS (SELECT url, p, ['requests', 'browser', 'api'][p + 1] AS m, (url + p) % 3 = 0 AS ok FROM t),
         b AS (SELECT url, min(p) FILTER (ok) AS best FROM r GROUP BY url)

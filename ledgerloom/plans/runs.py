@@ -21,24 +21,28 @@ STATUSES = ("new", "applied", "rejected", "interview")
 
 
 def _seen(spark, sf_dir, start: str, end: str):
-    """Distinct users with a purchase in the period, as rows seen at their source."""
-    rows = table(spark, sf_dir, "events", "ts", "user_id", "event_type").where((C("ts") >= start) & (C("ts") < end) & (C("event_type") == "purchase"))
-    return rows.select(C("user_id").cast("string").alias("hash"), F.concat(F.lit("s"), (C("user_id") % 10)).alias("source_url")).distinct()
+    """What users did in the period, by kind and a digit of the event, as rows seen at their source."""
+    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").where((C("ts") >= start) & (C("ts") < end))
+    return rows.select(F.concat_ws("-", "user_id", "event_type", C("event_id") % 5).alias("hash"), F.concat(F.lit("s"), (C("user_id") % 10)).alias("source_url")).distinct()
 
 
 def _snapshot(spark, sf_dir, start: str, end: str):
     rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").where((C("ts") >= start) & (C("ts") < end))
-    first = rows.groupBy(F.concat_ws("-", C("user_id"), C("event_type")).alias("hash")).agg(F.min("event_id").alias("pos"), F.min_by((C("user_id") % 40).cast("string"), "event_id").alias("place"))
+    first = rows.groupBy(F.concat_ws("-", C("user_id"), C("event_type"), C("event_id") % 7).alias("hash")).agg(F.min("event_id").alias("pos"), F.min_by(F.concat_ws("-", C("user_id") % 40, C("event_id") % 7), "event_id").alias("place"))
     return first.select("hash", "pos", "place")
 
 
+#: Two overlapping snapshots, the current and the previous one; together they hold all events.
+CURRENT, PREVIOUS = ("2024-01-11", "2024-02-01"), ("2024-01-01", "2024-01-21")
+
+
 def snapshot_diff(spark, sf_dir):
-    return changes.diff(_snapshot(spark, sf_dir, "2024-01-02", "2024-01-04"), _snapshot(spark, sf_dir, "2024-01-01", "2024-01-03"))
+    return changes.diff(_snapshot(spark, sf_dir, *CURRENT), _snapshot(spark, sf_dir, *PREVIOUS))
 
 
 def page_diff(spark, sf_dir):
     keyed = lambda df: df.withColumns({"key": C("hash"), "hash": F.md5(F.concat_ws("-", "hash", C("pos") % 3))})
-    return changes.diff_pages(keyed(_snapshot(spark, sf_dir, "2024-01-02", "2024-01-04")), keyed(_snapshot(spark, sf_dir, "2024-01-01", "2024-01-03"))).select("key", "pos", "status")
+    return changes.diff_pages(keyed(_snapshot(spark, sf_dir, *CURRENT)), keyed(_snapshot(spark, sf_dir, *PREVIOUS))).select("key", "pos", "status")
 
 
 def page_change_status(spark, sf_dir):
@@ -48,12 +52,12 @@ def page_change_status(spark, sf_dir):
 
 
 def _first_state(spark, sf_dir):
-    return lifecycle.baseline(_seen(spark, sf_dir, "2024-01-01", WEEKS[0]), WEEKS[0])
+    return lifecycle.baseline(_seen(spark, sf_dir, "2024-01-01", WEEKS[1]), WEEKS[1])
 
 
 def lifecycle_merge(spark, sf_dir):
-    now = _seen(spark, sf_dir, WEEKS[0], WEEKS[1])
-    return lifecycle.advance(_first_state(spark, sf_dir), now, now.where("source_url <> 's3'").select("source_url"), WEEKS[1], threshold=1)
+    now = _seen(spark, sf_dir, WEEKS[1], WEEKS[3])
+    return lifecycle.advance(_first_state(spark, sf_dir), now, now.where("source_url <> 's3'").select("source_url"), WEEKS[3], threshold=1)
 
 
 def lifecycle_multi_run(spark, sf_dir):
@@ -82,8 +86,9 @@ def ttl_cleanup(spark, sf_dir):
 
 
 def failsafe(spark, sf_dir):
-    rows = lambda a, b: table(spark, sf_dir, "events", "ts", "user_id").where((C("ts") >= a) & (C("ts") < b)).select(C("user_id").cast("string").alias("source_url"))
-    return lifecycle.trusted_sites(rows("2024-01-03", "2024-01-04"), rows("2024-01-01", "2024-01-03"))
+    rows = table(spark, sf_dir, "events", "ts", "user_id", "event_type").withColumn("source_url", F.concat_ws("-", "user_id", "event_type"))
+    late = C("ts") >= "2024-01-24"
+    return lifecycle.trusted_sites(rows.where(late).select("source_url"), rows.where(~late).select("source_url"))
 
 
 def site_health(spark, sf_dir):
@@ -148,7 +153,7 @@ def allow_list(spark, sf_dir):
 
 
 def notified_anti(spark, sf_dir):
-    known = table(spark, sf_dir, "orders", "o_custkey").select(C("o_custkey").alias("c_custkey"))
+    known = table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'").select(C("o_custkey").alias("c_custkey"))
     return dedup.not_in(table(spark, sf_dir, "customer", "c_custkey", "c_name"), known, "c_custkey")
 
 
@@ -234,18 +239,18 @@ def seed_rows(spark, sf_dir):
 
 
 def _seen_sql(a: str, b: str) -> str:
-    return f"SELECT DISTINCT CAST(user_id AS VARCHAR) AS hash, 's' || user_id % 10 AS source_url FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}' AND event_type = 'purchase'"
+    return f"SELECT DISTINCT user_id || '-' || event_type || '-' || (event_id % 5) AS hash, 's' || user_id % 10 AS source_url FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}'"
 
 
 def _snapshot_sql(a: str, b: str) -> str:
-    return f"SELECT user_id || '-' || event_type AS hash, min(event_id) AS pos, CAST(any_value(user_id) % 40 AS VARCHAR) AS place FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}' GROUP BY 1"
+    return f"SELECT user_id || '-' || event_type || '-' || (event_id % 7) AS hash, min(event_id) AS pos, any_value(user_id) % 40 || '-' || (any_value(event_id) % 7) AS place FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}' GROUP BY 1"
 
 
 _DIFF = """first AS (SELECT place, arg_min(hash, pos) AS hash FROM prev GROUP BY place),
 r AS (SELECT cur.*, p.hash IS NOT NULL AS exact, f.hash AS fh, t.pos AS tp FROM cur LEFT JOIN prev p ON p.hash = cur.hash LEFT JOIN first f ON f.place = cur.place LEFT JOIN cur t ON t.hash = f.hash),
 n AS (SELECT *, row_number() OVER (PARTITION BY place, exact ORDER BY pos) AS turn FROM r),
 d AS (SELECT hash, pos, place, CASE WHEN exact THEN 'ACTIVE' WHEN fh IS NOT NULL AND turn = 1 AND (tp IS NULL OR tp > pos) THEN 'UPDATED' ELSE 'NEW' END AS status FROM n)"""
-_CUR = f"WITH cur AS ({_snapshot_sql('2024-01-02', '2024-01-04')}), prev AS ({_snapshot_sql('2024-01-01', '2024-01-03')})"
+_CUR = f"WITH cur AS ({_snapshot_sql(*CURRENT)}), prev AS ({_snapshot_sql(*PREVIOUS)})"
 
 
 def _multi_run_sql() -> str:
@@ -269,16 +274,16 @@ QUERIES = {
         WHERE d.status <> 'ACTIVE' OR d.pos % 3 <> p.pos % 3"""),
     "page_change_status": (page_change_status, """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 6 = 0 THEN 'unchanged' WHEN page_id % 4 = 0 THEN 'ignored_no_jobs' WHEN page_id % 2 = 1 THEN 'new_url_tracked'
         WHEN page_id % 3 = 0 THEN 'no_new_openings' ELSE 'content_changed' END AS status FROM pages"""),
-    "lifecycle_merge": (lifecycle_merge, f"""WITH p AS ({_seen_sql('2024-01-01', WEEKS[0])}), c AS ({_seen_sql(WEEKS[0], WEEKS[1])}), e AS (SELECT DISTINCT source_url FROM c WHERE source_url <> 's3'),
+    "lifecycle_merge": (lifecycle_merge, f"""WITH p AS ({_seen_sql('2024-01-01', WEEKS[1])}), c AS ({_seen_sql(WEEKS[1], WEEKS[3])}), e AS (SELECT DISTINCT source_url FROM c WHERE source_url <> 's3'),
         j AS (SELECT coalesce(c.hash, p.hash) AS hash, coalesce(c.source_url, p.source_url) AS source_url, c.hash IS NOT NULL AS here, p.hash IS NOT NULL AS old, p.source_url NOT IN (SELECT source_url FROM e) AS waits FROM p FULL JOIN c ON c.hash = p.hash)
-        SELECT hash, source_url, CASE WHEN here OR waits THEN 'ACTIVE' ELSE 'CLOSED' END AS status, CASE WHEN here OR waits THEN 0 ELSE 1 END AS missing_count, CASE WHEN old THEN TIMESTAMP '{WEEKS[0]}' ELSE TIMESTAMP '{WEEKS[1]}' END AS first_seen,
-            CASE WHEN here OR NOT waits THEN TIMESTAMP '{WEEKS[1]}' ELSE TIMESTAMP '{WEEKS[0]}' END AS last_seen, CASE WHEN NOT here AND NOT waits THEN TIMESTAMP '{WEEKS[1]}' END AS closed_at FROM j"""),
+        SELECT hash, source_url, CASE WHEN here OR waits THEN 'ACTIVE' ELSE 'CLOSED' END AS status, CASE WHEN here OR waits THEN 0 ELSE 1 END AS missing_count, CASE WHEN old THEN TIMESTAMP '{WEEKS[1]}' ELSE TIMESTAMP '{WEEKS[3]}' END AS first_seen,
+            CASE WHEN here OR NOT waits THEN TIMESTAMP '{WEEKS[3]}' ELSE TIMESTAMP '{WEEKS[1]}' END AS last_seen, CASE WHEN NOT here AND NOT waits THEN TIMESTAMP '{WEEKS[3]}' END AS closed_at FROM j"""),
     "lifecycle_multi_run": (lifecycle_multi_run, _multi_run_sql()),
     "stream_cycle": (stream_cycle, _multi_run_sql()),
     "ttl_cleanup": (ttl_cleanup, """SELECT CAST(o_orderkey AS VARCHAR) AS hash, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'ACTIVE' END AS status FROM orders
         WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 9 <> 0 AND o_orderdate < TIMESTAMP '1998-06-15' - INTERVAL 30 DAY)"""),
-    "failsafe": (failsafe, """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS source_url, count(*) FILTER (ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-03') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-03') AS now
-        FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1) SELECT * FROM c WHERE NOT (now = 0 AND before > 5)"""),
+    "failsafe": (failsafe, """WITH c AS (SELECT user_id || '-' || event_type AS source_url, count(*) FILTER (ts < TIMESTAMP '2024-01-24') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS now
+        FROM events GROUP BY 1) SELECT * FROM c WHERE NOT (now = 0 AND before > 5)"""),
     "site_health": (site_health, """SELECT user_id AS site, max(ts) FILTER (event_type <> 'error') AS last_success, max(ts) FILTER (event_type = 'error') AS last_failure, arg_max(props, ts) FILTER (event_type = 'error') AS last_error,
         arg_max(CASE WHEN event_type <> 'error' THEN 'success' ELSE 'failed' END, ts) AS last_status FROM events GROUP BY 1"""),
     "json_props": (json_props, "SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events"),
@@ -294,8 +299,10 @@ QUERIES = {
     "last_n_ids": (last_ids, "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5000"),
     "usage_quota": (usage_quota, "SELECT date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS used, greatest(0, 340 - count(*)) AS remaining, count(*) >= 330 AS stop FROM events GROUP BY 1"),
     "allow_list_semi": (allow_list, "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 = 0"),
-    "notified_anti": (notified_anti, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "greedy_two_key_dedup": (greedy_two_key_dedup, None),
+    "notified_anti": (notified_anti, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+    "greedy_two_key_dedup": (greedy_two_key_dedup, """WITH g AS (SELECT o_custkey, list({'a': [o_orderpriority], 'b': [o_orderstatus], 'k': [o_orderkey]} ORDER BY o_orderkey) AS l FROM orders GROUP BY 1),
+        f AS (SELECT o_custkey, list_reduce(l, lambda s, x: CASE WHEN list_has_any(s.a, x.a) OR list_has_any(s.b, x.b) THEN s ELSE {'a': list_concat(s.a, x.a), 'b': list_concat(s.b, x.b), 'k': list_concat(s.k, x.k)} END) AS s FROM g)
+        SELECT unnest(s.k) AS o_orderkey, o_custkey FROM f"""),
     "last_wins_merge": (last_wins_merge, """WITH l AS (SELECT o_custkey, o_orderkey % 2 AS s, max(o_orderkey) AS k FROM orders GROUP BY ALL), m AS (SELECT o_custkey, arg_max(k, s) AS k FROM l GROUP BY 1)
         SELECT o_orderkey, o.o_custkey, o_totalprice FROM orders o JOIN m ON m.k = o.o_orderkey"""),
     "company_snapshot": (company_snapshot, "SELECT o_orderkey, o_custkey AS company FROM (SELECT *, max(o_orderpriority) OVER (PARTITION BY o_custkey) AS m FROM orders) WHERE o_orderpriority = m"),

@@ -35,6 +35,18 @@ def raw_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTING_SCHEMA).json(path)
 
 
+def search_rows(answers: DataFrame, *, key: str, status: str = "status", payload: str = "payload") -> DataFrame:
+    """key, pos and the fields of the postings in the data lists of search answers whose status is 200."""
+    fields = ", ".join(POSTING_SCHEMA.split(", "))
+    data = F.from_json(F.get_json_object(payload, "$.data"), f"array<struct<{fields.replace(' string', ':string')}>>")
+    return answers.where(F.col(status) == 200).select(key, F.posexplode(data).alias("pos", "x")).select(key, "pos", "x.*")
+
+
+def answer_kind(status: Column) -> Column:
+    """ok, rate_limited, forbidden, server_error (worth a retry) or failed."""
+    return F.when(status == 200, "ok").when(status == 429, "rate_limited").when(status == 403, "forbidden").when(status >= 500, "server_error").otherwise("failed")
+
+
 _ITEM = "struct<title:string,name:string,jobTitle:string,url:string,applyUrl:string,jobUrl:string,absolute_url:string,hostedUrl:string,company:string,location:string,city:string,employmentType:string,type:string>"
 
 

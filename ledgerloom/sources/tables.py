@@ -46,12 +46,22 @@ def delete_keys(spark: SparkSession, path: str, keys: DataFrame, key: str) -> in
 
 
 def swap(spark: SparkSession, beside: str, path: str) -> None:
-    """Puts a complete table in the place of another."""
+    """Puts a complete table in the place of another, which stands aside until it is done; `recover` finishes what a crash in between has left."""
     hadoop, paths = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = paths.Path(beside), paths.Path(path)
+    new, old, aside = paths.Path(beside), paths.Path(path), paths.Path(path.rstrip("/") + ".last")
     fs = new.getFileSystem(hadoop)
-    fs.delete(old, True)
+    fs.delete(aside, True)
+    fs.rename(old, aside)
     fs.rename(new, old)
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash in the middle of swap: the table that stands aside comes back if no other took its place."""
+    aside = path.rstrip("/") + ".last"
+    if exists(spark, aside) and not exists(spark, path):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(target, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def save_state(df: DataFrame, base: str, version: int) -> str:

@@ -25,7 +25,7 @@ def run_cycle(batch: DataFrame, version: int, base: str, *, threshold: int = 1)
     if now is None:
         tables.save_state(state, base, version + 1)
         return
-    seen = batch.where(F.col("hash").isNotNull()).select("hash", "source_url").dropDuplicates(["hash"])
+    seen = batch.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min_by("source_url", F.struct("observed_at", "source_url")).alias("source_url"))
     tables.save_state(lifecycle.advance(state, seen, batch.select("source_url").distinct(), now, threshold=threshold), base, version + 1)
 
 
