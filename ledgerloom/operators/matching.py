@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, scores, text as T, urls as U
-from ledgerloom.functions.fuzzy import partial_ratio, token_set_ratio
+from ledgerloom.functions.fuzzy import first_alike, partial, token_set_ratio
 
 #: Target roles, or role vectors broadcast, at most.
 MAX_ROLES = 1_000
@@ -166,41 +166,62 @@ def semantic_gate(vectors: DataFrame, roles: DataFrame, *, threshold: float = 0.
     return scored.select(ident, "best", (F.col("_none") | (F.col("best") >= threshold)).alias("passes"))
 
 
-def target_title(title: Column, targets: Sequence[str]) -> Column:
-    """The first target that the title equals, is a synonym of, or is alike by a token-set ratio of 80."""
+def _plain(s: str) -> str:
+    """What match_title makes of a text."""
+    return " ".join("".join(ch if ch.isalnum() or ch in "_ " else " " for ch in s.lower()).split())
+
+
+def _named(position: Column, values: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), position)
+
+
+def target_title(title: Column, targets: Sequence[str], gate: Column | None = None) -> Column:
+    """The first target that the title equals, is a synonym of, or is alike by a token-set ratio of 80; null outside of the gate.
+
+    Only titles within the gate reach Python.
+    """
     norm = T.match_title(title)
-    same = lambda t: norm.isin(*[w for s in (t, *fixed.TITLE_SYNONYMS.get(t, ())) for w in [" ".join("".join(ch if ch.isalnum() or ch in "_ " else " " for ch in s.lower()).split())]])
-    alike = lambda t: token_set_ratio(norm, T.match_title(F.lit(t))) >= 80
-    return F.coalesce(*[F.when(same(t) | alike(t), F.lit(t)) for t in targets])
+    norm = norm if gate is None else F.when(gate, norm)
+    same = F.coalesce(*[F.when(norm.isin(*{_plain(w) for w in (t, *fixed.TITLE_SYNONYMS.get(t, ()))}), F.lit(k)) for k, t in enumerate(targets)])
+    return _named(F.least(same, first_alike(norm, [_plain(t) for t in targets], 80)), targets)
 
 
-def contextual_match(description: Column, words: Sequence[str]) -> Column:
-    """The first word that is nearly part of the first sentence about a role that has one (a partial ratio of 85)."""
+def contextual_match(description: Column, words: Sequence[str], gate: Column | None = None) -> Column:
+    """The first word that is nearly part of the sentences about a role (a partial ratio of 85); null outside of the gate."""
     sentences = F.filter(F.transform(F.split(F.lower(T.text(description)), r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: (s != "") & T.has_part(s, fixed.CONTEXT_TERMS))
-    joined = F.array_join(sentences, "\n")
-    return F.coalesce(*[F.when(partial_ratio(F.lit(w.lower().strip()), joined) >= 85, F.lit(w)) for w in words if w.strip()])
+    joined = F.nullif(F.array_join(sentences, "\n"), F.lit(""))
+    words = [w for w in words if w.strip()]
+    return _named(first_alike(joined if gate is None else F.when(gate, joined), [w.lower().strip() for w in words], 85, partial), words)
 
 
-def inclusion(title: Column, description: Column, words: Sequence[str], fuzzy_threshold: int = 70) -> Column:
-    """Struct of keyword and source: in the title, in the description, a title hint, a sentence on a role, or alike as a whole."""
+def inclusion(title: Column, description: Column, words: Sequence[str], fuzzy_threshold: int = 70, gate: Column | None = None) -> Column:
+    """Struct of keyword and source: in the title, in the description, a title hint, a sentence on a role, or alike as a whole.
+
+    What the first three find, or the gate leaves out, doesn't reach Python.
+    """
+    gate = F.lit(True) if gate is None else gate
     if not words:
-        return F.struct(F.lit("No filter").alias("keyword"), F.lit("no filter").alias("source"))
+        return F.when(gate, F.struct(F.lit("No filter").alias("keyword"), F.lit("no filter").alias("source")))
     words = [w for w in words if w.strip()]
     both = F.lower(F.concat_ws(" ", T.text(title), T.text(description)))
-    alike = F.coalesce(*[F.when(token_set_ratio(F.lit(w.lower()), both) >= max(70, fuzzy_threshold), F.lit(w)) for w in words])
-    found = ((T.first_word(title, words), "title match"), (T.first_word(description, words), "description match"), (title_hint(title), "title match"), (contextual_match(description, words), "description match"), (alike, "description match"))
-    return F.coalesce(*[F.when(k.isNotNull(), F.struct(k.alias("keyword"), F.lit(s).alias("source"))) for k, s in found])
+    plain = ((T.first_word(title, words), "title match"), (T.first_word(description, words), "description match"), (title_hint(title), "title match"))
+    waits = gate & F.coalesce(*[k for k, _ in plain]).isNull()
+    alike = _named(first_alike(F.when(waits, both), [w.lower() for w in words], max(70, fuzzy_threshold)), words)
+    found = (*plain, (contextual_match(description, words, waits), "description match"), (alike, "description match"))
+    return F.when(gate, F.coalesce(*[F.when(k.isNotNull(), F.struct(k.alias("keyword"), F.lit(s).alias("source"))) for k, s in found]))
 
 
 def qualify(df: DataFrame, targets: Sequence[str], words: Sequence[str], now: Column, *, max_age_days: int = 7, use_level: bool = False, confidence: int = 70, skills: tuple[str, ...] = ()) -> DataFrame:
-    """df with the fields of a qualified posting and reject_reason (null if it qualifies), gates in order.
+    """df with the fields of a qualified posting and reject_reason (null if it qualifies), gates in order; what a gate rejects isn't looked at by later ones.
 
     Reads job_id, job_title, job_description, job_posted_at_datetime_utc and job_apply_link.
     """
     clean = {c: F.trim(T.text(F.col(c))) for c in ("job_id", "job_title", "job_description", "job_posted_at_datetime_utc", "job_apply_link")}
     rows = df.withColumns(clean)
     title, body = F.col("job_title"), F.col("job_description")
-    rows = rows.withColumns({"matched_as": target_title(title, targets), "_excluded": exclusion(title, body), "_inclusion": inclusion(title, body, words), "_hint": title_hint(title), "_level": level(title, body)})
+    some = (title != "") | (F.col("job_id") != "")
+    rows = rows.withColumns({"matched_as": target_title(title, targets, some), "_excluded": exclusion(title, body), "_hint": title_hint(title), "_level": level(title, body)})
+    rows = rows.withColumn("_inclusion", inclusion(title, body, words, gate=F.col("matched_as").isNotNull() & F.col("_excluded").isNull()))
     judged = F.when(F.col("_hint").isNotNull(), F.struct(F.lit(True).alias("entry_level"), F.lit(95).alias("confidence"), F.concat(F.lit("title contains '"), F.col("_hint"), F.lit("'")).alias("reason"))).otherwise(F.col("_level"))
     rows = rows.withColumn("_judged", judged if use_level else F.struct(F.lit(True).alias("entry_level"), F.lit(100).alias("confidence"), F.lit("AI disabled").alias("reason")))
     weak = F.col("_hint").isNull() & F.lit(use_level)

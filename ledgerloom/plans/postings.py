@@ -197,8 +197,36 @@ def _role_variants() -> str:
     return ", ".join(rows)
 
 
+def lcs_sql(pairs: str) -> str:
+    """Tables ending in lcs(a, b, c): the length c of the longest common subsequence of each of the pairs (a, b)."""
+    return f"""lp AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''),
+        lr AS (SELECT a, b, 1 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS v FROM lp UNION ALL
+            SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda q: greatest(v[q + 1], CASE WHEN q > 0 AND a[i] = b[q] THEN v[q] + 1 ELSE 0 END)))) FROM lr WHERE i <= length(a)),
+        lcs AS (SELECT a, b, v[length(b) + 1] AS c FROM lr WHERE i = length(a) + 1)"""
+
+
+def token_sets_sql(pairs: str, more: str = "") -> str:
+    """Tables ending in ratios(x, y, ratio): the token-set ratio of the pairs (x, y); `more` adds pairs (a, b) to the table lcs."""
+    rest = "array_to_string(list_sort(list_filter({}, lambda w: NOT list_contains({}, w))), ' ')"
+    return f"""ts AS (SELECT DISTINCT x, y, list_distinct(list_filter(string_split(x, ' '), lambda w: w <> '')) AS p, list_distinct(list_filter(string_split(y, ' '), lambda w: w <> '')) AS q FROM ({pairs}) WHERE x <> '' AND y <> ''),
+        td AS (SELECT x, y, array_to_string(list_sort(list_intersect(p, q)), ' ') AS s, {rest.format('p', 'q')} AS a, {rest.format('q', 'p')} AS b FROM ts),
+        {lcs_sql('SELECT a, b FROM td' + more)},
+        tl AS (SELECT td.*, coalesce(c, 0) AS c, length(s) AS n, length(s) + CASE WHEN s <> '' AND a <> '' THEN 1 ELSE 0 END + length(a) AS na, length(s) + CASE WHEN s <> '' AND b <> '' THEN 1 ELSE 0 END + length(b) AS nb FROM td LEFT JOIN lcs USING (a, b)),
+        ratios AS (SELECT x, y, CASE WHEN s <> '' AND (a = '' OR b = '') THEN 100 ELSE greatest(round_even(200.0::DOUBLE * (c + CASE WHEN s <> '' THEN n + 1 ELSE 0 END) / (na + nb), 0),
+            CASE WHEN s <> '' THEN round_even(200.0::DOUBLE * n / (n + na), 0) ELSE 0 END, CASE WHEN s <> '' THEN round_even(200.0::DOUBLE * n / (n + nb), 0) ELSE 0 END) END AS ratio FROM tl)"""
+
+
 _TECH = "len(list_filter([" + ", ".join(f"'{w}'" for w in fixed.TECH_WORDS) + "], lambda w: contains(b, w)))"
 _BODY = SQUEEZE.format(r"regexp_replace(lower(body), '[^\p{L}\p{N}_\s]', ' ', 'g')")
+_LEVEL = f"""CASE WHEN {has_part_sql('lower(title)', fixed.LEVEL_ENTRY)} AND NOT {has_part_sql('lower(title)', fixed.LEVEL_SENIOR)} THEN 1
+            WHEN {has_part_sql(_ALL_TEXT, fixed.LEVEL_SENIOR)} OR regexp_matches({_ALL_TEXT}, '{_B}([4-9]|\\d{{2}})\\+?\\s*(years?|yrs?){_A}') THEN 2 WHEN {has_part_sql(_ALL_TEXT, fixed.LEVEL_ENTRY)} THEN 3 ELSE 4 END"""
+
+
+def _targets(targets) -> str:
+    plain = lambda s: " ".join("".join(ch if ch.isalnum() else " " for ch in s.lower()).split())
+    return ", ".join(f"({k}, '{t}', '{plain(t)}', [{', '.join(repr(plain(x)) for x in (t, *fixed.TITLE_SYNONYMS.get(t, ())))}]::VARCHAR[])" for k, t in enumerate(targets))
+
+
 QUERIES = {
     "job_hash": (job_hash, f"""WITH {POSTS}, p AS (SELECT *, {NORMAL_TEXT.format('place')} AS p, 'https://example.com/jobs/' || id AS l, {NORMAL_TITLE} AS t FROM posts)
         SELECT id, sha256({NORMAL_TEXT.format('company')} || '|' || t || '|' || ({location_sql("'url-' || left(sha1(l), 8)")}) || '|' || l) AS hash, 'url|' || l AS key, t || '|' || ({location_sql()}) AS place_key,
@@ -217,8 +245,7 @@ QUERIES = {
     "title_policy": (title_policy, f"WITH {POSTS}, p AS (SELECT *, {MATCH_TITLE} AS t FROM posts) SELECT id, {_STRICT} AS strict, {_NON_JOB} AS non_job, {_ROLE} AS role, {_VALID} AS valid, {_POSTING} AS posting FROM p"),
     "valid_postings": (valid_postings, f"""WITH {POSTS}, p AS (SELECT *, {pick_sql(("https://e.com/jobs/1", "https://e.com/blog/jobs", "https://e.com/about", "", "https://e.com/careers"), 'id')} AS link FROM posts)
         SELECT id, link FROM p WHERE {_VALID} AND {_POSTING} AND link = 'https://e.com/jobs/1'"""),
-    "level_classifier": (level_classifier, f"""WITH {POSTS}, v AS (SELECT id, CASE WHEN {has_part_sql('lower(title)', fixed.LEVEL_ENTRY)} AND NOT {has_part_sql('lower(title)', fixed.LEVEL_SENIOR)} THEN 1
-            WHEN {has_part_sql(_ALL_TEXT, fixed.LEVEL_SENIOR)} OR regexp_matches({_ALL_TEXT}, '{_B}([4-9]|\\d{{2}})\\+?\\s*(years?|yrs?){_A}') THEN 2 WHEN {has_part_sql(_ALL_TEXT, fixed.LEVEL_ENTRY)} THEN 3 ELSE 4 END AS c FROM posts)
+    "level_classifier": (level_classifier, f"""WITH {POSTS}, v AS (SELECT id, {_LEVEL} AS c FROM posts)
         SELECT id, c <> 2 AS entry_level, [55, 90, 82, 72][c] AS confidence, ['entry-level title hint detected', 'seniority keywords or high-experience requirement detected', 'entry-level keywords detected', 'no seniority signals detected'][c] AS reason FROM v"""),
     "tech_score_topk": (tech_score_topk, f"""WITH {POSTS} SELECT id, CAST(floor(45 + len(list_filter(['python', 'sql', 'aws', 'git'], lambda w: contains(lower(body), w))) / 4.0 * 50) AS INTEGER) AS score,
             round(len(list_filter(['python', 'react', 'role'], lambda w: contains(lower(body), w))) / 3.0::DOUBLE, 6)::DOUBLE AS share FROM posts ORDER BY score DESC, id LIMIT 50"""),
@@ -234,8 +261,29 @@ QUERIES = {
         m AS (SELECT id, arg_max(role, base * 1000 - i) AS role, max(base) + any_value(bonus) AS score, min(role) FILTER (exact) AS same FROM s GROUP BY id)
         SELECT posts.id, coalesce(m.same IS NOT NULL OR score >= 75, false) AS matched, CASE WHEN m.same IS NOT NULL OR score >= 75 THEN coalesce(m.same, m.role) END AS matched_role,
             (CASE WHEN m.id IS NULL THEN 0 WHEN m.same IS NOT NULL THEN 100 ELSE least(100, score) END)::DOUBLE AS match_score FROM posts LEFT JOIN m USING (id)"""),
-    "role_match_fuzzy": (role_match_fuzzy, None),
-    "qualified_postings": (qualified_postings, None),
+    "role_match_fuzzy": (role_match_fuzzy, f"""WITH RECURSIVE {POSTS}, r AS (SELECT * FROM (VALUES {_role_variants()}) AS v(i, role, n, same)),
+        g AS (SELECT id, t, title, b FROM (SELECT *, {MATCH_TITLE} AS t, {_BODY} AS b FROM posts) WHERE trim(title) <> '' AND {_ROLE} AND NOT {_SENIOR.replace('lower(body)', 'b')}),
+        {token_sets_sql('SELECT t AS x, n AS y FROM g, r')},
+        s AS (SELECT id, i, role, t = n AS exact, greatest(CASE WHEN contains(t, n) THEN 90 ELSE 0 END, CASE WHEN len(list_filter(same, lambda v: contains(t, v))) > 0 THEN 85 ELSE 0 END, CASE WHEN ratio >= 80 THEN ratio * 0.9 ELSE 0 END)::DOUBLE AS base,
+            CASE WHEN {has_word_sql('lower(title)', fixed.ENTRY_HINTS)} THEN 5 ELSE 0 END + CASE WHEN b <> '' THEN least({_TECH} * 2, 10) ELSE 0 END AS bonus FROM g, r JOIN ratios ON x = t AND y = n),
+        m AS (SELECT id, arg_max(role, base * 1000 - i) AS role, max(base) + any_value(bonus) AS score, min(role) FILTER (exact) AS same FROM s GROUP BY id)
+        SELECT id, coalesce(m.same, m.role) AS matched_role, round_even((CASE WHEN m.same IS NOT NULL THEN 100 ELSE least(100, score) END)::DOUBLE, 1) AS match_score FROM m WHERE m.same IS NOT NULL OR score >= 75"""),
+    "qualified_postings": (qualified_postings, f"""WITH RECURSIVE {POSTS}, t AS (SELECT * FROM (VALUES {_targets(fixed.ROLES[:4])}) AS v(k, target, n, same)), w AS (SELECT * FROM (VALUES (0, 'graduate'), (1, 'junior')) AS v(k, word)),
+        p AS (SELECT *, {MATCH_TITLE} AS x, lower(title) || ' ' || lower(body) AS bt, {first_word_sql('lower(title)', fixed.TITLE_EXCLUDES)} AS e, {_DESC} AS d, {first_word_sql('lower(title)', fixed.TITLE_HINTS)} AS hint,
+            {first_word_sql('lower(title)', ('graduate', 'junior'))} AS one, {first_word_sql('lower(body)', ('graduate', 'junior'))} AS two,
+            array_to_string(list_filter(list_transform(regexp_split_to_array(lower(body), '[.!?\\n]+'), lambda y: trim(y)), lambda y: y <> '' AND {has_part_sql('y', fixed.CONTEXT_TERMS)}), chr(10)) AS said,
+            {_LEVEL} AS c FROM posts),
+        sw AS (SELECT DISTINCT said, k, word, CASE WHEN length(word) <= length(said) THEN word ELSE said END AS a, CASE WHEN length(word) <= length(said) THEN said ELSE word END AS l FROM p, w WHERE said <> ''),
+        sb AS (SELECT *, substring(l, i, length(a)) AS b FROM (SELECT *, unnest(range(1, length(l) - length(a) + 2)) AS i FROM sw)),
+        {token_sets_sql('SELECT x, n AS y FROM p, t UNION ALL SELECT word, bt FROM p, w', ' UNION ALL SELECT a, b FROM sb')},
+        near AS (SELECT said, arg_min(word, k) AS word FROM sb LEFT JOIN lcs USING (a, b) WHERE contains(l, a) OR round_even(100.0::DOUBLE * coalesce(c, 0) / length(a), 0) >= 85 GROUP BY said),
+        alike AS (SELECT y AS bt, arg_min(word, k) AS word FROM ratios JOIN w ON x = word WHERE ratio >= 70 GROUP BY y),
+        m AS (SELECT p.id, arg_min(target, t.k) AS target FROM p, t LEFT JOIN ratios r ON r.x = p.x AND r.y = t.n WHERE list_contains(same, p.x) OR ratio >= 80 GROUP BY p.id),
+        j AS (SELECT p.*, target, CASE WHEN e IS NOT NULL THEN 'title contains ''' || e || '''' WHEN d IS NOT NULL THEN 'description contains ''' || d || '''' END AS barred, coalesce(one, two, hint, near.word, alike.word) AS found,
+            CAST(floor(45 + len(list_filter(['python', 'sql'], lambda y: contains(lower(body), y))) / 2.0 * 50) AS INTEGER) AS s FROM p LEFT JOIN m USING (id) LEFT JOIN near USING (said) LEFT JOIN alike USING (bt))
+        SELECT CAST(id AS VARCHAR) AS job_id, target AS matched_as, CASE WHEN target IS NOT NULL AND barred IS NULL THEN found END AS filter_keyword, hint IS NOT NULL OR c <> 2 AS ai_entry_level, CASE WHEN hint IS NOT NULL THEN 95 ELSE [55, 90, 82, 72][c] END AS ai_confidence,
+            s AS ai_score, CAST(round_even(50 * 0.4::DOUBLE + s * 0.6::DOUBLE, 0) AS INTEGER) AS score,
+            CASE WHEN target IS NULL THEN 'no target title' WHEN barred IS NOT NULL THEN barred WHEN found IS NULL THEN 'no inclusion keyword' WHEN hint IS NULL AND c = 2 THEN 'not entry level' WHEN hint IS NULL AND c = 1 THEN 'low confidence' END AS reject_reason FROM j"""),
     "semantic_gate": (semantic_gate, """
         WITH r AS (SELECT arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
         s AS (SELECT vec_id AS id, round(max(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[])), 4) AS best FROM embeddings, r GROUP BY vec_id) SELECT id, best, best >= 0.65 AS passes FROM s"""),
