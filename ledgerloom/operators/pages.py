@@ -45,40 +45,46 @@ def _numbered(rows: DataFrame, url: str, key: Column, most: int) -> DataFrame:
     return kept.withColumn("n", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).where(F.col("n") <= most).select(url, "n", "row.*")
 
 
-def _valid_postings(found: DataFrame, url: str) -> DataFrame:
-    """url, pos and the fields of the valid postings in the markup."""
-    rows = found.where(~M.non_job_page(F.col(url), F.col("head"))).select(url, F.posexplode("postings").alias("pos", "p"))
+def _bound(value: Column, rule) -> Column:
+    """rule(value), with the value computed once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
+def _named(part: Column, page: Column) -> Column:
+    """title, and link, the first of a container's links that leads to a posting, without tracking parameters (null without), and the container itself."""
+    links = F.transform(F.filter(part["links"], lambda x: x != ""), lambda x: U.resolved(page, x))
+    link = _bound(F.get(F.filter(links, M.posting_link), F.lit(0)), lambda x: F.when(x.isNotNull(), U.stripped(x)))
+    return F.struct(F.coalesce(_first(part["titles"]), F.lit("")).alias("title"), link.alias("link"), part.alias("p"))
+
+
+def postings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
+    """url, n, title, company, location, type, link and posted_date of the valid postings of each page, the first of each title and link."""
+    found = H.facts(pages, "head", "postings", html=html, keep=(url,))
+    rows = found.where(~M.non_job_page(F.col(url), F.col("head"))).select(url, F.posexplode(F.transform("postings", lambda p: _named(p, F.col(url)))).alias("pos", "x")).select(url, "pos", "x.*")
     page, text = F.col(url), F.col("p.text")
-    link = F.get(F.filter(F.transform(F.filter("p.links", lambda x: x != ""), lambda x: U.resolved(page, x)), M.posting_link), F.lit(0))
     dated = F.transform("p.dates", lambda d: F.coalesce(F.nullif(F.substring(T.squeezed(d["given"]), 1, 10), F.lit("")), F.nullif(T.posted_date(d["text"]), F.lit(""))))
     typed = F.coalesce(*[F.when(text.rlike(rf"(?i)\b{p}\b"), F.lit(label)) for label, p in fixed.TYPE_PATTERNS])
-    rows = rows.select(
+    rows = rows.where(F.col("link").isNotNull() & M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page)).select(
         url,
         "pos",
-        F.coalesce(_first(F.col("p.titles")), F.lit("")).alias("title"),
+        "title",
         F.coalesce(_first(F.col("p.companies")), U.company_from_host(page)).alias("company"),
         F.coalesce(_first(F.col("p.places")), F.nullif(T.squeezed(F.regexp_extract(text, fixed.LOCATION_PATTERN, 0)), F.lit("")), F.lit("Not specified")).alias("location"),
         F.coalesce(_first(F.col("p.types")), typed, F.lit("Not specified")).alias("type"),
-        U.stripped(link).alias("link"),
+        "link",
         F.coalesce(F.get(F.filter(dated, lambda x: x.isNotNull()), F.lit(0)), T.posted_date(text)).alias("posted_date"),
     )
-    return rows.where(F.col("link").isNotNull() & M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page))
-
-
-def postings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
-    """url, n, title, company, location, type, link and posted_date of the valid postings of each page, the first of each title and link."""
-    rows = _valid_postings(H.facts(pages, "head", "postings", html=html, keep=(url,)), url)
     return _numbered(rows, url, F.concat_ws("|", F.lower("title"), "link"), most)
 
 
 def openings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
     """url, title and link of every page's postings: those of the markup first, then JSON-LD's, the first of each, `most` a page."""
-    found = H.facts(pages, "head", "postings", "ld", html=html, keep=(url,))
-    marked = _valid_postings(found, url).select(url, F.col("pos").cast("long").alias("pos"), "title", "link")
-    page = F.col(url)
-    rows = found.select(url, F.posexplode("ld").alias("pos", "x")).select(url, ((1 << 31) + F.col("pos")).alias("pos"), T.squeezed(F.col("x.title")).alias("title"), F.when(F.col("x.link") != "", U.resolved(page, F.col("x.link"))).otherwise("").alias("link"))
-    rows = rows.where(M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page))
-    return _numbered(marked.unionByName(rows), url, F.concat_ws("|", F.lower("title"), F.lower("link")), most).drop("n")
+    found, page = H.facts(pages, "head", "postings", "ld", html=html, keep=(url,)), F.col(url)
+    marked = F.when(~M.non_job_page(page, F.col("head")), F.transform(F.transform("postings", lambda p: _named(p, page)), lambda x: F.struct(x["title"], x["link"])))
+    stated = F.transform("ld", lambda x: F.struct(T.squeezed(x["title"]).alias("title"), F.when(x["link"] != "", U.resolved(page, x["link"])).alias("link")))
+    rows = found.select(url, F.posexplode(F.concat(F.coalesce(marked, F.slice(stated, 1, 0)), stated)).alias("pos", "x")).select(url, "pos", "x.*")
+    rows = rows.where(F.col("link").isNotNull() & M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page))
+    return _numbered(rows, url, F.concat_ws("|", F.lower("title"), F.lower("link")), most).drop("n")
 
 
 _ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
