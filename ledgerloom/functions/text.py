@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
@@ -19,6 +19,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(value), with the value computed once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def squeezed(c: Column) -> Column:
     """Without white space at the ends, and with one space for each run of it."""
     return F.regexp_replace(F.regexp_replace(text(c), _SPACE, " "), "^ | $", "")

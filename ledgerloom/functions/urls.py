@@ -74,16 +74,25 @@ def query_value(c: Column, name: str) -> Column:
     return F.try_url_decode(F.nullif(raw, F.lit("")))
 
 
-def unwrapped(c: Column) -> Column:
-    """The target of a search engine's redirect link, without a fragment; empty if it is no web URL."""
-    raw = F.trim(T.text(c))
-    raw = F.when(F.contains(raw, F.lit("duckduckgo.com/l/?")), F.coalesce(query_value(raw, "uddg"), raw)).otherwise(raw)
+def _bing_target(raw: Column) -> Column:
+    """The address coded in a redirect of Bing; empty if it has none that can be read."""
     coded = F.regexp_replace(F.coalesce(query_value(raw, "u"), F.lit("")), "^a1", "")
-    padded = F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
-    plain = F.trim(F.coalesce(F.try_to_binary(F.translate(padded, "-_", "+/"), F.lit("base64")).cast("string"), F.lit("")))
-    raw = F.when(host(raw).endswith("bing.com") & _part(raw, 3).startswith("/ck/a") & (plain != ""), plain).otherwise(raw)
-    raw = F.when(host(raw).endswith("google.com") & _part(raw, 3).startswith("/url"), F.coalesce(query_value(raw, "q"), raw)).otherwise(raw)
-    return F.when(is_web(raw), F.regexp_replace(raw, "#.*$", "")).otherwise(F.lit(""))
+    padded = T.bound(coded, lambda x: F.rpad(x, (F.ceil(F.length(x) / 4) * 4).cast("int"), F.lit("=")))
+    return F.trim(F.coalesce(F.try_to_binary(F.translate(padded, "-_", "+/"), F.lit("base64")).cast("string"), F.lit("")))
+
+
+def unwrapped(c: Column) -> Column:
+    """The target of a search engine's redirect link, without a fragment; empty if it is no web URL.
+
+    Each step names its address several times, so it is bound: written out, three steps would be more than the JVM compiles.
+    """
+    duck = lambda x: F.when(F.contains(x, F.lit("duckduckgo.com/l/?")), F.coalesce(query_value(x, "uddg"), x)).otherwise(x)
+    bing = lambda x: F.when(host(x).endswith("bing.com") & _part(x, 3).startswith("/ck/a"), F.coalesce(F.nullif(_bing_target(x), F.lit("")), x)).otherwise(x)
+    google = lambda x: F.when(host(x).endswith("google.com") & _part(x, 3).startswith("/url"), F.coalesce(query_value(x, "q"), x)).otherwise(x)
+    target = F.trim(T.text(c))
+    for step in (duck, bing, google):
+        target = T.bound(target, step)
+    return T.bound(target, lambda x: F.when(is_web(x), F.regexp_replace(x, "#.*$", "")).otherwise(F.lit("")))
 
 
 def normal_location(c: Column, url: Column | None = None) -> Column:

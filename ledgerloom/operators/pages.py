@@ -45,15 +45,10 @@ def _numbered(rows: DataFrame, url: str, key: Column, most: int) -> DataFrame:
     return kept.withColumn("n", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).where(F.col("n") <= most).select(url, "n", "row.*")
 
 
-def _bound(value: Column, rule) -> Column:
-    """rule(value), with the value computed once however often the rule names it."""
-    return F.get(F.transform(F.array(value), rule), F.lit(0))
-
-
 def _named(part: Column, page: Column) -> Column:
     """title, and link, the first of a container's links that leads to a posting, without tracking parameters (null without), and the container itself."""
     links = F.transform(F.filter(part["links"], lambda x: x != ""), lambda x: U.resolved(page, x))
-    link = _bound(F.get(F.filter(links, M.posting_link), F.lit(0)), lambda x: F.when(x.isNotNull(), U.stripped(x)))
+    link = T.bound(F.get(F.filter(links, M.posting_link), F.lit(0)), lambda x: F.when(x.isNotNull(), U.stripped(x)))
     return F.struct(F.coalesce(_first(part["titles"]), F.lit("")).alias("title"), link.alias("link"), part.alias("p"))
 
 
