@@ -178,3 +178,5 @@ OPENING_IGNORED = (
     "privacy", "cookie", "terms", "sign in", "log in", "login", "about us", "contact us", "home", "learn more", "view all", "read more", "subscribe",
     "press", "investor", "culture", "benefits", "team",
 )
+PROBE_PATHS = ("/jobs", "/api/jobs", "/graphql", "/workday/jobs", "/lever/jobs", "/greenhouse/jobs", "/breezy/jobs", "/workable/jobs")
+CHAT_COMMANDS = ("/status", "/pause", "/resume")

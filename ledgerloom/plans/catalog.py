@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import ledger, markup, pages, postings, runs
+from ledgerloom.plans import landed, ledger, markup, pages, postings, runs
 
-_ALL = pages.QUERIES | markup.QUERIES | postings.QUERIES | runs.QUERIES | ledger.QUERIES
+_ALL = pages.QUERIES | markup.QUERIES | postings.QUERIES | runs.QUERIES | ledger.QUERIES | landed.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

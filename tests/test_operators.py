@@ -202,3 +202,26 @@ def test_first_success_and_unvisited(spark):
     tries = spark.createDataFrame([("u", 1, True, "x", ""), ("u", 0, False, "y", "e0"), ("u", 2, False, "z", "e2"), ("v", 0, False, "y", "e")], "url string, priority int, ok boolean, method string, error string")
     got = {r.url: (r.method, r.errors) for r in pages.first_success(tries).collect()}
     assert got == {"u": ("x", ["e0"]), "v": (None, ["e"])}
+
+
+def test_landed_answers_with_nulls_and_without_rows(spark):
+    from hashlib import sha256
+
+    from ledgerloom.sources import landed
+
+    sha = lambda x: sha256(x.encode()).hexdigest()
+    kinds = "url string, attempt int, status int, body string"
+    rows = [("a", 0, None, None), ("a", 1, 200, None), ("a", 2, 200, "later"), ("b", 0, 403, "x"), ("c", 0, 304, None), ("d", 1, 200, "new"), ("d", 0, 200, "old")]
+    cache = spark.createDataFrame([("a", sha("")), ("a", None), ("d", sha("new"))], "url string, body_hash string")
+    got = sorted(map(tuple, landed.fetch_outcomes(spark.createDataFrame(rows, kinds), cache).collect()))
+    assert got == [("a", 1, "cached_hash", sha("")), ("b", None, "failed", None), ("c", 0, "cached_304", None), ("d", 0, "fetched", sha("old"))]
+    assert landed.fetch_outcomes(spark.createDataFrame([], kinds), cache).count() == 0
+    pages = spark.createDataFrame([("HTTPS://A.com:8/x?y#z",), ("nohost",), (None,)], "url string")
+    ends = landed.probe_endpoints(pages)
+    assert [r.endpoint for r in ends.orderBy("n").limit(2).collect()] == ["https://A.com:8/jobs", "https://A.com:8/api/jobs"] and ends.count() == 8
+    answers = [("a", 0, "/jobs", "e", 200, "application/json", None), ("a", 1, "/api/jobs", "e", 200, None, '[{"title": "t"}]'), ("a", 2, "/graphql", "e", 404, "x/json", '[{"title": "u"}]'), ("b", 0, "/jobs", "e", None, None, None)]
+    hits = landed.probe_hits(spark.createDataFrame(answers, "url string, n int, path string, endpoint string, status int, content_type string, body string")).collect()
+    assert [(r.url, r.path, r.openings[0].title, r.openings[0].apply_link) for r in hits] == [("a", "/api/jobs", "t", "e")]
+    updates = spark.createDataFrame([(3, " /PAUSE "), (2, None), (1, "/resume"), (4, "/stop")], "update_id int, text string")
+    assert [tuple(r) for r in landed.poll(updates, 1).collect()] == [(2, None), (3, "/pause"), (4, None)]
+    assert landed.next_row(updates.where("false")).first()[0] == 2
