@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin readings of the operators over whole tables."""
+"""The queries op1 to op13: thin readings of the operators over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import _labelled, decontaminate, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import (
+    _labelled, decontaminate, divergence_audit, importance, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, substring_dedup, toxicity, url_templates,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(_table(spark, sf_dir, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -82,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_license_scan": op10_license_scan,
+        "op11_url_filters": op11_url_filters,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_divergence_audit": op13_divergence_audit,
     }
 
 
@@ -95,4 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_license_scan": license_scan.ORACLE,
+        "op11_url_filters": url_templates.ORACLE,
+        "op12_importance_resampling": importance.ORACLE,
+        "op13_divergence_audit": divergence_audit.ORACLE,
     }
