@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.functions.columns import whole_row
+
 
 def diff(current: DataFrame, previous: DataFrame, *, key: str = "hash", moved: str = "place", pos: str = "pos") -> DataFrame:
     """current with status: ACTIVE for keys of the previous snapshot, UPDATED for the first row that took a
@@ -28,7 +30,7 @@ def diff(current: DataFrame, previous: DataFrame, *, key: str = "hash", moved: s
 def diff_pages(current: DataFrame, previous: DataFrame, *, key: str = "key", content: str = "hash", moved: str = "place", pos: str = "pos") -> DataFrame:
     """The first current row of each key, UPDATED if its content changed or it took a previous row's place, else NEW;
     rows that didn't change are left out."""
-    rows = current.groupBy(F.col(key)).agg(F.min_by(F.struct(*[F.col(c) for c in current.columns]), pos).alias("_row")).select("_row.*")
+    rows = current.groupBy(F.col(key)).agg(F.min_by(whole_row(current), pos).alias("_row")).select("_row.*")
     old = previous.select(F.col(key).alias("_key"), F.col(content).alias("_content"))
     joined = rows.join(old, F.col(key) == F.col("_key"), "left")
     changed = joined.where(F.col("_key").isNotNull() & ~F.col(content).eqNullSafe(F.col("_content"))).select(*current.columns, F.lit("UPDATED").alias("status"))
@@ -53,7 +55,7 @@ def page_status(pages: DataFrame, known: DataFrame, *, url: str = "url", digest:
 def merge_snapshots(left: DataFrame, right: DataFrame, key: list[str], *, url: str | None = None) -> DataFrame:
     """Rows of both by key, right's where both have one; a url column keeps left's value unless it is empty."""
     both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
-    row = F.max_by(F.struct(*[F.col(c) for c in left.columns]), "_side").alias("_row")
+    row = F.max_by(whole_row(left), "_side").alias("_row")
     if not url:
         return both.groupBy(*key).agg(row).select("_row.*")
     first = F.min_by(url, F.when(F.coalesce(F.col(url), F.lit("")) != "", F.col("_side"))).alias("_url")

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.functions.columns import whole_row
+
 Keys = Sequence[str | Column]
 
 
@@ -17,7 +19,7 @@ def first_wins(df: DataFrame, keys: Keys, order: Keys, *, keep_blank: bool = Fal
 
     The row travels as one struct under min_by, so equal keys are combined before the shuffle.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
+    row = whole_row(df)
     at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     named = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
     held = df.select(row.alias("_row"), at.alias("_at"), *named)
@@ -29,7 +31,7 @@ def first_wins(df: DataFrame, keys: Keys, order: Keys, *, keep_blank: bool = Fal
 
 def last_wins(df: DataFrame, keys: Keys, order: Keys) -> DataFrame:
     """The last row of each key in the order."""
-    row, at = F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    row, at = whole_row(df), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     return df.groupBy(*keys).agg(F.max_by(row, at).alias("_row")).select("_row.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import fixed, html as H, text as T, urls as U
+from ledgerloom.functions.columns import whole_row
 from ledgerloom.operators import matching as M
 from ledgerloom.store import stash
 
@@ -40,7 +41,7 @@ def _first(values: Column) -> Column:
 
 def _numbered(rows: DataFrame, url: str, key: Column, most: int) -> DataFrame:
     """The first row of each key of a page, in order of pos, `most` a page, as columns n and row."""
-    row = F.struct(*[F.col(c) for c in rows.columns if c not in (url, "pos")])
+    row = whole_row(rows, (url, "pos"))
     kept = rows.groupBy(url, key.alias("_k")).agg(F.min("pos").alias("pos"), F.min_by(row, "pos").alias("row"))
     return kept.withColumn("n", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).where(F.col("n") <= most).select(url, "n", "row.*")
 
@@ -159,7 +160,7 @@ def crawl_sites(seeds: DataFrame, edges: DataFrame, *, max_pages: int = 8) -> Da
 
 def first_success(results: DataFrame, *, key: str = "url", priority: str = "priority", ok: str = "ok") -> DataFrame:
     """Per key the first successful result in order of priority, with the errors of the strategies before it; else all errors."""
-    row = F.struct(*[F.col(c) for c in results.columns if c != key])
+    row = whole_row(results, (key,))
     best = results.groupBy(key).agg(F.min_by(row, F.when(F.col(ok), F.col(priority))).alias("best"), F.array_sort(F.collect_list(F.when(~F.col(ok), F.struct(priority, "error")))).alias("failed"))
     before = F.filter("failed", lambda x: F.col("best").isNull() | (x[priority] < F.col("best")[priority]))
     return best.select(key, *[F.col("best")[c].alias(c) for c in results.columns if c != key], F.transform(before, lambda x: x["error"]).alias("errors"))
@@ -170,4 +171,4 @@ def unvisited(candidates: DataFrame, visited: DataFrame, *, url: str = "url", po
     key = lambda c: F.coalesce(F.nullif(U.domain(c), F.lit("")), U.canonical(c))
     rows = candidates.withColumn("_key", key(F.col(url))).where("_key <> ''")
     fresh = rows.join(visited.select(key(F.col(url)).alias("_key")).distinct(), "_key", "left_anti")
-    return fresh.groupBy("_key").agg(F.min_by(F.struct(*[F.col(c) for c in candidates.columns]), pos).alias("_row")).select("_row.*")
+    return fresh.groupBy("_key").agg(F.min_by(whole_row(candidates), pos).alias("_row")).select("_row.*")
