@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerloom.llm import _text as X
+from ledgerloom.functions.columns import by_place, whole_row
 from ledgerloom.store import stash
 
 WINDOW = 13
@@ -220,7 +221,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 
 def _beside(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
     """row (the document), n_words, spans and item_ids."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(F.col(text_col)))
+    row = docs.select(whole_row(docs).alias("row"), *_keys(F.col(text_col)))
     both = row.alias("r").join(hits.alias("h"), (F.col("r.t1") == F.col("h.t1")) & (F.col("r.t2") == F.col("h.t2")), "left")
     plain = F.translate(F.col("row")[text_col], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n_words = F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
@@ -268,7 +269,8 @@ def decontaminate(
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     block, hits = _search(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes)
-    names, at = docs.columns, docs.columns.index(text_col)
+    at, places = docs.columns.index(text_col), by_place(docs)
+    names = places.columns
 
     def cut(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         columns = [*batch.columns[: len(names)]]
@@ -288,11 +290,12 @@ def decontaminate(
             yield cut(batch, [[(x["start"], x["end"]) for x in row] for row in batch.column(len(names)).to_pylist()])
 
     if block is not None:
-        return docs.mapInArrow(clean, docs.schema)
+        return places.mapInArrow(clean, places.schema).toDF(*docs.columns)
     both = _beside(docs, text_col, hits)
     if remove == "documents":
         return both.where((F.size("spans") == 0) | (share * _n_hit("spans") < F.col("n_words"))).select("row.*")
-    return both.select(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("spans").alias("s")).mapInArrow(cut_found, docs.schema)
+    found = both.select(*[F.col("row")[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("spans").alias("s"))
+    return found.mapInArrow(cut_found, places.schema).toDF(*docs.columns)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.columns import named
 from ledgerloom.llm import _text as T
 from ledgerloom.store import discard, stash
 
@@ -77,7 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, term, c (occurrences) and d (documents with the term)."""
-    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
+    text = [F.coalesce(named(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
     counted = docs.select(*text).mapInArrow(_counted, "lang string, source string, term string, c bigint, d bigint")
     return counted.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
@@ -122,12 +123,12 @@ def audit(
     kept = counts.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("c").alias("lang_c")).where(F.col("d") >= min_docs)
     kept = stash(kept.select("lang", "term", "lang_c", F.monotonically_increasing_id().alias("t")), "kept")
     of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_c").alias("lang_n"))
-    named = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))]).distinct()
-    named = stash(named.select("lang", "source", F.monotonically_increasing_id().alias("g")), "names")
-    few = F.broadcast if named.count() <= BROADCAST_GROUPS else lambda x: x
-    cells = stash(counts.select("lang", "source", "term", "c").join(kept.select("lang", "term", "t"), ["lang", "term"]).join(few(named), ["lang", "source"]).select("g", "t", "c"), "cells")
+    sources = docs.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))]).distinct()
+    sources = stash(sources.select("lang", "source", F.monotonically_increasing_id().alias("g")), "names")
+    few = F.broadcast if sources.count() <= BROADCAST_GROUPS else lambda x: x
+    cells = stash(counts.select("lang", "source", "term", "c").join(kept.select("lang", "term", "t"), ["lang", "term"]).join(few(sources), ["lang", "source"]).select("g", "t", "c"), "cells")
     discard(counts)
-    groups = named.join(few(cells.groupBy("g").agg(F.sum("c").alias("n"))), "g", "left").join(few(of_lang), "lang", "left")
+    groups = sources.join(few(cells.groupBy("g").agg(F.sum("c").alias("n"))), "g", "left").join(few(of_lang), "lang", "left")
     groups = stash(groups.select("g", "lang", "source", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n", "v", "lang_n")]), "groups")
 
     a, b = (few(groups.select(F.col("g").alias(k), F.col("n").alias(f"n{k}"), *["v"] * (k == "a"))) for k in "ab")

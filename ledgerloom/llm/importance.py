@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.columns import named
 from ledgerloom.llm import _text as T
 from ledgerloom.store import discard, stash
 
@@ -101,8 +102,8 @@ def csr_blocks(docs: DataFrame, *, buckets: int = BUCKETS, id_col: str = "doc_id
                     pa.array([starts], _BLOCK.field("starts").type), pa.array([(cell % buckets).astype(kind).tobytes()], pa.binary()), pa.array([times.astype("<u4").tobytes()], pa.binary()),
                 ], schema=_BLOCK)
 
-    text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(built, BLOCK)
+    text = named(text_col).cast("string")
+    return docs.select(named(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(built, BLOCK)
 
 
 def _cells(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[pa.Scalar, pa.Scalar, np.ndarray, np.ndarray, np.ndarray]]:
@@ -161,7 +162,7 @@ def resample(
     Of the documents with min_words words or more, that percentage (floored) of highest scores is drawn, ties to smaller ids.
     """
     blocks = stash(csr_blocks(docs, buckets=buckets, id_col=id_col, text_col=text_col), "csr")
-    goal = csr_blocks(target.select(F.lit(None).cast("bigint").alias("id"), F.col(f"`{target_text_col}`").alias("text")), buckets=buckets, id_col="id")
+    goal = csr_blocks(target.select(F.lit(None).cast("bigint").alias("id"), named(target_text_col).alias("text")), buckets=buckets, id_col="id")
     source_sums, target_sums = ({r.bucket: r.n for r in column_sums(b, buckets).collect()} for b in (blocks, goal))
     weighed = weights(blocks, bucket_gains(source_sums, target_sums, buckets))
     enough = (F.col("n_features") + 1) / 2 >= min_words  # n words have 2 n - 1 features

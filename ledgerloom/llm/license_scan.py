@@ -17,7 +17,7 @@ consecutively in a text, across lines too.
 Defined cases: a null or empty text has no words, no blocks and no labels; rows
 are judged one by one, so repeated or null ids are harmless; a template without
 words matches nothing; long texts are read whole; without documents every word counts 0.
-Columns other than the id and the text are not looked at.
+Ids are whole numbers. Columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations

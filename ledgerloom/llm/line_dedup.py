@@ -14,7 +14,7 @@ Defined cases: a null text stays null; a text of fewer than three lines has no
 window; windows without a word are ignored; a row with a null doc_id comes
 after all others; rows that share a doc_id are ordered by a hash of their text,
 and rows equal in both are one document, alike in what they lose; long texts
-are handled whole. Other columns pass through, whatever their names.
+are handled whole. Ids are whole numbers. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.columns import whole_row
+
 LINES = 3
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -72,7 +74,7 @@ def deduplicate_lines(
     """
     gone = covered_lines(docs, lines=lines, id_col=id_col, text_col=text_col)
     gone = gone.select(F.col("doc.id").alias("id"), F.col("doc.t").alias("t"), "gone")
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"))
+    row = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"))
     both = row.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.t") == F.col("g.t")), "left").select("row", "gone")
     both = both.withColumn("l", F.when(F.col("gone").isNotNull(), _lines(F.col("row")[text_col])))
     left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.functions.columns import whole_row
 from ledgerloom.store import stash
 
 WEIGHTS = (5, 2, 1)
@@ -123,7 +124,7 @@ def mix(
     plan = _cuts(rows, weights, cap, buckets)
     few = plan.count() <= BROADCAST_SOURCES
     # with texts, sizes and keys are computed again where the text is: that is cheaper than to shuffle it
-    rows = placed(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else rows
+    rows = placed(whole_row(docs).alias("row")) if carry else rows
     both = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
     below = F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & F.coalesce(F.col("at") <= F.col("cut_at"), F.lit(False)))
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("rest").isNotNull() & below, 1).otherwise(0))

@@ -11,7 +11,7 @@ Defined cases: a null text is scored as the empty text; rows are scored one by
 one, so repeated or null ids are harmless (a null id is not held out); labels
 other than 0 and 1, or null, are not used; if a class has fewer than two
 labelled rows, the share of label 1 (0.5 without labels) is every text's score.
-Texts are read whole.
+Texts are read whole. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.columns import by_place
 from ledgerloom.llm import _labelled, _text as X
 
 #: Shares of the pooled covariance and of the scaled identity in a class's covariance.
@@ -221,4 +222,5 @@ def keep(docs: DataFrame, model: Discriminant, *, threshold: float = THRESHOLD,
         for b in batches:
             yield b.filter(pa.array(held.value.score(statistics(b.column(at))) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    places = by_place(docs)
+    return places.mapInArrow(run, places.schema).toDF(*docs.columns)

@@ -14,13 +14,14 @@ Defined cases: a null text has no words and no lines, so it fails; an empty
 text likewise; the null host is a host; a null doc_id is a document like any
 other; rows equal in doc_id, host and text are one document and alike in every result; lines
 without a word are no lines; long texts are handled whole, in time n log n.
-Other columns pass through `clean` and are not looked at.
+Ids are whole numbers. Other columns pass through `clean` and are not looked at.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.columns import whole_row
 from ledgerloom.store import stash
 
 #: A line in more documents of a host than this, and in more than so many of a hundred of them, goes.
@@ -131,7 +132,7 @@ def clean(
 ) -> DataFrame:
     """The documents that pass, without their frequent lines; all columns stay."""
     gone = _gone(docs, max_docs, percent, broadcast_lines, id_col=id_col, text_col=text_col, host_col=host_col)
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_keys(docs, id_col, text_col, host_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = docs.select(whole_row(docs).alias("row"), *_keys(docs, id_col, text_col, host_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     both = _measures(row).alias("a").join(gone.alias("b"), _same("a", "b"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passed = both.where(~failed & (_left_words() >= min_left * F.col("n_words"))).withColumn("l", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))

@@ -213,8 +213,7 @@ def deduplicate(
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
 m AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
 r AS (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM p JOIN m USING (g) WHERE doc_id > least),

@@ -9,9 +9,13 @@ logistic fit is penalised for the square of the change of the score: the mere
 mention of a group then weighs the same whichever group it is, and a score
 moves only with words that aren't identity terms.
 
+Where the sample has none of the given terms in MIN_TEXTS texts, as in a corpus of another language, the groups are taken from the
+data: of the features that a tenth of its texts or more have, those that tell the labels apart least. They are swapped
+for one another likewise, so that no neutral and common word is held against a text more than the next. `model.groups` says which were used.
+
 Defined cases: a null text is scored as the empty text; rows are scored one by
 one, so repeated or null ids are harmless (a null id is not held out); labels
-other than 0 and 1, or null, are not used; without labels of both classes every
+other than 0 and 1, or null, are not used; ids are whole numbers; without labels of both classes every
 score is the share of label 1 (0 without labels). Texts are read whole.
 """
 
@@ -33,6 +37,8 @@ MAX_WORDS, MIN_TEXTS = 512, 5
 STEMS = (4, 6)
 L2, FAIR = 0.3, 10.0
 THRESHOLD = 0.7
+#: Features that stand in for identity terms where the sample has none, and the least share of its texts that have each.
+NEUTRAL, NEUTRAL_SHARE = 16, 0.1
 LEARN_FOLDS, HELD_FOLD = 3, 1
 
 #: Kinds of identity terms; a term is swapped for the others of its kind.
@@ -93,6 +99,8 @@ class Linear:
     words: np.ndarray
     weights: np.ndarray
     offset: float
+    #: "terms" if identity terms were swapped in the fit, "neutral" if features from the data were, else "none".
+    groups: str = "none"
 
     def score(self, column: pa.Array) -> np.ndarray:
         total = np.full(len(column), self.offset)
@@ -140,9 +148,12 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, kinds: list[Kind], l2: float = L2,
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, label: str = "toxic", max_rows: int = _labelled.MAX_ROWS, max_words: int = MAX_WORDS,
-    min_texts: int = MIN_TEXTS, l2: float = L2, fair: float = FAIR, identities: tuple[tuple[str, ...], ...] = IDENTITIES, id_col: str = "doc_id", text_col: str = "text",
+    min_texts: int = MIN_TEXTS, l2: float = L2, fair: float = FAIR, identities: tuple[tuple[str, ...], ...] = IDENTITIES, neutral: int = NEUTRAL, id_col: str = "doc_id", text_col: str = "text",
 ) -> Linear:
-    """Learns from at most max_rows labels that meet `learn`; by default those outside of the held-out fold."""
+    """Learns from at most max_rows labels that meet `learn`; by default those outside of the held-out fold.
+
+    neutral=0 leaves out the groups from the data.
+    """
     learn = _labelled.fold(F.col("doc_id"), LEARN_FOLDS) != HELD_FOLD if learn is None else learn
     rows = stash(_labelled.sample(docs, labels, label, learn, max_rows=max_rows, id_col=id_col, text_col=text_col), "sample")
 
@@ -159,11 +170,18 @@ def fit(
     if not 0 < ones < n:
         discard(rows)
         return Linear(np.zeros(0, np.uint64), np.zeros(0), float(np.log(1e9) if n and ones == n else -np.log(1e9)))
-    counts = rows.select("text", "y").mapInArrow(spell, "h bigint, ones bigint, n bigint").groupBy("h").agg(F.sum("ones").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= min_texts)
+    counts = stash(rows.select("text", "y").mapInArrow(spell, "h bigint, ones bigint, n bigint").groupBy("h").agg(F.sum("ones").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= min_texts), "features")
     base = ones / n
     apart = F.abs(F.col("a") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
     told = [r.h for r in counts.orderBy(apart.desc(), "h").limit(max_words).select("h").collect()]
     made = [[_made(term) for term in kind] for kind in identities]
+    own = [int(X.signed(m[:1])[0]) for kind in made for m in kind]
+    groups = "terms" if own and not counts.where(F.col("h").isin(own)).isEmpty() else "none"
+    if groups == "none" and neutral > 1:
+        plain = [r.h for r in counts.where(F.col("n") >= NEUTRAL_SHARE * n).orderBy(apart, "h").limit(neutral).select("h").collect()]
+        if len(plain) > 1:
+            groups, made = "neutral", [[X.unsigned(np.array([h], np.int64)) for h in plain]]
+    discard(counts)
     words = np.unique(np.concatenate([X.unsigned(np.array(told, np.int64)), *(m for kind in made for m in kind)]))
     kinds = [Kind(np.searchsorted(words, [m[0] for m in kind]), np.array([np.isin(words, m) for m in kind], float)) for kind in made]
 
@@ -182,7 +200,7 @@ def fit(
     for i, r in enumerate(got):
         x[i, r.w] = r.v
     weights, offset = fit_matrix(x.astype(float), np.array([r.y for r in got], float), kinds, l2, fair)
-    return Linear(words, weights, offset)
+    return Linear(words, weights, offset, groups)
 
 
 def score(docs: DataFrame, model: Linear, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.columns import named
 from ledgerloom.store import stash
 
 #: (verdict, host and start of the path)
@@ -142,8 +143,8 @@ def templates(seen: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (or null) and verdict of each row."""
-    host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
-    parsed = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(named(url_col).cast("string"))
+    parsed = pages.select(named(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "said": said}).withColumn("steps", steps(F.col("path"), depth))
     seen = parsed.select("host", "steps", F.when(F.col("said") == "allow", 1).when(F.col("said") == "block", 0).alias("label"))

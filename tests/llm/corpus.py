@@ -32,12 +32,12 @@ def documents(seed=0, n=60):
     return rows
 
 
-SCHEMA = "doc_id bigint, text string, source string, size string, n_words string, h int, key int, row int, block int"
+SCHEMA = "doc_id bigint, text string, source string, size string, n_words string, h int, key int, row int, block int, `a.b` int, `x``y` int"
 
 
 def frame(spark, rows):
     """The rows with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(*r, "keep", "me", 1, 2, 3, 4) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "keep", "me", 1, 2, 3, 4, 5, 6) for r in rows], SCHEMA)
 
 
 def empty(spark):

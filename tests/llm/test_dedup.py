@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import corpus as K
+import duckdb
+import pandas as pd
 import pytest
 
 from ledgerloom.llm import line_dedup as L, substring_dedup as S
@@ -39,6 +41,15 @@ def test_substrings_against_brute_force(spark, target, start):
         assert Counter(r.kept for r in digests) == Counter(hashlib.sha256(k.encode()).hexdigest() for *_, k in want)
 
 
+def test_sql_splits_at_the_same_characters(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, sep.join(words), "s") for i, sep in enumerate(["\x0b", "\x0c", "\r", "\t", "\n", " ", "\x0b \x0c", "\u00a0", "\x1f"])]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    want = duckdb.sql(S.ORACLE).fetchall()
+    got = S.deduplicate(K.frame(spark, rows), digest=True).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and [w[1:3] for w in sorted(want)] == [(60, 0), *[(60, 60)] * 6, (1, 0), (1, 0)]
+
+
 def test_levels_double():
     assert S.levels(50, 25) == [25, 50] and S.levels(50, 13) == [13, 25, 50] and S.levels(200, 25) == [25, 50, 100, 200]
 

@@ -50,7 +50,7 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
     for name in ("benchmark", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     out = P.run(spark, str(tmp_path))
-    assert {"_gone", "t1", "_source", "key", "row"} <= set(out.columns)
+    assert {"_gone", "t1", "_source", "key", "row", "a.b", "x`y"} <= set(out.columns)
     rows = [(r.doc_id, r.text) for r in out.collect()]
     assert rows and all(K.spaced(t) for _, t in rows) and {(i, t) for i, t in rows if i is not None} and max(Counter(t for i, t in rows if i not in (None, 5)).values()) == 1
     left = Path(out.inputFiles()[0].removeprefix("file://")).parent.parent
