@@ -156,6 +156,13 @@ DESCRIPTION_BLOCKS = (
     "[class*='description' i]", "[id*='description' i]", "article.job", "div[role='main']",
 )
 ANCHOR_PHRASES = r"(?i)\b(?:responsibilit|requirements|qualifications|about (?:the )?role|job summary|job description|role overview|what (?:you'?ll|you will) do)"
+#: Addresses in an onclick attribute and in a script.
+IN_CLICKS = (r"(?i)https?://[^\s'\")]+", r"['\"](/[^'\"]+)['\"]")
+IN_SCRIPTS = (
+    r"(?i)https?://[^\s'\")]+(?:jobs?|careers?|positions?|openings?|apply|lever\.co|workable\.com|ashbyhq\.com|breezy\.hr|greenhouse\.io)[^\s'\")]*",
+    r"(?i)location\.(?:href|assign|replace)\(['\"]([^'\"]+)['\"]\)",
+    r"(?i)location\.href\s*=\s*['\"]([^'\"]+)['\"]",
+)
 HANDOFF_NODES = ("a[href]", "button[onclick]", "button[data-url]", "button[data-href]", "[role='button'][onclick]", "[data-link]", "[data-url]", "[data-href]")
 HANDOFF_WORDS = ("jobs", "job", "career", "careers", "position", "opening", "vacanc", "apply", "greenhouse", "lever", "workable", "ashby")
 SEARCH_PAGES = {

@@ -5,11 +5,13 @@ Spark has no row order, so every operator takes the columns that define it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ledgerloom.functions.columns import whole_row
+from ledgerloom.functions.columns import named, whole_row
+from ledgerloom.store import discard, stash
 
 Keys = Sequence[str | Column]
 
@@ -21,8 +23,8 @@ def first_wins(df: DataFrame, keys: Keys, order: Keys, *, keep_blank: bool = Fal
     """
     row = whole_row(df)
     at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    named = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    held = df.select(row.alias("_row"), at.alias("_at"), *named)
+    by = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    held = df.select(row.alias("_row"), at.alias("_at"), *by)
     names = [f"_k{i}" for i in range(len(keys))]
     blank = F.coalesce(F.col("_k0"), F.lit("")) == "" if keep_blank else F.lit(False)
     kept = held.where(~blank).groupBy(*names).agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
@@ -63,23 +65,55 @@ def new_rows(df: DataFrame, table: DataFrame | None, token: str, order: Keys) ->
     return fresh if table is None else fresh.join(table.select(token).distinct(), token, "left_anti").select(*df.columns)
 
 
-def greedy_two_keys(df: DataFrame, group: str, link: str, ident: str, order: str) -> DataFrame:
-    """First rows by link or id, where a skipped row registers neither of its keys.
+#: Undecided rows that one task decides in order, at most (three values each).
+FEW_ROWS = 100_000
 
-    `group` bounds the rows that can share a key (a component of keys); the rows
-    of one group are folded in order. A row with neither key is dropped.
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of the rows that a loop keeps; rows come in order."""
+    links, ids = set(), set()
+    for batch in batches:
+        kept = []
+        for at, link, ident in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if link not in links and ident not in ids:
+                kept.append(at)
+                links |= {link} - {None}
+                ids |= {ident} - {None}
+        yield pa.record_batch([pa.array(kept, batch.schema.field(0).type)], names=["at"])
+
+
+def greedy_two_keys(df: DataFrame, link: str, ident: str, order: str, *, known: DataFrame | None = None, few: int = FEW_ROWS) -> DataFrame:
+    """The rows that a loop in the order keeps, which skips a row whose link or id a kept row has; a skipped row registers neither.
+
+    `order` is a column of unique values that can be compared. Null and empty keys match nothing, and a row with neither is
+    dropped. `known` has one column of ids (or links, for rows without an id) that were dealt with before: their rows register like others and are left out.
+
+    A row is decided once the earlier rows that share a key with it are. In each round the rows that are first of both their
+    keys are kept, and the undecided rows that share a key with these go; each side of a join has one row a key, or is
+    a written table, so a hot key is split. Rounds are few unless rows form long chains; the last `few` rows are decided by one task in order.
     """
-    key = lambda x, k: F.coalesce(x[k].cast("string"), F.lit(""))
-    state = F.struct(F.array().cast("array<string>").alias("links"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        a, b = key(x, "link"), key(x, "ident")
-        seen = ((a != "") & F.array_contains(s["links"], a)) | ((b != "") & F.array_contains(s["ids"], b))
-        add = lambda have, v: F.when(seen | (v == ""), have).otherwise(F.concat(have, F.array(v)))
-        kept = F.when(seen | ((a == "") & (b == "")), s["kept"]).otherwise(F.concat(s["kept"], F.array(x["at"])))
-        return F.struct(add(s["links"], a).alias("links"), add(s["ids"], b).alias("ids"), kept.alias("kept"))
-
-    rows = df.select(group, F.struct(F.col(order).cast("long").alias("at"), F.col(link).alias("link"), F.col(ident).alias("ident")).alias("x"))
-    folded = rows.groupBy(group).agg(F.aggregate(F.array_sort(F.collect_list("x")), state, step)["kept"].alias("kept"))
-    kept = folded.select(group, F.explode("kept").alias("_at"))
-    return df.join(kept, (df[group] == kept[group]) & (df[order] == kept["_at"]), "left_semi")
+    text = lambda c: F.nullif(named(c).cast("string"), F.lit(""))
+    live = df.select(named(order).alias("at"), text(link).alias("link"), text(ident).alias("ident")).where("link IS NOT NULL OR ident IS NOT NULL")
+    live = stash(live, "undecided")
+    kept: list[DataFrame] = []
+    while (left := live.count()) > few:
+        by_link = live.where("link IS NOT NULL").groupBy("link").agg(F.min("at").alias("at"), F.min_by("ident", "at").alias("ident"))
+        by_id = live.where("ident IS NOT NULL").groupBy("ident").agg(F.min("at").alias("at"), F.min_by("link", "at").alias("link"))
+        firsts = by_link.where("ident IS NOT NULL").join(by_id.select("at"), "at", "left_semi").select("at", "link", "ident")
+        firsts = firsts.unionByName(by_link.where("ident IS NULL")).unionByName(by_id.where("link IS NULL"))
+        firsts = stash(firsts, "kept")
+        rest = live.join(firsts.where("link IS NOT NULL").select("link"), "link", "left_anti").join(firsts.where("ident IS NOT NULL").select("ident"), "ident", "left_anti")
+        rest = stash(rest.select("at", "link", "ident"), "undecided")
+        discard(live)
+        live, kept = rest, [*kept, firsts.select("at")]
+    if left:
+        at = live.schema["at"].dataType
+        kept.append(live.coalesce(1).sortWithinPartitions("at").mapInArrow(_in_order, T.StructType([T.StructField("at", at)])))
+    places = live.select("at").limit(0)
+    for part in kept:
+        places = places.unionByName(part)
+    rows = df.join(places.withColumnRenamed("at", "_at"), named(order) == F.col("_at"), "left_semi")
+    if known is None:
+        return rows
+    told = known.select(F.col(known.columns[0]).cast("string").alias("_known")).distinct()
+    return rows.join(told, F.coalesce(text(ident), text(link)) == F.col("_known"), "left_anti")

@@ -9,7 +9,7 @@ from ledgerloom.operators import dedup, guards, ledger as G, lifecycle, matching
 from ledgerloom.plans import postings as PP, runs as R
 from ledgerloom.plans.pages import _STRIP, canonical_sql, domain_sql, part, table
 from ledgerloom.plans.postings import POSTS, SQUEEZE, _posts, has_part_sql, pick, pick_sql
-from ledgerloom.sources import lines as S, tables
+from ledgerloom.sources import commits, lines as S, tables
 from ledgerloom.store import new_path
 
 C = F.col
@@ -204,15 +204,18 @@ def content_digests(spark, sf_dir):
 
 
 def publish_tables(spark, sf_dir):
-    """A published run, read back: rows of every table."""
-    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus").select(C("o_orderkey").alias("hash"), C("o_orderstatus").alias("company"), F.when(C("o_orderkey") % 3 == 0, "CLOSED").otherwise("ACTIVE").alias("status"))
+    """Two published runs, the second one twice, and what all tables hold then: each order is in one run or both, by its key."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    rows = rows.select(F.concat(F.lit("H"), C("o_orderkey")).alias("hash"), C("o_orderkey").alias("k"), F.when(C("o_custkey") % 11 != 0, C("o_custkey") % 40).alias("company"), C("o_orderpriority").alias("title"))
     base = new_path(spark, "publish")
-    new, closed = rows.where("hash % 2 = 0"), rows.where("status = 'CLOSED'")
-    tables.publish(base, active=rows, new=new, closed=closed, stats=rows.groupBy("company").count(), removed=closed.select("hash"))
-    read = [spark.read.parquet(f"{base}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("active", "new", "closed", "by_company", "companies")]
-    out = read[0]
-    for other in read[1:]:
-        out = out.unionByName(other)
+    for run, status in ((1, "k % 5 = 0"), (2, "k % 7 = 0"), (2, "k % 3 = 0")):
+        own = rows.where(f"k % 4 <> {run} AND company % 4 <> {run}").withColumn("status", F.when(F.expr(status), "CLOSED").otherwise("ACTIVE"))
+        new, closed = own.where(f"k % 2 = {run - 1}"), own.where("status = 'CLOSED'").withColumn("hash", F.lower(F.concat(C("hash"), F.lit(" "))))
+        tables.publish(base, run, active=own, new=new, closed=closed, stats=own.groupBy("company").agg(F.count(F.lit(1)).alias("k")), associate=C("title") == "1-URGENT")
+    out = None
+    for name in tables.RUN_TABLES:
+        part = commits.read(spark, base, name).select(F.lit(name).alias("name"), "batch", "company", "k", F.lit(None).cast("string").alias("status") if name == "companies" else C("status"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -296,9 +299,17 @@ QUERIES = {
         SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'own' ELSE coalesce(a, '2024-01-01 00:00:00') END AS first_seen, coalesce(z, '2024-01-01 00:00:00') AS last_seen, '' AS closed_at, 'r1' AS run_id, 3 AS run_iteration FROM customer LEFT JOIN s ON o_custkey = c_custkey"""),
     "new_flags": (new_flags, "SELECT c_custkey, CASE WHEN c_acctbal < 1000 THEN 'NEW' ELSE 'ACTIVE' END AS status FROM customer"),
     "content_digests": (content_digests, """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS digest FROM customer"""),
-    "publish_tables": (publish_tables, """WITH o AS (SELECT o_orderkey % 3 = 0 AS closed, o_orderkey % 2 = 0 AS new, o_orderstatus FROM orders)
-        SELECT 'active' AS name, count(*) FILTER (NOT closed) AS n FROM o UNION ALL SELECT 'new', count(*) FILTER (new AND NOT closed) FROM o UNION ALL SELECT 'closed', count(*) FILTER (closed) FROM o
-        UNION ALL SELECT 'by_company', count(*) FROM o UNION ALL SELECT 'companies', count(DISTINCT o_orderstatus) FROM o"""),
+    "publish_tables": (publish_tables, """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 11 <> 0 THEN o_custkey % 40 END AS company, o_orderpriority AS title FROM orders),
+        r AS (SELECT batch, o.*, CASE batch WHEN 1 THEN k % 5 = 0 ELSE k % 7 = 0 END AS gone, k % 2 = batch - 1 AS new FROM o, (SELECT unnest([1, 2]) AS batch) WHERE k % 4 <> batch AND company % 4 <> batch),
+        c AS (SELECT company, max(batch) AS last FROM r WHERE NOT gone GROUP BY company), d AS (SELECT k, max(batch) AS until FROM r WHERE gone GROUP BY k),
+        a AS (SELECT 'active' AS name, batch, company, k, 'ACTIVE' AS status FROM r WHERE batch = 2 AND NOT gone
+            UNION ALL SELECT 'associate', batch, company, k, CASE WHEN gone THEN 'CLOSED' ELSE 'ACTIVE' END FROM r WHERE title = '1-URGENT' AND new
+            UNION ALL SELECT 'associate', batch, company, k, 'CLOSED' FROM r WHERE title = '1-URGENT' AND gone
+            UNION ALL SELECT 'by_company', batch, company, k, CASE WHEN new THEN 'NEW' ELSE 'ACTIVE' END FROM r JOIN c USING (company) WHERE batch = last AND NOT gone)
+        SELECT a.* FROM a LEFT JOIN d USING (k) WHERE until IS NULL OR until < batch
+        UNION ALL SELECT 'new', batch, company, k, CASE WHEN gone THEN 'CLOSED' ELSE 'ACTIVE' END FROM r WHERE new
+        UNION ALL SELECT 'closed', batch, company, k, 'CLOSED' FROM r WHERE gone
+        UNION ALL SELECT 'companies', 2, company, count(*), NULL FROM r WHERE batch = 2 GROUP BY company"""),
     "capped_lists": (capped_lists, """(SELECT 'fingerprints' AS list, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderpriority ORDER BY 2 LIMIT 300)
         UNION ALL SELECT 'snapshot', o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 15
         UNION ALL (SELECT 'links', o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)"""),

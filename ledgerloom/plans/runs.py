@@ -158,8 +158,21 @@ def notified_anti(spark, sf_dir):
 
 
 def greedy_two_key_dedup(spark, sf_dir):
+    """Of each customer's orders, those that repeat neither a priority nor a status."""
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    return dedup.greedy_two_keys(rows, "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderkey").select("o_orderkey", "o_custkey")
+    rows = rows.select("o_orderkey", "o_custkey", F.concat_ws("|", "o_custkey", "o_orderpriority").alias("link"), F.concat_ws("|", "o_custkey", "o_orderstatus").alias("ident"))
+    return dedup.greedy_two_keys(rows, "link", "ident", "o_orderkey", few=1_000).select("o_orderkey", "o_custkey")
+
+
+def greedy_line_dedup(spark, sf_dir):
+    """Lines of orders by part, or by supplier and day; half of them share one supplier key, which only the first of them registers, and the parts of known ones are left out."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    ident = F.when(C("l_orderkey") % 2 == 0, "hot").when(C("l_linenumber") != 3, F.concat_ws("|", "l_suppkey", C("l_shipdate").cast("date")))
+    link = F.when(C("l_linenumber") % 5 != 0, F.concat(F.lit("p"), "l_partkey")).otherwise("")
+    # the tables hold some order and line numbers more than once; the first row of each is taken
+    rows = dedup.first_wins(rows.select((C("l_orderkey") * 10 + C("l_linenumber")).alias("line"), link.alias("link"), ident.alias("ident")), ["line"], ["link", "ident"])
+    known = table(spark, sf_dir, "part", "p_partkey").where("p_partkey % 9 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("known"))
+    return dedup.greedy_two_keys(rows, "link", "ident", "line", known=known, few=1_000).select("line")
 
 
 def last_wins_merge(spark, sf_dir):
@@ -303,6 +316,7 @@ QUERIES = {
     "greedy_two_key_dedup": (greedy_two_key_dedup, """WITH g AS (SELECT o_custkey, list({'a': [o_orderpriority], 'b': [o_orderstatus], 'k': [o_orderkey]} ORDER BY o_orderkey) AS l FROM orders GROUP BY 1),
         f AS (SELECT o_custkey, list_reduce(l, lambda s, x: CASE WHEN list_has_any(s.a, x.a) OR list_has_any(s.b, x.b) THEN s ELSE {'a': list_concat(s.a, x.a), 'b': list_concat(s.b, x.b), 'k': list_concat(s.k, x.k)} END) AS s FROM g)
         SELECT unnest(s.k) AS o_orderkey, o_custkey FROM f"""),
+    "greedy_line_dedup": (greedy_line_dedup, None),
     "last_wins_merge": (last_wins_merge, """WITH l AS (SELECT o_custkey, o_orderkey % 2 AS s, max(o_orderkey) AS k FROM orders GROUP BY ALL), m AS (SELECT o_custkey, arg_max(k, s) AS k FROM l GROUP BY 1)
         SELECT o_orderkey, o.o_custkey, o_totalprice FROM orders o JOIN m ON m.k = o.o_orderkey"""),
     "company_snapshot": (company_snapshot, "SELECT o_orderkey, o_custkey AS company FROM (SELECT *, max(o_orderpriority) OVER (PARTITION BY o_custkey) AS m FROM orders) WHERE o_orderpriority = m"),

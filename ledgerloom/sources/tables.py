@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.operators import lifecycle
 from ledgerloom.operators.dedup import new_rows
+from ledgerloom.sources import commits
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -104,15 +106,33 @@ class Settings:
         return cls(**known, extra={k: v for k, v in values.items() if k not in cls.__dataclass_fields__})
 
 
-def publish(base: str, *, active: DataFrame, new: DataFrame, closed: DataFrame, stats: DataFrame, removed: DataFrame | None = None) -> None:
-    """Writes a run's tables in order: active, new, closed, by company, deletions, stats."""
-    replace(active.where("status <> 'CLOSED'"), f"{base}/active")
-    new.write.mode("append").parquet(f"{base}/new")
-    closed.write.mode("append").parquet(f"{base}/closed")
-    replace_partitions(active, f"{base}/by_company", "company")
-    if removed is not None:
-        delete_keys(active.sparkSession, f"{base}/new", removed, "hash")
-    replace(stats, f"{base}/companies")
+#: The tables of a run, in the order in which they are written, and those that closed rows are deleted from; `new` keeps its history.
+RUN_TABLES = ("active", "new", "closed", "associate", "by_company", "companies")
+DELETES_FROM = ("active", "associate", "by_company")
+
+
+def publish(
+    base: str, run: int, *, active: DataFrame, new: DataFrame, closed: DataFrame, stats: DataFrame, associate: Column, delete_closed: bool = True, key: str = "hash", company: str = "company"
+) -> bool:
+    """Publishes a run: all its tables, or none, become visible with one commit, and a replay changes nothing (False).
+
+    active replaces the table of that name, without its CLOSED rows; new and closed are appended, and so are those of their rows that meet
+    `associate`, to the associate table; a company's table is replaced by its active rows, NEW if the run has the key among
+    its new ones, else ACTIVE. Keys of closed rows are then deleted, whatever their case and blanks around them, from the
+    active, associate and company tables, and stay in `new`. Rows without a company are in no company's table. `commits.read` reads a table back.
+    """
+    spark = active.sparkSession
+    plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    held = active.where(F.coalesce(F.col("status"), F.lit("")) != "CLOSED")
+    of_company = lifecycle.flagged(held.where(F.trim(F.coalesce(F.col(company).cast("string"), F.lit(""))) != "").drop("status"), new, key=key)
+    fan_out = new.unionByName(closed, allowMissingColumns=True).where(associate)
+    marked = lambda rows: rows.withColumn("key", plain(key))
+    parts = {
+        "active": (commits.REPLACE, marked(held)), "new": (commits.APPEND, new), "closed": (commits.APPEND, closed), "associate": (commits.APPEND, marked(fan_out)),
+        "by_company": (commits.BY_KEY, marked(of_company)), "companies": (commits.REPLACE, stats),
+    }
+    gone = closed.select(plain(key).alias("key")).where("key <> ''") if delete_closed else None
+    return commits.commit(spark, base, run, parts, keys={"by_company": company}, deleted=gone, key="key", deletes_from=DELETES_FROM)
 
 
 def counts(active: DataFrame, new: DataFrame, closed: DataFrame) -> DataFrame:

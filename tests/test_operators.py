@@ -8,8 +8,8 @@ from helpers import SF
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import changes, dedup, lifecycle, matching, pages, planning, reports
-from ledgerloom.plans import pages as plans
-from ledgerloom.sources import lines, tables
+from ledgerloom.plans import pages as plans, runs
+from ledgerloom.sources import commits, lines, tables
 from ledgerloom.streaming import cycle
 
 
@@ -20,20 +20,55 @@ def test_first_wins_keeps_order_and_blanks(spark):
     assert [r.pos for r in dedup.last_wins(df.where("k = 'a'"), ["k"], ["pos"]).collect()] == [3]
 
 
-def test_two_key_dedup_is_greedy(spark):
-    rng = random.Random(1)
-    rows = [(g, p, rng.choice(["a", "b", "", None]), rng.choice(["1", "2", "3", "", None])) for g in range(60) for p in range(6)]
-    want = set()
-    for g in range(60):
-        links, ids = set(), set()
-        for _, p, a, b in (r for r in rows if r[0] == g):
-            if (a and a in links) or (b and b in ids):
-                continue
-            links |= {a} if a else set()
-            ids |= {b} if b else set()
-            want |= {(g, p)} if a or b else set()
-    df = spark.createDataFrame(rows, "g int, p int, link string, ident string")
-    assert {(r.g, r.p) for r in dedup.greedy_two_keys(df, "g", "link", "ident", "p").collect()} == want
+def greedy(rows):
+    """The places that a loop keeps; rows are (place, link, ident)."""
+    links, ids, kept = set(), set(), set()
+    for at, a, b in sorted(rows, key=lambda r: r[0]):
+        if (a and a in links) or (b and b in ids):
+            continue
+        links |= {a} if a else set()
+        ids |= {b} if b else set()
+        kept |= {at} if a or b else set()
+    return kept
+
+
+@pytest.mark.parametrize(("few", "n", "keys"), [(0, 400, 30), (50, 400, 300), (10**6, 400, 30), (0, 60, 2)])
+def test_two_key_dedup_is_greedy(spark, few, n, keys):
+    rng = random.Random(n + keys + few)
+    key = lambda: rng.choice([*map(str, range(keys)), "", None])
+    rows = [(p, key(), key()) for p in rng.sample(range(10 * n), n)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "p int, a string, b string, at int, `x.y` int")
+    got = dedup.greedy_two_keys(df, "a", "b", "p", few=few)
+    assert got.columns == df.columns and {r.p for r in got.collect()} == greedy(rows)
+
+
+def test_two_key_dedup_with_a_hot_key_and_chains(spark):
+    rng = random.Random(5)
+    rows = [(i, "hot" if i % 2 else f"l{rng.randrange(30000)}", f"i{rng.randrange(40000)}") for i in range(100_000)]
+    rows += [(100_000 + i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "p int, a string, b string")
+    assert {r.p for r in dedup.greedy_two_keys(df, "a", "b", "p", few=5_000).collect()} == greedy(rows)
+    assert dedup.greedy_two_keys(df.limit(0), "a", "b", "p", few=0).count() == 0
+    chain = [(i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(9)]
+    assert {r.p for r in dedup.greedy_two_keys(spark.createDataFrame(chain, "p int, a string, b string"), "a", "b", "p", few=0).collect()} == {0, 2, 4, 6, 8}
+
+
+def test_known_keys_register_and_are_left_out(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", None), (4, "b", "z"), (5, "c", "")], "p int, a string, b string")
+    known = spark.createDataFrame([("x",), ("c",), ("x",)], "id string")
+    assert {r.p for r in dedup.greedy_two_keys(df, "a", "b", "p", known=known).collect()} == {3}
+
+
+def test_line_query_is_the_loop(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    rows = {}
+    for r in lines:
+        at = r.l_orderkey * 10 + r.l_linenumber
+        own = ("" if r.l_linenumber % 5 == 0 else f"p{r.l_partkey}", "hot" if r.l_orderkey % 2 == 0 else f"{r.l_suppkey}|{r.l_shipdate:%Y-%m-%d}" if r.l_linenumber != 3 else None)
+        rows[at] = min(rows.get(at, own), own, key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+    known = {f"p{r.p_partkey}" for r in spark.read.parquet(f"{SF}/part.parquet").collect() if r.p_partkey % 9 == 0}
+    want = {at for at in greedy([(at, *own) for at, own in rows.items()]) if (rows[at][1] or rows[at][0]) not in known}
+    assert {r.line for r in runs.greedy_line_dedup(spark, SF).collect()} == want
 
 
 def test_diff_is_the_greedy_loop(spark):
@@ -170,6 +205,37 @@ def test_tables_round_trip(spark, tmp_path):
     assert version == 2 and state.first().token == "y"
 
 
+def test_a_commit_shows_all_parts_or_none(spark, tmp_path):
+    base = str(tmp_path / "run")
+    df = lambda *rows: spark.createDataFrame(rows, "hash string, company string")
+    parts = lambda *rows: {"all": (commits.REPLACE, df(*rows)), "log": (commits.APPEND, df(*rows)), "own": (commits.BY_KEY, df(*rows))}
+    held = lambda name, **at: sorted((r.hash, r.company, r.batch) for r in commits.read(spark, base, name, **at).collect())
+    keys = {"own": "company"}
+    assert commits.commit(spark, base, 1, parts(("a", "x"), ("b", "x"), ("c", "y")), keys=keys)
+    df(("q", "z")).write.parquet(commits.part(base, "log", 2))  # a run that died before its commit
+    assert held("log") == [("a", "x", 1), ("b", "x", 1), ("c", "y", 1)] and list(commits.committed(spark, base)) == [1]
+    gone = spark.createDataFrame([("c",), ("d",)], "hash string")
+    for first in (True, False):
+        assert commits.commit(spark, base, 2, parts(("d", "x"), ("e", "x")), keys=keys, deleted=gone, deletes_from=("own", "all")) is first
+    assert held("all") == [("e", "x", 2)] and held("own") == [("e", "x", 2)]
+    assert held("log") == [("a", "x", 1), ("b", "x", 1), ("c", "y", 1), ("d", "x", 2), ("e", "x", 2)]
+    assert commits.commit(spark, base, 3, {"own": (commits.BY_KEY, df(("c", "z")))}, keys=keys)
+    assert held("own") == [("c", "z", 3), ("e", "x", 2)] and held("own", upto=1) == [("a", "x", 1), ("b", "x", 1), ("c", "y", 1)]
+    with pytest.raises(ValueError, match="no committed batch"):
+        commits.read(spark, base, "other")
+
+
+def test_publishing_twice_changes_nothing(spark, tmp_path):
+    base = str(tmp_path / "publish")
+    rows = spark.createDataFrame([("H1", "acme", "ACTIVE", "Intern"), ("h2 ", "acme", "CLOSED", "Intern"), ("h3", None, "ACTIVE", "Lead")], "hash string, company string, status string, title string")
+    own = {"active": rows, "new": rows.where("hash <> 'h3'"), "closed": rows.where("status = 'CLOSED'").withColumn("hash", F.lit("H2")), "stats": rows.groupBy("company").count(), "associate": F.col("title") == "Intern"}
+    seen = []
+    for first in (True, False):
+        assert tables.publish(base, 7, **own) is first
+        seen.append({n: sorted((r.hash or "", r.status) for r in commits.read(spark, base, n).collect()) for n in tables.RUN_TABLES[:-1]})
+    assert seen[0] == seen[1] == {"active": [("H1", "ACTIVE"), ("h3", "ACTIVE")], "new": [("H1", "ACTIVE"), ("h2 ", "CLOSED")], "closed": [("H2", "CLOSED")], "associate": [("H1", "ACTIVE")], "by_company": [("H1", "NEW")]}
+
+
 def test_settings_layers():
     s = tables.Settings.layered({"archive_days": 10, "other": "x"}, {"archive_days": "20"})
     assert s.archive_days == 20 and s.missing_threshold == 1 and s.extra == {"other": "x"}
