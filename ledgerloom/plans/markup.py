@@ -37,6 +37,20 @@ def openings_from_html(spark, sf_dir):
     return P.openings(_site(spark, sf_dir))
 
 
+def openings_without_boxes(spark, sf_dir):
+    """Pages without a known box: a title three or four elements below what holds its link, beside its link in a section, a link alone, and a title too far from its link."""
+    title = F.replace(F.replace(C("title"), L("&"), L("&amp;")), L("<"), L("&lt;"))
+    button = text('<button data-apply-url="/jobs/b', C("id"), '">Go</button>')
+    shapes = (
+        text("<main><span><b><i><h2>", title, "</h2></i></b></span>", button, "</main>"),
+        text("<main><u><span><b><i><h2>", title, "</h2></i></b></span></u>", button, "</main>"),
+        text("<section><p><b><h4>", title, "</h4></b></p>", button, "</section><div class='site-footer'><h3>Lead Data Engineer</h3><a href='/jobs/f'>x</a></div>"),
+        text("<p><a href='/jobs/a", C("id"), "'>", title, "</a></p>"),
+    )
+    html = F.element_at(F.array(*shapes), (C("id") % 4 + 1).cast("int"))
+    return P.openings(_posts(spark, sf_dir).select(text("https://careers.acme", C("id"), ".com/list").alias("url"), text("<html><head><title>Careers</title></head><body>", html, "</body></html>").alias("html")))
+
+
 def posting_details(spark, sf_dir):
     """Details of pages with a description in JSON-LD, in a block, or none."""
     rows = _posts(spark, sf_dir)
@@ -87,6 +101,8 @@ QUERIES = {
         CASE WHEN trim(place) = '' THEN 'Onsite' ELSE {SQUEEZE.format('place')} END AS location, {_KIND} AS type, link, '2024-02-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') AS posted_date FROM f"""),
     "openings_from_html": (openings_from_html, f"""WITH {_FOUND} SELECT site || '/list' AS url, {SQUEEZE.format('title')} AS title, link FROM f
         UNION ALL SELECT DISTINCT site || '/list', 'QA Analyst ' || k, site || '/jobs/ld' || k FROM v"""),
+    "openings_without_boxes": (openings_without_boxes, f"""WITH {POSTS} SELECT 'https://careers.acme' || id || '.com/list' AS url, {SQUEEZE.format('title')} AS title,
+        'https://careers.acme' || id || '.com/jobs/' || CASE id % 4 WHEN 3 THEN 'a' ELSE 'b' END || id AS link FROM posts WHERE id % 4 <> 1 AND {_VALID} AND {_POSTING}"""),
     "posting_details": (posting_details, f"""WITH {POSTS}, d AS (SELECT *, CASE WHEN id % 3 = 0 AND length({_BODY.format(4)} || CASE WHEN body = '' THEN '' ELSE ' ' END || 'Apply now') >= 120 THEN repeat(body || ' ', 4)
             WHEN length({_BODY.format(5)}) >= 200 THEN {_BODY.format(5)} ELSE '' END AS t FROM posts)
         SELECT id, CASE WHEN length(t) < 120 THEN '' ELSE left(t, 150) END AS description, '2024-01-0' || id % 9 + 1 AS posted_date, trim(title) AS meta_description FROM d""".replace("'2024-01-0' || id % 9 + 1", "'2024-01-0' || (id % 9 + 1)")),

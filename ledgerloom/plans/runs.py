@@ -13,7 +13,7 @@ from ledgerloom.operators import changes, dedup, lifecycle, reports
 from ledgerloom.plans.pages import table
 from ledgerloom.sources import lines as L, tables
 from ledgerloom.store import new_path
-from ledgerloom.streaming import cycle
+from ledgerloom.streaming import cycle, sites
 
 C = F.col
 WEEKS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-31")
@@ -73,13 +73,25 @@ def stream_cycle(spark, sf_dir):
     start = "2024-01-01"
     for i, end in enumerate(WEEKS):
         rows = _seen(spark, sf_dir, start, end).withColumn("observed_at", F.lit(end).cast("timestamp"))
-        rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         cycle.start(stream, f"{base}/state", f"{base}/checkpoint", threshold=2).awaitTermination()
         start = end
     return tables.load_state(spark, f"{base}/state", cycle.STATE_SCHEMA)[0]
 
 
+def site_lifecycle(spark, sf_dir):
+    """The multi-run lifecycle once more, as state keyed by site; each week, every site says that it was looked at."""
+    base, start = new_path(spark, "sites"), "2024-01-01"
+    for end in WEEKS:
+        rows = _seen(spark, sf_dir, start, end)
+        rows = rows.unionByName(rows.select(F.lit(None).cast("string").alias("hash"), "source_url").distinct()).withColumn("observed_at", F.lit(end).cast("timestamp"))
+        rows.write.mode("append").parquet(f"{base}/in")
+        sites.start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", threshold=2).awaitTermination()
+        start = end
+    return sites.state(spark.read.schema(sites.CHANGES).parquet(f"{base}/out"))
+
+
 def ttl_cleanup(spark, sf_dir):
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select(C("o_orderkey").cast("string").alias("hash"), F.when(C("o_orderstatus") == "F", "CLOSED").otherwise("ACTIVE").alias("status"), F.when(C("o_orderkey") % 9 != 0, C("o_orderdate")).alias("closed_at"))
     return lifecycle.expire(rows, "1998-06-15").select("hash", "status")
@@ -293,6 +305,7 @@ QUERIES = {
             CASE WHEN here OR NOT waits THEN TIMESTAMP '{WEEKS[3]}' ELSE TIMESTAMP '{WEEKS[1]}' END AS last_seen, CASE WHEN NOT here AND NOT waits THEN TIMESTAMP '{WEEKS[3]}' END AS closed_at FROM j"""),
     "lifecycle_multi_run": (lifecycle_multi_run, _multi_run_sql()),
     "stream_cycle": (stream_cycle, _multi_run_sql()),
+    "site_lifecycle": (site_lifecycle, _multi_run_sql()),
     "ttl_cleanup": (ttl_cleanup, """SELECT CAST(o_orderkey AS VARCHAR) AS hash, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'ACTIVE' END AS status FROM orders
         WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 9 <> 0 AND o_orderdate < TIMESTAMP '1998-06-15' - INTERVAL 30 DAY)"""),
     "failsafe": (failsafe, """WITH c AS (SELECT user_id || '-' || event_type AS source_url, count(*) FILTER (ts < TIMESTAMP '2024-01-24') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS now

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import changes, dedup, lifecycle, matching, pages, planning, reports
 from ledgerloom.plans import pages as plans, runs
 from ledgerloom.sources import commits, lines, tables
-from ledgerloom.streaming import cycle
+from ledgerloom.streaming import cycle, sites
 
 
 def test_first_wins_keeps_order_and_blanks(spark):
@@ -251,6 +251,39 @@ def test_stream_replays_leave_the_same_state(spark, tmp_path):
     assert version == 2 and {r.hash: (r.status, r.missing_count) for r in state.collect()} == {"a": ("ACTIVE", 0), "b": ("MISSING", 1)}
 
 
+def test_site_state_closes_expires_and_survives_a_replay(spark, tmp_path):
+    schema = "source_url string, hash string, observed_at timestamp"
+    base, states = str(tmp_path), []
+
+    def observe(*rows):
+        frame = spark.createDataFrame([(s, h, at) for s, h, at in rows], "source_url string, hash string, at string")
+        frame.select("source_url", "hash", F.col("at").cast("timestamp").alias("observed_at")).write.mode("append").parquet(f"{base}/in")
+        run()
+
+    def run():
+        sites.start(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", threshold=2, keep_days=10, buckets=3).awaitTermination()
+        rows = sites.state(spark.read.schema(sites.CHANGES).parquet(f"{base}/out")).collect()
+        states.append({r.hash: (r.status, r.missing_count, str(r.first_seen.date()), str(r.last_seen.date()), r.closed_at and str(r.closed_at.date())) for r in rows})
+
+    a, b = "2024-01-01", "2024-01-03"
+    observe(("s", "x", a), ("s", "y", a), ("s", None, a), ("t", "z", a), ("t", None, a), (None, "q", a))
+    assert states[-1] == {h: ("ACTIVE", 0, a, a, None) for h in "xyz"}
+    observe(("s", "x", b), ("s", "x", b), ("s", None, b), ("s", None, "2024-01-02"))  # y misses twice, and x once in between
+    assert states[-1] == {"x": ("ACTIVE", 0, a, b, None), "y": ("CLOSED", 2, a, b, b), "z": ("ACTIVE", 0, a, a, None)}
+    observe(("s", "y", "2024-01-05"), ("s", "late", "2023-12-01"), ("s", None, "2024-01-05"))
+    assert states[-1]["y"] == ("ACTIVE", 0, a, "2024-01-05", None) and states[-1]["x"] == ("MISSING", 1, a, b, None) and "late" not in states[-1]
+    observe(("s", "y", "2024-01-06"), ("s", None, "2024-01-06"))
+    assert states[-1]["x"] == ("CLOSED", 2, a, "2024-01-06", "2024-01-06")
+    observe(("u", "w", "2024-02-01"), ("u", None, "2024-02-01"))  # s isn't seen again; its closed row goes by timer
+    assert set(states[-1]) == {"y", "z", "w"}
+    done = tmp_path / "checkpoint" / "commits"
+    last = max(int(p.name) for p in done.iterdir() if p.name.isdigit())
+    for p in [p for p in done.iterdir() if str(last) in p.name.split(".")]:
+        p.unlink()  # as if the last batch had ended before its commit: it is run again
+    run()
+    assert states[-1] == states[-2]
+
+
 @pytest.mark.parametrize(("interval", "most", "calls", "sleeps"), [(1.0, 3, [1, 2, 3], 2), (0, 0, [1], 0)])
 def test_repeat(interval, most, calls, sleeps):
     got, naps = [], []
