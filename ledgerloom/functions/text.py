@@ -68,7 +68,11 @@ def has_part(c: Column, words: Iterable[str]) -> Column:
 
 def first_word(c: Column, words: Iterable[str]) -> Column:
     """The first of the words, in their order, that stands in the text between word boundaries; else null."""
-    return F.coalesce(*[F.when(F.lower(text(c)).rlike(bounded(_escaped(w.lower()))), F.lit(w)) for w in words])
+    words = list(words)
+    if not words:
+        return F.lit(None).cast("string")
+    one = "|".join(f"(?:{bounded(_escaped(w.lower()))})" for w in words)
+    return bound(F.lower(text(c)), lambda x: F.when(x.rlike(one), F.coalesce(*[F.when(x.rlike(bounded(_escaped(w.lower()))), F.lit(w)) for w in words])))
 
 
 def first_match(c: Column, patterns: Iterable[str]) -> Column:

@@ -6,10 +6,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.functions import fixed, scores, text as T, urls as U
+from ledgerloom.functions import embed, fixed, scores, text as T, urls as U
+from ledgerloom.functions.columns import named
 from ledgerloom.functions.fuzzy import first_alike, partial, token_set_ratio
+from ledgerloom.operators import alike
+from ledgerloom.store import stash
 
-#: Target roles, or role vectors broadcast, at most.
+#: Target roles, at most.
 MAX_ROLES = 1_000
 
 
@@ -43,8 +46,15 @@ def role_title(title: Column) -> Column:
 
 def senior_role(title: Column, description: Column) -> Column:
     """Senior by title or description, unless the title has an entry hint."""
-    by_title = F.lower(T.text(title)).rlike(T.bounded(fixed.SENIOR_TITLE))
-    return (by_title | T.first_match(description, fixed.SENIOR_DESCRIPTION).isNotNull()) & ~T.has_word(title, fixed.ENTRY_HINTS)
+    return (senior_title(title) | senior_text(description)) & ~T.has_word(title, fixed.ENTRY_HINTS)
+
+
+def senior_title(title: Column) -> Column:
+    return F.lower(T.text(title)).rlike(T.bounded(fixed.SENIOR_TITLE))
+
+
+def senior_text(description: Column) -> Column:
+    return T.first_match(description, fixed.SENIOR_DESCRIPTION).isNotNull()
 
 
 def associate_role(*parts: Column) -> Column:
@@ -118,15 +128,17 @@ def match_roles(
 ) -> DataFrame:
     """df with matched, matched_role and match_score (0 to 100).
 
-    Gates come first, in the JVM; only titles that pass them meet the roles, once
-    per distinct title, and of these only pairs whose fuzzy ratio can matter reach Python.
+    What depends on the title alone is judged once per distinct title, in the JVM first; titles that pass meet the roles, and
+    of these only pairs whose fuzzy ratio can matter reach Python. The verdicts are joined to the rows, and only descriptions
+    of rows whose title passed are read.
     """
     t, d = F.col(title), F.col(description)
     gate = (F.trim(T.text(t)) != "") & role_title(t)
     gate = gate & strict_policy(t) if strict else gate
-    gate = gate & ~senior_role(t, d) if exclude_senior else gate
-    titles = df.where(gate).select(T.match_title(t).alias("title_norm")).distinct()
-    pairs = titles.select("title_norm", F.explode(_roles(roles)).alias("r")).select("title_norm", "r.*")
+    hinted = T.has_word(t, fixed.ENTRY_HINTS)
+    gate = gate & (~senior_title(t) | hinted) if exclude_senior else gate
+    titles = df.select(title).distinct().where(gate).select(t.alias("_title"), T.match_title(t).alias("title_norm"), hinted.alias("_hinted"))
+    pairs = titles.select("title_norm").distinct().select("title_norm", F.explode(_roles(roles)).alias("r")).select("title_norm", "r.*")
     ratio = token_set_ratio("title_norm", "role_norm") if fuzzy else F.lit(0)
     pairs = pairs.withColumn("ratio", ratio)
     part = F.contains("title_norm", "role_norm")
@@ -138,15 +150,20 @@ def match_roles(
         F.max(base).alias("_base"),
         F.min_by("role", F.when(exact, F.col("role_pos"))).alias("_exact"),
     )
-    norm = T.match_title(d)
-    bonus = F.when(T.has_word(t, fixed.ENTRY_HINTS), 5.0).otherwise(0.0) + F.when(norm != "", F.least(F.size(T.found_parts(norm, fixed.TECH_WORDS)) * 2, F.lit(10))).otherwise(0)
-    rows = df.withColumn("_gate", gate).withColumn("_norm", F.when(gate, T.match_title(t))).join(best, F.col("_norm") == F.col("title_norm"), "left")
-    score = F.when(F.col("_exact").isNotNull(), 100.0).when(F.col("_gate"), F.least(F.lit(100.0), F.col("_base") + bonus)).otherwise(0.0)
-    passes = F.col("_exact").isNotNull() | (F.col("_gate") & (F.col("_base") + bonus >= threshold))
+    rows = df.join(titles.join(best, "title_norm").drop("title_norm"), t == F.col("_title"), "left")
+    passed = F.col("_title").isNotNull()
+    if exclude_senior:
+        passed = F.when(passed & ~F.col("_hinted"), ~senior_text(d)).otherwise(passed)
+    rows = rows.withColumn("_gate", passed).withColumn("_norm", F.when(F.col("_gate"), T.match_title(d)))
+    tech = F.when(F.col("_norm") != "", F.least(F.size(T.found_parts(F.col("_norm"), fixed.TECH_WORDS)) * 2, F.lit(10))).otherwise(0)
+    total = F.col("_base") + F.when(F.col("_hinted"), 5.0).otherwise(0.0) + tech
+    exact, near = F.col("_gate") & F.col("_exact").isNotNull(), F.col("_gate") & (total >= threshold)
+    passes = exact | near
     if semantic is not None:
-        passes = passes & (F.col("_exact").isNotNull() | (F.length(F.trim(T.text(d))) < 40) | F.coalesce(semantic(t, d), F.lit(True)))
+        passes = passes & (exact | (F.length(F.trim(T.text(d))) < 40) | F.coalesce(semantic(t, d), F.lit(True)))
     matched = F.coalesce(passes, F.lit(False))
-    return rows.select(*df.columns, matched.alias("matched"), F.when(matched, F.coalesce("_exact", "_role")).alias("matched_role"), F.coalesce(score, F.lit(0.0)).alias("match_score"))
+    score = F.when(exact, 100.0).when(F.col("_gate"), F.least(F.lit(100.0), total)).otherwise(0.0)
+    return rows.select(*[named(c) for c in df.columns], matched.alias("matched"), F.when(matched, F.coalesce("_exact", "_role")).alias("matched_role"), F.coalesce(score, F.lit(0.0)).alias("match_score"))
 
 
 def filter_by_role(df: DataFrame, *, min_score: float = 50.0, order: str = "pos", **options) -> DataFrame:
@@ -156,14 +173,28 @@ def filter_by_role(df: DataFrame, *, min_score: float = 50.0, order: str = "pos"
 
 
 def semantic_gate(vectors: DataFrame, roles: DataFrame, *, threshold: float = 0.65, ident: str = "id", vector: str = "vector") -> DataFrame:
-    """Per id: best (highest cosine with a role vector) and passes; a missing vector passes. Roles are a small side."""
-    if roles.limit(MAX_ROLES + 1).count() > MAX_ROLES:
-        raise ValueError(f"at most {MAX_ROLES} role vectors")
-    side = roles.agg(F.collect_list(vector).alias("_roles"))  # one bounded row beside each vector: no shuffle
-    own = F.col(vector)
-    best = F.array_max(F.transform("_roles", lambda r: scores.cosine(own, r)))
-    scored = vectors.select(ident, vector).join(F.broadcast(side)).select(ident, F.when(own.isNotNull(), best).alias("best"), own.isNull().alias("_none"))
-    return scored.select(ident, "best", (F.col("_none") | (F.col("best") >= threshold)).alias("passes"))
+    """Per id: best (highest cosine with a role vector, -1 if none can be compared) and passes; a missing vector has no best and passes, and without roles all do."""
+    if roles.isEmpty():
+        return vectors.select(ident, F.lit(None).cast("double").alias("best"), F.lit(True).alias("passes"))
+    targets = roles.select(F.monotonically_increasing_id().alias("target"), vector)
+    known = alike.nearest(vectors.where(F.col(vector).isNotNull()), targets, ident=ident, vector=vector)
+    none = vectors.where(F.col(vector).isNull()).select(ident, F.lit(None).cast("double").alias("best"), F.lit(True).alias("passes"))
+    return known.select(ident, "best", (F.col("best") >= threshold).alias("passes")).unionByName(none)
+
+
+def semantic_text_gate(
+    df: DataFrame, roles: DataFrame, make: Callable[[], embed.Encoder], *, threshold: float = 0.65, title: str = "title", description: str = "description", role: str = "role", most: int = 250
+) -> DataFrame:
+    """df with best and passes of semantic_gate, from vectors of the title with the first `most` characters of the description and of the roles' names.
+
+    Each distinct text is encoded once. What can't be encoded passes.
+    """
+    text = F.trim(F.concat(T.text(F.col(title)), F.lit(" "), F.substring(T.text(F.col(description)), 1, most)))
+    rows = df.withColumn("_text", text)
+    vectors = stash(rows.select("_text").distinct().select(F.col("_text").alias("id"), embed.encoded(F.col("_text"), make).alias("vector")), "vectors")
+    named = stash(roles.select(F.col(role).alias("_role")).distinct().select(embed.encoded(F.col("_role"), make).alias("vector")), "roles")
+    judged = semantic_gate(vectors, named.where("vector IS NOT NULL"), threshold=threshold)
+    return rows.join(judged.withColumnRenamed("id", "_known"), F.col("_text") == F.col("_known")).drop("_text", "_known")
 
 
 def _plain(s: str) -> str:
@@ -171,7 +202,7 @@ def _plain(s: str) -> str:
     return " ".join("".join(ch if ch.isalnum() or ch in "_ " else " " for ch in s.lower()).split())
 
 
-def _named(position: Column, values: Sequence[str]) -> Column:
+def _nth(position: Column, values: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), position)
 
 
@@ -183,7 +214,7 @@ def target_title(title: Column, targets: Sequence[str], gate: Column | None = No
     norm = T.match_title(title)
     norm = norm if gate is None else F.when(gate, norm)
     same = F.coalesce(*[F.when(norm.isin(*{_plain(w) for w in (t, *fixed.TITLE_SYNONYMS.get(t, ()))}), F.lit(k)) for k, t in enumerate(targets)])
-    return _named(F.least(same, first_alike(norm, [_plain(t) for t in targets], 80)), targets)
+    return _nth(F.least(same, first_alike(norm, [_plain(t) for t in targets], 80)), targets)
 
 
 def contextual_match(description: Column, words: Sequence[str], gate: Column | None = None) -> Column:
@@ -191,7 +222,7 @@ def contextual_match(description: Column, words: Sequence[str], gate: Column | N
     sentences = F.filter(F.transform(F.split(F.lower(T.text(description)), r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: (s != "") & T.has_part(s, fixed.CONTEXT_TERMS))
     joined = F.nullif(F.array_join(sentences, "\n"), F.lit(""))
     words = [w for w in words if w.strip()]
-    return _named(first_alike(joined if gate is None else F.when(gate, joined), [w.lower().strip() for w in words], 85, partial), words)
+    return _nth(first_alike(joined if gate is None else F.when(gate, joined), [w.lower().strip() for w in words], 85, lambda a, b: partial(a, b, 85)), words)
 
 
 def inclusion(title: Column, description: Column, words: Sequence[str], fuzzy_threshold: int = 70, gate: Column | None = None) -> Column:
@@ -206,7 +237,7 @@ def inclusion(title: Column, description: Column, words: Sequence[str], fuzzy_th
     both = F.lower(F.concat_ws(" ", T.text(title), T.text(description)))
     plain = ((T.first_word(title, words), "title match"), (T.first_word(description, words), "description match"), (title_hint(title), "title match"))
     waits = gate & F.coalesce(*[k for k, _ in plain]).isNull()
-    alike = _named(first_alike(F.when(waits, both), [w.lower() for w in words], max(70, fuzzy_threshold)), words)
+    alike = _nth(first_alike(F.when(waits, both), [w.lower() for w in words], max(70, fuzzy_threshold)), words)
     found = (*plain, (contextual_match(description, words, waits), "description match"), (alike, "description match"))
     return F.when(gate, F.coalesce(*[F.when(k.isNotNull(), F.struct(k.alias("keyword"), F.lit(s).alias("source"))) for k, s in found]))
 

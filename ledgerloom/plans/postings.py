@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import fixed, scores as S, text as T, urls as U
-from ledgerloom.operators import dedup, matching as M, planning
+from ledgerloom.functions import embed, fixed, scores as S, text as T, urls as U
+from ledgerloom.operators import alike, dedup, matching as M, planning
 from ledgerloom.plans.pages import canonical_sql, table
 
 C = F.col
@@ -150,6 +150,34 @@ def semantic_gate(spark, sf_dir):
     return out.select("id", F.round("best", 4).alias("best"), (F.round("best", 4) >= 0.65).alias("passes"))
 
 
+def semantic_text_gate(spark, sf_dir):
+    """Postings whose title and text are near a role, by counts of letter runs."""
+    rows = _posts(spark, sf_dir).select("id", "title", C("body").alias("description"))
+    roles = spark.createDataFrame([(r,) for r in fixed.ROLES], "role string")
+    return M.semantic_text_gate(rows, roles, embed.hashing_encoder, threshold=0.5).select("id", F.round("best", 6).alias("best"), (F.round("best", 6) >= 0.5).alias("passes"))
+
+
+def nearest_vectors(spark, sf_dir):
+    """For each vector with an even id, the nearest one with an odd id."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    odd = rows.where("vec_id % 2 = 1").select(C("vec_id").alias("target"), C("embedding").alias("vector"))
+    found = alike.nearest(rows.where("vec_id % 2 = 0").select(C("vec_id").alias("id"), C("embedding").alias("vector")), odd)
+    return found.select("id", F.round("best", 5).alias("best"))
+
+
+def _names(spark, sf_dir):
+    """Names of parts with a title, and the names of suppliers' parts with another and without a letter."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    name = F.concat_ws(" ", pick(TITLES, "p_partkey"), "p_name")
+    other = F.concat_ws(" ", "p_name", pick(TITLES, "p_partkey + 5"), F.lower("p_type"))
+    return parts.select(T.match_title(name).alias("name")), parts.select(F.regexp_replace(T.match_title(other), "[rn](?=[a-z]*$)", "").alias("name"))
+
+
+def titles_alike(spark, sf_dir):
+    """All pairs of a part's name and another's that are alike by 80."""
+    return alike.alike(*_names(spark, sf_dir))
+
+
 def query_plan(spark, sf_dir):
     nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name").select(C("n_name").alias("value"), C("n_nationkey").alias("pos"))
     region = table(spark, sf_dir, "region", "r_regionkey", "r_name").select(C("r_name").alias("value"), C("r_regionkey").alias("pos"))
@@ -287,6 +315,15 @@ QUERIES = {
     "semantic_gate": (semantic_gate, """
         WITH r AS (SELECT arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
         s AS (SELECT vec_id AS id, round(max(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[])), 4) AS best FROM embeddings, r GROUP BY vec_id) SELECT id, best, best >= 0.65 AS passes FROM s"""),
+    "semantic_text_gate": (semantic_text_gate, f"""WITH {POSTS}, r AS (SELECT unnest([{', '.join(f"'{r}'" for r in fixed.ROLES)}]) AS x),
+        t AS (SELECT DISTINCT trim(title || ' ' || left(body, 250)) AS x FROM posts), a AS (SELECT x FROM t UNION SELECT x FROM r),
+        g AS (SELECT x, CAST('0x' || left(md5(g), 6) AS BIGINT) % 512 AS k, count(*)::DOUBLE AS n FROM (SELECT x, substr(lower(x), CAST(unnest(range(1, length(x) - 1)) AS BIGINT), 3) AS g FROM a) GROUP BY ALL),
+        l AS (SELECT x, sqrt(sum(n * n)) AS l FROM g GROUP BY x), d AS (SELECT t.x, r.x AS y, sum(a.n * b.n) AS s FROM t JOIN g AS a USING (x) JOIN g AS b USING (k) JOIN r ON b.x = r.x GROUP BY ALL),
+        m AS (SELECT d.x, max(s / a.l / b.l) AS best FROM d JOIN l AS a ON a.x = d.x JOIN l AS b ON b.x = d.y GROUP BY d.x)
+        SELECT id, round(CASE WHEN l.x IS NULL THEN -1 ELSE coalesce(best, 0) END, 6) AS best, round(CASE WHEN l.x IS NULL THEN -1 ELSE coalesce(best, 0) END, 6) >= 0.5 AS passes
+        FROM posts LEFT JOIN m ON m.x = trim(title || ' ' || left(body, 250)) LEFT JOIN l ON l.x = trim(title || ' ' || left(body, 250))"""),
+    "nearest_vectors": (nearest_vectors, """SELECT a.vec_id AS id, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS best FROM embeddings AS a JOIN embeddings AS b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY a.vec_id"""),
+    "titles_alike": (titles_alike, None),
     "query_plan": (query_plan, """
         WITH a AS (SELECT s_name || ' careers jobs' AS query, '' AS location, 'COMPANY' AS source, s_name AS company, 0 AS p, s_suppkey AS x, 0 AS y FROM supplier ORDER BY s_suppkey LIMIT 4),
         b AS (SELECT n_name AS query, r_name AS location, 'SEARCH' AS source, '' AS company, 1 AS p, n_nationkey AS x, r_regionkey AS y FROM nation, region), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)

@@ -236,3 +236,48 @@ def test_meta_description(spark):
     df = page_frame(spark, *[x for x, _ in cases])
     got = {r.url: r.meta_description for r in P.descriptions(df).collect()}
     assert [got[r.url] for r in df.collect()] == [x for _, x in cases]
+
+
+@given(st.text(alphabet="abc ", max_size=9), st.text(alphabet="abc é", max_size=60), st.integers(0, 100))
+def test_partial_ratio_is_the_best_window(a, b, least):
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    want = max((100 if short == long[i : i + len(short)] else fuzzy.ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)), default=0) if short else 0
+    assert fuzzy.partial(a, b) == want
+    got = fuzzy.partial(a, b, least)
+    assert got == want if want >= least else got < least
+
+
+def test_partial_ratio_of_long_texts_is_linear():
+    import random
+    import time
+
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    short, long = text(20_000), text(200_000)
+    times = []
+    for t in (short, long):
+        began = time.perf_counter()
+        assert fuzzy.partial("entry level role", t, 95) < 95
+        times.append(time.perf_counter() - began)
+    assert times[1] < 30 * times[0] + 0.5
+
+
+def test_an_encoder_that_fails_leaves_rows_open(spark):
+    from ledgerloom.functions import embed
+
+    def broken():
+        raise OSError("no model")
+
+    def fussy():
+        def encode(texts):
+            raise ValueError("no texts")
+
+        return encode
+
+    df = spark.createDataFrame([(1, "Data Engineer", "python"), (2, None, None)], "id int, title string, description string")
+    roles = spark.createDataFrame([("Data Engineer",)], "role string")
+    for make in (broken, fussy):
+        assert {(r.id, r.best, r.passes) for r in M.semantic_text_gate(df, roles, make).collect()} == {(1, None, True), (2, None, True)}
+    got = {r.id: (round(r.best, 3), r.passes) for r in M.semantic_text_gate(df, roles, embed.hashing_encoder).collect()}
+    assert got[1][1] and got[2] == (-1.0, False)
+    assert {r.passes for r in M.semantic_text_gate(df, roles.limit(0), embed.hashing_encoder).collect()} == {True}

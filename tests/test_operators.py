@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import SF
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import changes, dedup, lifecycle, matching, pages, planning, reports
+from ledgerloom.functions import fuzzy
+from ledgerloom.operators import alike, changes, dedup, lifecycle, matching, pages, planning, reports
 from ledgerloom.plans import pages as plans, runs
 from ledgerloom.sources import commits, lines, tables
 from ledgerloom.streaming import cycle, sites
@@ -324,3 +326,54 @@ def test_landed_answers_with_nulls_and_without_rows(spark):
     updates = spark.createDataFrame([(3, " /PAUSE "), (2, None), (1, "/resume"), (4, "/stop")], "update_id int, text string")
     assert [tuple(r) for r in landed.poll(updates, 1).collect()] == [(2, None), (3, "/pause"), (4, None)]
     assert landed.next_row(updates.where("false")).first()[0] == 2
+
+
+WORDS = ("data", "engineer", "senior", "software", "ai", "ml", "ops", "of", "x", "analyst", "analysts", "developer", "developper", "enginer", "dev", "é", "qa")
+
+
+def title(rng):
+    words = [rng.choice(WORDS) for _ in range(rng.choice([1, 1, 2, 3, 4, 6]))]
+    k = rng.randrange(len(words))
+    if rng.random() < 0.4 and len(words[k]) > 2:
+        i = rng.randrange(len(words[k]))
+        words[k] = words[k][:i] + rng.choice(["", "z", "e"]) + words[k][i + rng.randrange(2) :]
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("least", [80, 95, 50, 100, 1])
+def test_fuzzy_join_finds_all_pairs(spark, least):
+    rng = random.Random(least)
+    one, two = ([*(title(rng) for _ in range(260)), None, "", "  "] for _ in range(2))
+    want = {(a, b, r) for a in {x for x in one if x and x.strip()} for b in {x for x in two if x and x.strip()} if (r := fuzzy.token_set(a, b)) >= least}
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "name string")
+    got = [tuple(r) for r in alike.alike(frame(one), frame(two), least=least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_fuzzy_keys_of_many_texts_hold_their_bounds():
+    rng = random.Random(9)
+    for share in (0.495, 0.795, 0.945):
+        for _ in range(4000):
+            a, b = title(rng), title(rng)
+            if fuzzy.token_set(a, b) >= 100 * share + 0.5:
+                keys = [{(k, key): (w, need) for k, key, w, need in alike.text_keys(x, share)} for x in (a, b)]
+                def reached(own, other, kinds):
+                    return any(sum(w for (k, key), (w, _) in own.items() if k == kind and (k, key) in other) >= need for kind in kinds if (need := next((n for (k, _), (_, n) in own.items() if k == kind), 0)) > 0)
+                assert reached(keys[0], keys[1], "tgl") or reached(keys[1], keys[0], "t"), (a, b)
+
+
+@pytest.mark.parametrize(("rows", "blocks"), [(16, 3), (512, 64)])
+def test_nearest_vectors_are_the_plain_maximum(spark, rows, blocks):
+    rng = np.random.default_rng(rows)
+    centres = rng.normal(size=(12, 8))
+    make = lambda n: centres[rng.integers(12, size=n)] + rng.normal(0, 0.2, (n, 8))
+    x, y = make(300), make(700)
+    y[40] = y[7]
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [1.0, 2.0]), (1004, [1.0, None]), (1005, [float("nan")] * 8)]
+    frame = lambda v, name, more: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + more, f"{name} long, vector array<double>")
+    got = {r.id: (r.target, r.best) for r in alike.nearest(frame(x, "id", odd), frame(y, "target", [*odd[:3], *odd[4:]]), block_rows=rows, blocks=blocks).collect()}
+    cosines = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+    for i in range(300):
+        assert got[i][1] == pytest.approx(cosines[i].max(), abs=1e-9) and cosines[i, got[i][0]] == pytest.approx(cosines[i].max(), abs=1e-9) and got[i][0] != 40
+    assert {i: got[i] for i, _ in odd} == {i: (None, -1.0) for i, _ in odd}
+    assert len(got) == 306
