@@ -137,16 +137,15 @@ def search_answers(spark, sf_dir):
 
 
 def _lines(spark, sf_dir, value, *columns):
-    """A text file of one line a page, with comments, blanks and dots between."""
+    """Text files of one line a page, in the order of their names, with comments, blanks and dots between."""
     rows = table(spark, sf_dir, "pages", "page_id", *columns).select("page_id", value.alias("v"))
     path = new_path(spark, "lines")
-    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "v"))), lambda x: F.array(F.concat(F.lit("  "), x["v"]), F.lit("# note"), F.lit(""), F.lit(".")))), "\n")
-    rows.agg(text.alias("value")).coalesce(1).write.text(path)
+    rows.orderBy("page_id").select(F.explode(F.array(F.concat(F.lit("  "), "v"), F.lit("# note"), F.lit(""), F.lit("."))).alias("value")).write.text(path)
     return path
 
 
 def url_lines(spark, sf_dir):
-    return S.url_list(spark, _lines(spark, sf_dir, C("url"), "url"))
+    return S.url_list(spark, _lines(spark, sf_dir, C("url"), "url")).withColumn("pos", C("pos").cast("int"))
 
 
 def title_lines(spark, sf_dir):

@@ -16,6 +16,11 @@ def text(*parts):
     return F.concat(*[L(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _dealt(spark, pages):
+    """Pages over all cores: their rows are small until they are built, and costly to parse."""
+    return pages.repartition(spark.sparkContext.defaultParallelism)
+
+
 def _site(spark, sf_dir):
     """Pages of four postings, each standing there twice, below a menu and with JSON-LD."""
     title = F.replace(F.replace(C("title"), L("&"), L("&amp;")), L("<"), L("&lt;"))
@@ -26,7 +31,8 @@ def _site(spark, sf_dir):
     items = rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), "").alias("items"))
     menu = '<html><head><title>Careers</title></head><body><nav class="nav"><div class="job-card"><h2 class="job-title">Lead Engineer</h2><a href="/jobs/menu">x</a></div></nav><ul>'
     graph = text('</ul><script type="application/ld+json">{"@graph": [{"@type": "Person", "title": "QA Lead"}, {"@type": ["JobPosting"], "title": "QA  Analyst ', C("k"), '", "url": "/jobs/ld', C("k"), '"}]}</script></body></html>')
-    return items.select(text("https://careers.acme", C("k"), ".com/list").alias("url"), text(menu, C("items"), C("items"), graph).alias("html"))
+    pages = items.select(text("https://careers.acme", C("k"), ".com/list").alias("url"), text(menu, C("items"), C("items"), graph).alias("html"))
+    return _dealt(spark, pages)
 
 
 def postings_from_html(spark, sf_dir):
@@ -53,7 +59,7 @@ def openings_without_boxes(spark, sf_dir):
 
 def posting_details(spark, sf_dir):
     """Details of pages with a description in JSON-LD, in a block, or none."""
-    rows = _posts(spark, sf_dir)
+    rows = _dealt(spark, _posts(spark, sf_dir))
     ld = F.when(C("id") % 3 == 0, text('<script type="application/ld+json">{"@type": "JobPosting", "description": "<p>', F.repeat(text(C("body"), " "), L(4)), 'Apply now</p>"}</script>')).otherwise("")
     html = text('<html><head><meta name="Description" content=" ', C("title"), ' "></head><body>', ld, '<div class="description">', F.repeat(text(C("body"), " "), L(5)), '</div><time datetime="2024-01-0', C("id") % 9 + 1, ' 10:00">x</time></body></html>')
     return P.descriptions(rows.select("id", html.alias("html")), key="id", most=150)
@@ -71,7 +77,7 @@ def pagination_links(spark, sf_dir):
 
 def search_results(spark, sf_dir):
     """Pages of three search engines, each with a result that repeats, one without a title and one that is no web address."""
-    rows = _posts(spark, sf_dir)
+    rows = _dealt(spark, _posts(spark, sf_dir))
     i, title, body = C("id"), C("title"), C("body")
     duck = text('<div class="result"><h2 class="result__title"><a class="result__a" href="https://duckduckgo.com/l/?uddg=https%3A%2F%2Fd', i, '.com%2Fjobs%23x">', title, '</a></h2><a class="result__snippet">', body, '</a></div>')
     bing = text('<li class="b_algo"><h2><a href="https://b', i, '.com/career">', title, '</a></h2><div class="b_caption"><p>', body, "</p></div></li>")

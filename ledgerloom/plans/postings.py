@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import embed, fixed, scores as S, text as T, urls as U
+from ledgerloom.functions import embed, fixed, html as H, scores as S, text as T, urls as U
 from ledgerloom.operators import alike, dedup, matching as M, planning
 from ledgerloom.plans.pages import canonical_sql, table
 
@@ -165,17 +165,10 @@ def nearest_vectors(spark, sf_dir):
     return found.select("id", F.round("best", 5).alias("best"))
 
 
-def _names(spark, sf_dir):
-    """Names of parts with a title, and the names of suppliers' parts with another and without a letter."""
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
-    name = F.concat_ws(" ", pick(TITLES, "p_partkey"), "p_name")
-    other = F.concat_ws(" ", "p_name", pick(TITLES, "p_partkey + 5"), F.lower("p_type"))
-    return parts.select(T.match_title(name).alias("name")), parts.select(F.regexp_replace(T.match_title(other), "[rn](?=[a-z]*$)", "").alias("name"))
-
-
 def titles_alike(spark, sf_dir):
-    """All pairs of a part's name and another's that are alike by 80."""
-    return alike.alike(*_names(spark, sf_dir))
+    """All pairs of titles, of a page with an even id and one with an odd id, that are alike by 60."""
+    pages = table(spark, sf_dir, "pages", "page_id", "html").select("page_id", T.match_title(H.page_title(C("html"))).alias("title"))
+    return alike.alike(pages.where("page_id % 2 = 0").select("title"), pages.where("page_id % 2 = 1").select("title"), least=60)
 
 
 def query_plan(spark, sf_dir):

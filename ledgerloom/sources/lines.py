@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.functions import urls as U
+from ledgerloom.store import stash
 
 POSTING_SCHEMA = "job_id string, job_title string, job_description string, job_posted_at_datetime_utc string, job_apply_link string, employer_name string, job_city string, job_country string, job_employment_type string"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and pos of a text file's lines, trimmed; empty lines, single dots and lines with # in front are left out.
+    """value and pos of the lines of a text file, or of all files of a folder, trimmed; empty lines, single dots and lines with # in front are left out.
 
-    pos orders the lines of one file; such lists are small by nature.
+    pos is a line's number, from 0, over all files in the order of their paths. Files are read in splits by many tasks: a first pass
+    numbers the lines of each split, and the sums of the splits before it, one row a split, are added.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    read = spark.read.text(path, lineSep="\n").select("_metadata.file_path", "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("at"))
+    read = stash(read, "lines")
+    splits = read.groupBy("file_path", "file_block_start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = splits.select(F.col("file_path").alias("_path"), F.col("file_block_start").alias("_start"), (before - F.col("first")).alias("_add"))
+    near = (F.col("file_path") == F.col("_path")) & (F.col("file_block_start") == F.col("_start"))
+    rows = read.join(numbered, near).select((F.col("at") + F.col("_add")).alias("pos"), F.regexp_replace("value", "\r$", "").alias("value"))
     value = F.trim("value")
     return rows.select("pos", value.alias("value")).where((F.col("value") != "") & (F.col("value") != ".") & ~F.col("value").startswith("#"))
 

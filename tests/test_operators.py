@@ -9,7 +9,7 @@ from helpers import SF
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fuzzy
-from ledgerloom.operators import alike, changes, dedup, lifecycle, matching, pages, planning, reports
+from ledgerloom.operators import alike, changes, dedup, lifecycle, matching, pages, planning, reports, running
 from ledgerloom.plans import pages as plans, runs
 from ledgerloom.sources import commits, lines, tables
 from ledgerloom.streaming import cycle, sites
@@ -192,6 +192,35 @@ def test_line_lists(spark, tmp_path):
     assert [r.value for r in lines.titles(spark, str(path)).where("value LIKE '%ngineer'").collect()] == ["AI Engineer"]
 
 
+def test_lines_of_many_splits_and_files_are_numbered_through(spark, tmp_path):
+    rng, want = random.Random(3), []
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        rows = [rng.choice(["", ".", "# x", f" {k}-{i} ", f"{k}-{i}" + "y" * rng.randrange(200)]) for i in range(20_000 if k else 30)]
+        (tmp_path / "in" / f"part-{k}.txt").write_text("\r\n".join(rows) if k == 1 else "\n".join(rows) + "\n")
+        want += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        got = lines.lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.pos, r.value) for r in got) == [(i, v.strip(" ")) for i, v in enumerate(want) if v.strip(" ") not in ("", ".") and not v.strip(" ").startswith("#")]
+    assert lines.lines(spark, str(tmp_path / "in" / "part-0.txt")).count() < 30
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_running_totals_over_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.randrange(50), i, rng.randrange(-3, 9)) for i in range(900)]
+    total, want = 0, {}
+    for a, i, v in sorted(rows):
+        want[i], total = total, total + v
+    got = running.running_total(spark.createDataFrame(rows, "a int, i int, v int"), "v", ["a", "i"], ranges=ranges)
+    assert {r.i: r.before for r in got.collect()} == want
+    assert running.running_total(got.drop("before").limit(0), "v", ["a"]).count() == 0
+
+
 def test_tables_round_trip(spark, tmp_path):
     path = str(tmp_path / "t")
     df = lambda *rows: spark.createDataFrame(rows, "pos int, token string")
@@ -356,7 +385,7 @@ def test_fuzzy_keys_of_many_texts_hold_their_bounds():
         for _ in range(4000):
             a, b = title(rng), title(rng)
             if fuzzy.token_set(a, b) >= 100 * share + 0.5:
-                keys = [{(k, key): (w, need) for k, key, w, need in alike.text_keys(x, share)} for x in (a, b)]
+                keys = [{(k, key): (w, need) for k, key, w, need, _ in alike.text_keys(x, share)} for x in (a, b)]
                 def reached(own, other, kinds):
                     return any(sum(w for (k, key), (w, _) in own.items() if k == kind and (k, key) in other) >= need for kind in kinds if (need := next((n for (k, _), (_, n) in own.items() if k == kind), 0)) > 0)
                 assert reached(keys[0], keys[1], "tgl") or reached(keys[1], keys[0], "t"), (a, b)
