@@ -22,6 +22,17 @@ def attempted(calls: DataFrame, *, within: str, order: str, outcome: str = "outc
     return rows.withColumn("_ended", F.coalesce(F.max(ends).over(before), F.lit(False))).where(~F.col("_ended")).select(*calls.columns)
 
 
+def searched(results: DataFrame, *, within: str, order: str, found: str, batch: int = 5, most_empty: int = 5) -> DataFrame:
+    """The results that a search in batches gets to: of each run, in order, all batches up to the first at whose end
+    `most_empty` results or more in a row were empty (found is null, which is a failure, or 0). `results` gets the column batch, from 0."""
+    group = Window.partitionBy(within).orderBy(order)
+    rows = results.withColumn("_k", F.row_number().over(group))
+    rows = rows.withColumn("_last", F.coalesce(F.max(F.when(F.coalesce(F.col(found), F.lit(0)) > 0, F.col("_k"))).over(group), F.lit(0)))
+    ends = (F.col("_k") % batch == 0) & (F.col("_k") - F.col("_last") >= max(1, most_empty))
+    rows = rows.withColumn("_over", F.coalesce(F.max(ends).over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    return rows.where(~F.col("_over")).select(*results.columns, F.expr(f"cast((_k - 1) div {batch} as int)").alias("batch"))
+
+
 def blocked(failures: DataFrame, now, *, provider: str = "provider", at: str = "at", cooldown_seconds: int = 900) -> DataFrame:
     """Per provider until when its last failure blocks it, and whether it does now."""
     until = F.max(at) + F.make_dt_interval(secs=F.lit(cooldown_seconds))

@@ -96,7 +96,7 @@ def activity(status: DataFrame, at, *, url: str = "url") -> DataFrame:
     """One audit row for every page of a cycle, whatever became of it: url, domain, status, change_type, total and new openings, at."""
     changed = F.col("status").isin("new_url_tracked", "content_changed")
     return status.select(
-        F.lit(at).cast("timestamp").alias("at"), url, U.domain(F.col(url)).alias("domain"), "status",
+        (at if isinstance(at, Column) else F.lit(at)).cast("timestamp").alias("at"), url, U.domain(F.col(url)).alias("domain"), "status",
         F.when(F.col("status") == "error", "error").when(changed, "change").otherwise("none").alias("change_type"),
         F.col("openings").alias("total_openings"), F.when(changed, F.col("fresh")).otherwise(0).alias("new_openings_count"),
     )

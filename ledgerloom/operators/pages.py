@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.functions import fixed, html as H, text as T, urls as U
+from ledgerloom.functions import fixed, html as H, jsonld, text as T, urls as U
 from ledgerloom.functions.columns import whole_row
 from ledgerloom.operators import matching as M
 from ledgerloom.store import stash
@@ -73,13 +75,24 @@ def postings(pages: DataFrame, *, url: str = "url", html: str = "html", most: in
     return _numbered(rows, url, F.concat_ws("|", F.lower("title"), "link"), most)
 
 
-def openings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
-    """url, title and link of every page's postings: those of the markup first, then JSON-LD's, the first of each, `most` a page."""
+def openings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50, normalise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """url, title and link of every page's postings: those of the markup first, then JSON-LD's, the first of each, `most` a page.
+
+    normalise may change or drop the rows (url, pos, title and link) before the first of each are taken.
+    """
     found, page = H.facts(pages, "head", "postings", "ld", html=html, keep=(url,)), F.col(url)
     marked = F.when(~M.non_job_page(page, F.col("head")), F.transform(F.transform("postings", lambda p: _named(p, page)), lambda x: F.struct(x["title"], x["link"])))
     stated = F.transform("ld", lambda x: F.struct(T.squeezed(x["title"]).alias("title"), F.when(x["link"] != "", U.resolved(page, x["link"])).alias("link")))
     rows = found.select(url, F.posexplode(F.concat(F.coalesce(marked, F.slice(stated, 1, 0)), stated)).alias("pos", "x")).select(url, "pos", "x.*")
     rows = rows.where(F.col("link").isNotNull() & M.valid_posting(F.col("title"), F.col("link"), F.col("link"), page))
+    rows = rows if normalise is None else normalise(rows)
+    return _numbered(rows, url, F.concat_ws("|", F.lower("title"), F.lower("link")), most).drop("n")
+
+
+def stated_openings(pages: DataFrame, *, url: str = "url", html: str = "html", most: int = 50) -> DataFrame:
+    """url, title and link of the valid postings in a page's JSON-LD, the first of each, `most` a page; all in the JVM."""
+    rows = pages.select(url, F.posexplode(jsonld.postings(F.col(html))).alias("pos", "x")).select(url, "pos", "x.title", F.when(F.col("x.link") != "", U.resolved(F.col(url), F.col("x.link"))).alias("link"))
+    rows = rows.where(F.col("link").isNotNull() & M.valid_posting(F.col("title"), F.col("link"), F.col("link"), F.col(url)))
     return _numbered(rows, url, F.concat_ws("|", F.lower("title"), F.lower("link")), most).drop("n")
 
 
@@ -158,6 +171,19 @@ def crawl_sites(seeds: DataFrame, edges: DataFrame, *, max_pages: int = 8) -> Da
     return seen.drop("token")
 
 
+def crawl_with_redirects(seeds: DataFrame, edges: DataFrame, outcomes: DataFrame, *, max_pages: int = 8) -> DataFrame:
+    """crawl_sites where pages can fail: seed, n, url, depth, ok and final_url of every page that was tried.
+
+    outcomes has url, ok and final_url of the pages. A page that failed is tried, counts, and leads to the address where it ended, if that
+    is known and hasn't been tried, and nowhere else; pages without an outcome didn't fail and end where they begin.
+    """
+    failed = outcomes.where(~F.col("ok")).groupBy("url").agg(F.min(F.trim("final_url")).alias("link"))
+    led = edges.join(failed.select("url"), "url", "left_anti").select("url", "pos", "link").unionByName(failed.where("link <> ''").select("url", F.lit(0).alias("pos"), "link"))
+    known = outcomes.groupBy(F.col("url").alias("_url")).agg(F.bool_and("ok").alias("_ok"), F.min(F.nullif(F.trim("final_url"), F.lit(""))).alias("_final"))
+    tried = crawl_sites(seeds, led, max_pages=max_pages).join(known, F.col("url") == F.col("_url"), "left")
+    return tried.select("seed", "n", "url", "depth", F.coalesce("_ok", F.lit(True)).alias("ok"), F.coalesce("_final", "url").alias("final_url"))
+
+
 def first_success(results: DataFrame, *, key: str = "url", priority: str = "priority", ok: str = "ok") -> DataFrame:
     """Per key the first successful result in order of priority, with the errors of the strategies before it; else all errors."""
     row = whole_row(results, (key,))

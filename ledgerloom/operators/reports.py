@@ -96,6 +96,24 @@ def content_digest(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
+def site_digests(sites: DataFrame, pages: DataFrame, openings: DataFrame, *, site: str = "site") -> DataFrame:
+    """site and digest: SHA-256 of one JSON text of what a crawl of the site found, keys in order.
+
+    sites has the site, resolved_url and page_title; pages the site, n and url of its pages; openings the site, n, title and link.
+    Both lists are bounded by the crawl (pages and openings a site) and enter in the order n; a site without any has empty lists.
+    """
+    rows = lambda df, value: df.groupBy(F.col(site).alias("_site")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", value.alias("x")))), lambda r: r["x"]).alias("_rows"))
+    seen = rows(pages, F.col("url")).withColumnRenamed("_rows", "_pages")
+    found = rows(openings, F.struct("link", "title"))
+    both = sites.join(seen, F.col(site) == F.col("_site"), "left").drop("_site").join(found, F.col(site) == F.col("_site"), "left")
+    none = lambda c, like: F.coalesce(c, F.array().cast(like))
+    told = F.struct(
+        none(F.col("_rows"), found.schema["_rows"].dataType).alias("openings"), F.coalesce("page_title", F.lit("")).alias("page_title"),
+        none(F.col("_pages"), seen.schema["_pages"].dataType).alias("pages_visited"), F.coalesce("resolved_url", F.lit("")).alias("resolved_url"),
+    )
+    return both.select(site, F.sha2(F.to_json(told, {"ignoreNullFields": "false"}), 256).alias("digest"))
+
+
 def mark(df: DataFrame, key: str, value: str, status: str, note: str, *, status_col: str = "status", notes_col: str = "notes", order: str = "pos") -> DataFrame:
     """Sets status, and notes unless the note is empty, of the first row whose key has the value."""
     first = df.where(F.col(key) == value).agg(F.min(order).alias("_first"))  # one row

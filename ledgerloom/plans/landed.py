@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed
+from ledgerloom.operators import guards
 from ledgerloom.plans.pages import table
 from ledgerloom.plans.postings import pick, pick_sql
 from ledgerloom.sources import landed
@@ -23,6 +24,32 @@ def fetch_outcomes(spark, sf_dir):
     return landed.fetch_outcomes(tries.withColumn("status", status), cache, body="html")
 
 
+def _answers(pages, number: int):
+    """What the pages answer in a round: a body that changes with the round on some, its tag on most, 304 on pages whose tag is known."""
+    changed = C("url") % 5 < number
+    body = F.concat(C("html"), F.when(changed, F.lit(str(number))).otherwise(""))
+    return pages.select(
+        "url", F.lit(0).alias("attempt"), F.when((C("url") % 3 == 0) & (C("url") % 5 >= number) & F.lit(number > 1), 304).when(C("url") % 11 == number, 500).otherwise(200).alias("status"), body.alias("body"),
+        F.when(C("url") % 4 != 0, F.concat(F.lit(" t"), F.lit(number))).alias("etag"), F.when(C("url") % 2 == 0, F.lit(f"2024-01-0{number}")).otherwise("").alias("last_modified"),
+    )
+
+
+def conditional_fetches(spark, sf_dir):
+    """The headers of a third round of fetches, after two rounds of answers."""
+    pages = table(spark, sf_dir, "pages", "page_id", "html").withColumnRenamed("page_id", "url")
+    cache = spark.createDataFrame([], "url bigint, etag string, last_modified string, body_hash string")
+    for number in (1, 2):
+        cache = landed.next_cache(_answers(pages, number), cache)
+    return landed.conditional_requests(pages, cache)
+
+
+def companies_searched(spark, sf_dir):
+    """How far each customer's search over its orders gets."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    rows = rows.withColumn("found", F.when(C("o_orderpriority") == "1-URGENT", 2).when(C("o_orderpriority") != "2-HIGH", 0))
+    return guards.searched(rows, within="o_custkey", order="o_orderkey", found="found", batch=3, most_empty=3).select("o_orderkey", "o_custkey", "batch")
+
+
 def probe_endpoints(spark, sf_dir):
     return landed.probe_endpoints(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "n", "path", "endpoint")
 
@@ -55,6 +82,13 @@ QUERIES = {
         f AS (SELECT page_id, min(i) AS attempt, arg_min(s, i) AS s FROM a WHERE s < 400 GROUP BY 1)
         SELECT p.page_id AS url, attempt, CASE WHEN s IS NULL THEN 'failed' WHEN s = 304 THEN 'cached_304' WHEN p.page_id % 4 = 0 THEN 'cached_hash' ELSE 'fetched' END AS outcome,
             CASE WHEN s = 200 THEN sha256(coalesce(html, '')) END AS body_hash FROM pages p LEFT JOIN f ON f.page_id = p.page_id"""),
+    "conditional_fetches": (conditional_fetches, """WITH a AS (SELECT page_id AS url, n, page_id % 11 <> n AND NOT (page_id % 3 = 0 AND page_id % 5 >= n AND n > 1) AS ok, page_id % 5 < n AS changed FROM pages, (SELECT unnest([1, 2]) AS n)),
+        f AS (SELECT url, max(n) AS n FROM a WHERE ok AND (n = 1 OR changed OR url % 11 = 1) GROUP BY url)
+        SELECT page_id AS url, CASE WHEN page_id % 4 <> 0 THEN 't' || n END AS if_none_match, CASE WHEN page_id % 2 = 0 THEN '2024-01-0' || n END AS if_modified_since FROM pages LEFT JOIN f ON f.url = page_id"""),
+    "companies_searched": (companies_searched, """WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+        l AS (SELECT *, k - coalesce(max(CASE WHEN o_orderpriority = '1-URGENT' THEN k END) OVER (PARTITION BY o_custkey ORDER BY k), 0) AS empty FROM k),
+        e AS (SELECT o_custkey, min(k) AS last FROM l WHERE k % 3 = 0 AND empty >= 3 GROUP BY 1)
+        SELECT o_orderkey, l.o_custkey, CAST((k - 1) // 3 AS INTEGER) AS batch FROM l LEFT JOIN e USING (o_custkey) WHERE last IS NULL OR k <= last"""),
     "probe_endpoints": (probe_endpoints, f"""SELECT page_id, CAST(i AS INTEGER) AS n, {_PATHS}[i + 1] AS path, lower({_SITE.format(1)}) || '://' || {_SITE.format(2)} || {_PATHS}[i + 1] AS endpoint
         FROM pages, range({len(fixed.PROBE_PATHS)}) t(i) WHERE {_SITE.format(2)} <> ''"""),
     "probe_hits": (probe_hits, f"""WITH h AS (SELECT page_id, page_id % 10 + 1 - page_id % 2 AS k FROM pages WHERE {_SITE.format(2)} <> '')

@@ -11,6 +11,7 @@ from ledgerloom.plans.pages import _STRIP, canonical_sql, domain_sql, part, tabl
 from ledgerloom.plans.postings import POSTS, SQUEEZE, _posts, has_part_sql, pick, pick_sql
 from ledgerloom.sources import commits, lines as S, tables
 from ledgerloom.store import new_path
+from ledgerloom.streaming import cycle
 
 C = F.col
 LINKS = ("https://e.com/jobs/1", "/about", "mailto:jobs@e.com", "#jobs", "https://lever.co/x", "https://e.com/news/2")
@@ -202,6 +203,27 @@ def content_digests(spark, sf_dir):
     return table(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", reports.content_digest("c_name", "c_custkey").alias("digest"))
 
 
+def site_digests(spark, sf_dir):
+    """Digests of customers' pages (their orders) and openings (lines of some of these)."""
+    sites = table(spark, sf_dir, "customer", "c_custkey", "c_name").select(C("c_custkey").alias("site"), F.concat(F.lit("https://c"), "c_custkey").alias("resolved_url"), F.when(C("c_custkey") % 3 != 0, C("c_name")).alias("page_title"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").select(C("o_custkey").alias("site"), C("o_orderkey").alias("n"), F.concat(F.lit("/o"), "o_orderkey").alias("url"), C("o_orderpriority").alias("title"))
+    pages = dedup.capped(orders, 8, ["n"], ["site"])
+    return reports.site_digests(sites, pages.select("site", "n", "url"), pages.where("n % 2 = 0").select("site", "n", "title", C("url").alias("link")))
+
+
+def monitor_cycles(spark, sf_dir):
+    """Three cycles of the page monitor over users' events, the second one twice: audit rows and the state that is left."""
+    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    base = new_path(spark, "monitor")
+    for number, (start, end) in zip((1, 2, 2, 3), (("2024-01-01", "2024-01-03"), ("2024-01-03", "2024-01-06"), ("2024-01-01", "2024-01-20"), ("2024-01-06", "2024-01-09")), strict=True):
+        own = rows.where((C("ts") >= start) & (C("ts") < end)).withColumn("mark", F.when(C("event_type") != "view", F.concat_ws("-", "event_type", C("user_id") % 2 * (C("event_id") % 3))))
+        own = own.groupBy("user_id").agg(F.countDistinct("event_type").cast("string").alias("digest"), F.collect_set("mark").alias("openings"))
+        cycle.run_monitor(own.select(F.concat(F.lit("https://u"), "user_id", F.lit(".com")).alias("url"), F.when(C("user_id") % 7 != number, C("digest")).alias("digest"), "openings", F.lit(end).cast("timestamp").alias("observed_at")), number, base)
+    audit = commits.read(spark, base, "audit").select("url", F.col("batch").cast("int").alias("cycle"), "status", "domain", "change_type", "total_openings", "new_openings_count")
+    state = commits.read(spark, base, "state").select("url", F.lit(0).alias("cycle"), F.concat(F.lit("state "), "digest").alias("status"), F.lit("").alias("domain"), F.lit("").alias("change_type"), F.size("seen").alias("total_openings"), F.lit(0).alias("new_openings_count"))
+    return audit.unionByName(state)
+
+
 def publish_tables(spark, sf_dir):
     """Two published runs, the second one twice, and what all tables hold then: each order is in one run or both, by its key."""
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -298,6 +320,21 @@ QUERIES = {
         SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'own' ELSE coalesce(a, '2024-01-01 00:00:00') END AS first_seen, coalesce(z, '2024-01-01 00:00:00') AS last_seen, '' AS closed_at, 'r1' AS run_id, 3 AS run_iteration FROM customer LEFT JOIN s ON o_custkey = c_custkey"""),
     "new_flags": (new_flags, "SELECT c_custkey, CASE WHEN c_acctbal < 1000 THEN 'NEW' ELSE 'ACTIVE' END AS status FROM customer"),
     "content_digests": (content_digests, """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS digest FROM customer"""),
+    "site_digests": (site_digests, """WITH p AS (SELECT o_custkey AS site, o_orderkey AS n, '/o' || o_orderkey AS url, o_orderpriority AS title FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 8),
+        a AS (SELECT site, string_agg('"' || url || '"', ',' ORDER BY n) AS x, string_agg('{"link":"' || url || '","title":"' || title || '"}', ',' ORDER BY n) FILTER (n % 2 = 0) AS y FROM p GROUP BY site)
+        SELECT c_custkey AS site, sha256('{"openings":[' || coalesce(y, '') || '],"page_title":"' || CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE '' END || '","pages_visited":[' || coalesce(x, '') || '],"resolved_url":"https://c' || c_custkey || '"}') AS digest
+        FROM customer LEFT JOIN a ON a.site = c_custkey"""),
+    "monitor_cycles": (monitor_cycles, """WITH e AS (SELECT user_id, CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 1 WHEN ts < TIMESTAMP '2024-01-06' THEN 2 ELSE 3 END AS cycle, event_type,
+            CASE WHEN event_type <> 'view' THEN event_type || '-' || (user_id % 2 * (event_id % 3)) END AS mark FROM events WHERE ts < TIMESTAMP '2024-01-09'),
+        p AS (SELECT user_id, cycle, count(DISTINCT event_type) AS digest, user_id % 7 = cycle AS failed, coalesce(list_distinct(list(mark) FILTER (mark IS NOT NULL)), []) AS found FROM e GROUP BY user_id, cycle),
+        h AS (SELECT *, last_value(CASE WHEN NOT failed THEN digest END IGNORE NULLS) OVER w AS last, flatten(coalesce(list(found) FILTER (NOT failed) OVER w, [])) AS seen FROM p
+            WINDOW w AS (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s AS (SELECT *, len(found) AS total, len(list_filter(found, lambda x: NOT list_contains(seen, x))) AS fresh FROM h),
+        j AS (SELECT *, CASE WHEN failed THEN 'error' WHEN digest = last THEN 'unchanged' WHEN total = 0 THEN 'ignored_no_jobs' WHEN last IS NULL THEN 'new_url_tracked' WHEN fresh = 0 THEN 'no_new_openings' ELSE 'content_changed' END AS status FROM s),
+        k AS (SELECT *, status IN ('new_url_tracked', 'content_changed') AS changed FROM j)
+        SELECT 'https://u' || user_id || '.com' AS url, cycle, status, 'u' || user_id || '.com' AS domain, CASE WHEN status = 'error' THEN 'error' WHEN changed THEN 'change' ELSE 'none' END AS change_type,
+            CAST(total AS INTEGER) AS total_openings, CAST(CASE WHEN changed THEN fresh ELSE 0 END AS INTEGER) AS new_openings_count FROM k
+        UNION ALL SELECT 'https://u' || user_id || '.com', 0, 'state ' || arg_max(digest, cycle), '', '', CAST(len(list_distinct(flatten(list(found)))) AS INTEGER), 0 FROM k WHERE NOT failed GROUP BY user_id"""),
     "publish_tables": (publish_tables, """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 11 <> 0 THEN o_custkey % 40 END AS company, o_orderpriority AS title FROM orders),
         r AS (SELECT batch, o.*, CASE batch WHEN 1 THEN k % 5 = 0 ELSE k % 7 = 0 END AS gone, k % 2 = batch - 1 AS new FROM o, (SELECT unnest([1, 2]) AS batch) WHERE k % 4 <> batch AND company % 4 <> batch),
         c AS (SELECT company, max(batch) AS last FROM r WHERE NOT gone GROUP BY company), d AS (SELECT k, max(batch) AS until FROM r WHERE gone GROUP BY k),

@@ -43,6 +43,20 @@ def openings_from_html(spark, sf_dir):
     return P.openings(_site(spark, sf_dir))
 
 
+def stated_openings(spark, sf_dir):
+    """JSON-LD of postings as a node, in a list, in a graph within a list, beside other kinds, and as broken text."""
+    title = F.replace(C("title"), L('"'), L("'"))
+    node = lambda link, kind='"JobPosting"': text('{"@type": ', kind, ', "title": "', title, '", ', link, "}")
+    blocks = (
+        text('<script type="application/ld+json">', node(text('"url": "/jobs/a', C("id"), '"')), "</script>"),
+        text("<SCRIPT async TYPE='x application/LD+JSON'>[[", node(text('"sameAs": " https://x', C("id"), '.com/jobs/b ", "url": ""'), '["Thing", " jobPosting "]'), '], {"@type": "JobPosting", "title": 7, "url": "/jobs/n"}]</SCRIPT>'),
+        text('<script type=application/ld+json>{"@graph": [{"@type": "Person", "title": "QA Lead"}, {"@graph": [', node(text('"url": "/jobs/c', C("id"), '"')), ", ", node(text('"url": "/jobs/c', C("id"), '"')), "]}]}</script>"),
+        text('<script type="application/ld+json">{not json', C("id"), '</script><script>{"@type": "JobPosting"}</script><script type="application/ld+json">', node('"url": "/jobs/d"'), "</script>"),
+    )
+    html = F.element_at(F.array(*blocks), (C("id") % 4 + 1).cast("int"))
+    return P.stated_openings(_posts(spark, sf_dir).select(text("https://careers.acme", C("id"), ".com/list").alias("url"), html.alias("html")))
+
+
 def openings_without_boxes(spark, sf_dir):
     """Pages without a known box: a title three or four elements below what holds its link, beside its link in a section, a link alone, and a title too far from its link."""
     title = F.replace(F.replace(C("title"), L("&"), L("&amp;")), L("<"), L("&lt;"))
@@ -107,6 +121,9 @@ QUERIES = {
         CASE WHEN trim(place) = '' THEN 'Onsite' ELSE {SQUEEZE.format('place')} END AS location, {_KIND} AS type, link, '2024-02-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') AS posted_date FROM f"""),
     "openings_from_html": (openings_from_html, f"""WITH {_FOUND} SELECT site || '/list' AS url, {SQUEEZE.format('title')} AS title, link FROM f
         UNION ALL SELECT DISTINCT site || '/list', 'QA Analyst ' || k, site || '/jobs/ld' || k FROM v"""),
+    "stated_openings": (stated_openings, f"""WITH {POSTS} SELECT 'https://careers.acme' || id || '.com/list' AS url, {SQUEEZE.format('title')} AS title,
+        CASE id % 4 WHEN 1 THEN 'https://x' || id || '.com/jobs/b' ELSE 'https://careers.acme' || id || '.com/jobs/' || CASE id % 4 WHEN 0 THEN 'a' || id WHEN 2 THEN 'c' || id ELSE 'd' END END AS link
+        FROM posts WHERE {_VALID} AND {_POSTING}"""),
     "openings_without_boxes": (openings_without_boxes, f"""WITH {POSTS} SELECT 'https://careers.acme' || id || '.com/list' AS url, {SQUEEZE.format('title')} AS title,
         'https://careers.acme' || id || '.com/jobs/' || CASE id % 4 WHEN 3 THEN 'a' ELSE 'b' END || id AS link FROM posts WHERE id % 4 <> 1 AND {_VALID} AND {_POSTING}"""),
     "posting_details": (posting_details, f"""WITH {POSTS}, d AS (SELECT *, CASE WHEN id % 3 = 0 AND length({_BODY.format(4)} || CASE WHEN body = '' THEN '' ELSE ' ' END || 'Apply now') >= 120 THEN repeat(body || ' ', 4)

@@ -90,6 +90,15 @@ def crawl_frontier(spark, sf_dir):
     return P.crawl_sites(pages.select("url"), edges)
 
 
+def crawl_redirects(spark, sf_dir):
+    """The crawl where every third page fails, every other one of these with an address that leads on: the page after it."""
+    pages = dedup.first_wins(table(spark, sf_dir, "pages", "page_id", "url", "html"), ["url"], ["page_id"])
+    edges = P.links(pages.select("url", "html")).where(U.is_web(C("link"))).select("url", "pos", "link")
+    after = pages.select((C("page_id") - 1).alias("page_id"), C("url").alias("after"))
+    outcomes = pages.join(after, "page_id", "left").select("url", (C("page_id") % 3 != 0).alias("ok"), F.when(C("page_id") % 6 == 0, C("after")).otherwise(F.when(C("page_id") % 3 != 0, C("url"))).alias("final_url"))
+    return P.crawl_with_redirects(pages.select("url"), edges, outcomes)
+
+
 def unwrap_redirects(spark, sf_dir):
     rows = table(spark, sf_dir, "pages", "page_id", "url")
     coded = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.regexp_replace(F.translate(F.base64(C("url").cast("binary")), "+/", "-_"), "=+$", ""))
@@ -169,6 +178,7 @@ QUERIES = {
         r AS (SELECT u, trim(h) AS h, lower({part(1)}) || '://' || {part(2)} AS root, regexp_extract({part(3)}, '^(.*/)', 1) AS dir, {part(3)} AS path FROM a)
         SELECT u AS url, count(*) AS n_links, max(CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(root, '^[^:]*:') || h WHEN starts_with(h, '/') THEN root || h
             WHEN starts_with(h, '?') THEN root || path || h WHEN h = '' THEN u ELSE root || CASE WHEN dir = '' THEN '/' ELSE dir END || h END) AS last_link FROM r GROUP BY u"""),
+    "crawl_redirects": (crawl_redirects, None),
     "crawl_frontier": (crawl_frontier, None),
     "unwrap_redirects": (unwrap_redirects, "SELECT page_id, regexp_replace(url, '#.*$', '') AS target FROM pages"),
     "unvisited_domains": (unvisited_domains, f"""

@@ -182,9 +182,20 @@ def query_variants(spark, sf_dir):
     return planning.query_variants(table(spark, sf_dir, "supplier", "s_name").withColumnRenamed("s_name", "company"))
 
 
+EMPLOYERS = ("Acme Data Labs", "acme  DATA", "Data Acme", "Acme", "Big Firm Ltd", "The Acme Data Co", "Acmedata", "big-firm", "Firm Big Ltd", "")
+HINTS = ("Acme Data Labs", "big firm", "Acme", "", "data")
+
+
+def _words_sql(name: str) -> str:
+    """The first four telling words of a company's name, as a list."""
+    plain = SQUEEZE.format(rf"regexp_replace(regexp_replace(lower(trim({name})), '[\-_+]+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g')")
+    stop = ", ".join(f"'{w}'" for w in sorted(fixed.COMPANY_STOP_WORDS))
+    return f"list_filter(string_split({plain}, ' '), lambda w: w NOT IN ({stop}) AND length(w) > 1)[1:4]"
+
+
 def employer_match(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
-    return rows.select("c_custkey", U.company_matches(C("c_mktsegment"), F.concat_ws(" ", "c_mktsegment", "c_name")).alias("same"), U.company_matches(C("c_name"), C("c_mktsegment")).alias("other"))
+    rows = table(spark, sf_dir, "customer", "c_custkey")
+    return rows.select("c_custkey", U.company_matches(pick(HINTS, "c_custkey div 10"), pick(EMPLOYERS, "c_custkey")).alias("same"))
 
 
 def summaries(spark, sf_dir):
@@ -322,7 +333,8 @@ QUERIES = {
         b AS (SELECT n_name AS query, r_name AS location, 'SEARCH' AS source, '' AS company, 1 AS p, n_nationkey AS x, r_regionkey AS y FROM nation, region), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
         SELECT CAST(row_number() OVER (ORDER BY p, x, y) AS INTEGER) AS step, query, location, source, company FROM u ORDER BY p, x, y LIMIT 40"""),
     "query_variants": (query_variants, f"""WITH f AS (SELECT s_name AS company, unnest(range(5)) AS i FROM supplier) SELECT company, CAST(i AS INTEGER) AS pos, replace([{", ".join(repr(q) for q in fixed.QUERY_VARIANTS)}][i + 1], '%s', company) AS query FROM f"""),
-    "employer_match": (employer_match, "SELECT c_custkey, true AS same, false AS other FROM customer"),
+    "employer_match": (employer_match, f"""WITH c AS (SELECT c_custkey, {_words_sql(pick_sql(HINTS, '(c_custkey // 10)'))} AS h, {_words_sql(pick_sql(EMPLOYERS, 'c_custkey'))} AS e FROM customer)
+        SELECT c_custkey, len(h) > 0 AND len(e) > 0 AND len(list_filter(h[1:2], lambda w: NOT contains(array_to_string(e, ' '), w))) = 0 AS same FROM c"""),
     "summaries": (summaries, f"""WITH {POSTS} SELECT id, 'Role: ' || CASE WHEN title = '' THEN 'Unknown role' ELSE title END || ' at ' || company || '.' || chr(10) || 'This role passed your entry-level keyword filters.' || chr(10) ||
         'Description highlight: ' || CASE WHEN body = '' THEN 'No description provided.' ELSE body END AS summary,
         'Connect your background to the ' || CASE WHEN title = '' THEN 'role' ELSE title END || ' responsibilities at ' || company || '.' AS point FROM posts"""),

@@ -29,6 +29,24 @@ def fetch_outcomes(answers: DataFrame, cache: DataFrame, *, url: str = "url", at
     return first.join(known, F.col("url") == F.col("_url"), "left").select("url", "attempt", outcome.alias("outcome"), "body_hash")
 
 
+def conditional_requests(pages: DataFrame, cache: DataFrame, *, url: str = "url") -> DataFrame:
+    """url, if_none_match and if_modified_since of the requests for the pages: what the cache(url, etag, last_modified, body_hash) has of the last answer; null where it has none."""
+    text = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    known = cache.groupBy(F.col("url").alias("_url")).agg(F.max(F.struct(text("etag").alias("etag"), text("last_modified").alias("last_modified"))).alias("x"))
+    return pages.select(F.col(url).alias("url")).distinct().join(known, F.col("url") == F.col("_url"), "left").select("url", F.col("x.etag").alias("if_none_match"), F.col("x.last_modified").alias("if_modified_since"))
+
+
+def next_cache(answers: DataFrame, cache: DataFrame, *, url: str = "url", attempt: str = "attempt", status: str = "status", body: str = "body", etag: str = "etag", last_modified: str = "last_modified") -> DataFrame:
+    """The cache after the answers: url, etag, last_modified and body_hash. A page whose body was fetched takes what its first answer says; others keep theirs."""
+    outcome = fetch_outcomes(answers, cache, url=url, attempt=attempt, status=status, body=body).where("outcome = 'fetched'").select(F.col("url").alias("_url"), F.col("attempt").alias("_attempt"), "body_hash")
+    said = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(n) for c, n in ((etag, "etag"), (last_modified, "last_modified"))]
+    given = answers.select(F.col(url).alias("url"), F.col(attempt).alias("_at"), *said)
+    fresh = outcome.join(given, (F.col("url") == F.col("_url")) & (F.col("_at") == F.col("_attempt")))
+    fresh = fresh.groupBy("url").agg(F.min(F.struct("etag", "last_modified", "body_hash")).alias("x")).select("url", "x.*")
+    kept = cache.select("url", "etag", "last_modified", "body_hash").join(fresh.select("url"), "url", "left_anti")
+    return kept.unionByName(fresh)
+
+
 def probe_endpoints(pages: DataFrame, *, url: str = "url") -> DataFrame:
     """The columns of pages with n, path and endpoint: the addresses at which a site may list its jobs, in the order of trial; none without scheme and host."""
     site = lambda k: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)", k)

@@ -8,7 +8,7 @@ import pytest
 from helpers import SF
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import fuzzy
+from ledgerloom.functions import fuzzy, html, jsonld
 from ledgerloom.operators import alike, changes, dedup, lifecycle, matching, pages, planning, reports, running
 from ledgerloom.plans import pages as plans, runs
 from ledgerloom.sources import commits, lines, tables
@@ -406,3 +406,68 @@ def test_nearest_vectors_are_the_plain_maximum(spark, rows, blocks):
         assert got[i][1] == pytest.approx(cosines[i].max(), abs=1e-9) and cosines[i, got[i][0]] == pytest.approx(cosines[i].max(), abs=1e-9) and got[i][0] != 40
     assert {i: got[i] for i, _ in odd} == {i: (None, -1.0) for i, _ in odd}
     assert len(got) == 306
+
+
+@pytest.mark.parametrize("most", [1, 4, 9])
+def test_crawl_follows_redirects_of_failed_pages(spark, most):
+    rng = random.Random(most)
+    names = [f"u{i:02d}" for i in range(25)]
+    links = {u: rng.choices(names, k=rng.randrange(8)) for u in names}
+    outcomes = {u: (rng.random() < 0.6, rng.choice([*names, "", None, "  "])) for u in names[:20]}
+    want = set()
+    for seed in names:
+        queue, seen = [(seed, 0)], {}
+        while queue and len(seen) < most:
+            url, depth = queue.pop(0)
+            if url in seen:
+                continue
+            ok, final = outcomes.get(url, (True, None))
+            final = (final or "").strip()
+            seen[url] = (seed, len(seen), url, depth, ok, final or url)
+            found = links[url] if ok else [final] if final else []
+            for v in found:
+                if v not in seen and v not in [x for x, _ in queue]:
+                    queue.append((v, depth + 1))
+        want |= set(seen.values())
+    edges = spark.createDataFrame([(u, p, v) for u, vs in links.items() for p, v in enumerate(vs)], "url string, pos int, link string")
+    ends = spark.createDataFrame([(u, ok, f) for u, (ok, f) in outcomes.items()], "url string, ok boolean, final_url string")
+    got = pages.crawl_with_redirects(spark.createDataFrame([(u,) for u in names], "url string"), edges, ends, max_pages=most).collect()
+    assert {(r.seed, r.n, r.url, r.depth, r.ok, r.final_url) for r in got} == want and len(got) == len(want)
+
+
+def test_redirects_without_failures_change_nothing(spark):
+    one, two = plans.crawl_frontier(spark, SF), plans.crawl_redirects(spark, SF)
+    assert {r.url for r in two.where("ok").collect()} <= {r.url for r in one.collect()} and two.where("NOT ok").count() > 0
+
+
+def test_openings_pass_a_normaliser(spark):
+    page = spark.createDataFrame([("https://e.com/careers", "<li class=job><h2 class=job-title>Data Engineer II</h2><a href=/jobs/1>x</a></li><li class=job><h2 class=job-title>Data Engineer III</h2><a href=/jobs/1>x</a></li>")], "url string, html string")
+    plain = lambda rows: rows.withColumn("title", F.regexp_replace("title", " I+$", ""))
+    assert pages.openings(page).count() == 2 and [r.title for r in pages.openings(page, normalise=plain).collect()] == ["Data Engineer"]
+
+
+def test_jsonld_in_the_jvm_is_the_parser(spark):
+    node = '{"@type": "JobPosting", "title": "A  B", "url": " /j "}'
+    blocks = ["", node, f"[{node}, [{node}], 5, null, \"x\"]", '{"@graph": [%s, {"@graph": [%s]}], "@type": ["x", "JOBPOSTING "], "sameAs": "/s"}' % (node, node), "{bad", '{"@type": null}', "7", '{"@type": "jobposting", "url": ""}', '{"@type": [], "@graph": "no"}', node.replace("A  B", "é\\u0041 &amp;")]
+    heads = ["<script type='application/ld+json'>", '<SCRIPT id=x type="Application/LD+JSON; v=1" >', "<script type=application/ld+json>", "<script>", '<script type="text/json">']
+    rng = random.Random(2)
+    rows = ["".join(rng.choice(heads) + rng.choice(blocks) + "</script>" + rng.choice(["", "<p>x</p>", "<!-- -->"]) for _ in range(rng.randrange(4))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, html string")
+    got = {r.i: [tuple(p) for p in r.x] for r in df.select("i", jsonld.postings(F.col("html")).alias("x")).collect()}
+    plan = df.select(jsonld.postings(F.col("html")))._jdf.queryExecution().executedPlan().toString()
+    for i, text in enumerate(rows):
+        found = [x for n in html.json_ld(html.parse(text)) if (x := html._ld_posting(n))]
+        assert got[i] == [(" ".join(x["title"].split()), x["link"]) for x in found], text
+    assert sum(map(len, got.values())) > 80 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_monitor_keeps_state_of_pages_outside_of_a_cycle(spark, tmp_path):
+    base = str(tmp_path / "m")
+    df = lambda *rows: spark.createDataFrame(rows, "url string, digest string, openings array<string>, at string").withColumn("observed_at", F.col("at").cast("timestamp"))
+    held = lambda t, *c: sorted(tuple(r) for r in commits.read(spark, base, t).select(*c).collect())
+    assert cycle.run_monitor(df(("a", "1", ["x", None, " "], "2024-01-01"), ("b", "1", None, "2024-01-01")), 1, base, most=2)
+    assert cycle.run_monitor(df(("a", "2", ["x", "y", "z"], "2024-01-02"), ("c", None, ["q"], "2024-01-02")), 2, base, most=2)
+    assert not cycle.run_monitor(df(("a", "9", [], "2024-01-05")), 2, base)
+    assert held("state", "url", "digest", "seen") == [("a", "2", ["x", "y"]), ("b", "1", [])]
+    assert held("audit", "url", "status", "new_openings_count", "batch") == [("a", "content_changed", 2, 2), ("a", "new_url_tracked", 1, 1), ("b", "ignored_no_jobs", 0, 1), ("c", "error", 0, 2)]
+    assert held("events", "url", "batch") == [("a", 1), ("a", 2)]
