@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerloom.llm import _text as X
 from ledgerloom.functions.columns import by_place, whole_row
-from ledgerloom.store import stash
+from ledgerloom.store import discard, stash
 
 WINDOW = 13
 #: Benchmark text in one broadcast block, at most.
 BLOCK_BYTES = 8 << 20
+#: Texts with a hit that are broadcast to be found again, at most (of some hundred bytes each); more are joined by shuffle.
+BROADCAST_TEXTS = 200_000
 
 HIT_SCHEMA = T.StructType(
     [
@@ -207,25 +209,35 @@ def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     block, after = next(blocks), next(blocks, None)
     if after is None:
         return context.broadcast(block), None
-    read, hits = docs.select(*_keys(F.col(text_col)), F.col(text_col).alias("text")), None
+    read, hits, written = docs.select(*_keys(F.col(text_col)), F.col(text_col).alias("text")), None, []
     while block is not None:
         held = context.broadcast(block)
         found = stash(read.mapInArrow(_hit_texts(held), _HIT), "hits")
         held.destroy()
         hits = found if hits is None else hits.unionByName(found)
         block, after = after, next(blocks, None)
+        written.append(found)
     # copies of a text have found the same, so a set has one element of each block
     sets = hits.groupBy("t1", "t2").agg(F.collect_set("spans").alias("spans"), F.collect_set("item_ids").alias("item_ids"))
-    return None, stash(sets.mapInArrow(_merge_hits, _HIT), "hits")
+    merged = stash(sets.mapInArrow(_merge_hits, _HIT), "hits")
+    discard(*written)
+    return None, merged
 
 
-def _beside(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
-    """row (the document), n_words, spans and item_ids."""
-    row = docs.select(whole_row(docs).alias("row"), *_keys(F.col(text_col)))
-    both = row.alias("r").join(hits.alias("h"), (F.col("r.t1") == F.col("h.t1")) & (F.col("r.t2") == F.col("h.t2")), "left")
-    plain = F.translate(F.col("row")[text_col], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    n_words = F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    return both.select("row", n_words.alias("n_words"), *[F.coalesce(F.col(f"h.{c}"), F.array().cast(HIT_SCHEMA[c].dataType)).alias(c) for c in ("spans", "item_ids")])
+def _n_words(text: Column) -> Column:
+    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(F.regexp_count(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+def _beside(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows (with t1 and t2) with spans and item_ids, empty arrays where nothing was hit."""
+    both = rows.alias("r").join(_few(hits).alias("h"), (F.col("r.t1") == F.col("h.t1")) & (F.col("r.t2") == F.col("h.t2")), "left")
+    return both.select("r.*", *[F.coalesce(F.col(f"h.{c}"), F.array().cast(HIT_SCHEMA[c].dataType)).alias(c) for c in ("spans", "item_ids")])
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of texts that were hit, broadcast if it is small, so that no document moves."""
+    return F.broadcast(table) if table.count() <= BROADCAST_TEXTS else table
 
 
 def _n_hit(spans: str) -> Column:
@@ -240,7 +252,8 @@ def find_hits(
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     block, hits = _search(read, benchmark, "text", item_col, item_text_col, window, block_bytes)
     if block is None:
-        return _beside(read, "text", hits).select("row.doc_id", "n_words", "spans", "item_ids")
+        counted = read.select("doc_id", _n_words(F.col("text")).alias("n_words"), *_keys(F.col("text")))
+        return _beside(counted, hits).select("doc_id", "n_words", "spans", "item_ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,9 +304,13 @@ def decontaminate(
 
     if block is not None:
         return places.mapInArrow(clean, places.schema).toDF(*docs.columns)
-    both = _beside(docs, text_col, hits)
+    rows = docs.select(whole_row(docs).alias("row"), *_keys(F.col(text_col)))
     if remove == "documents":
-        return both.where((F.size("spans") == 0) | (share * _n_hit("spans") < F.col("n_words"))).select("row.*")
+        counted = docs.select(_n_words(F.col(text_col)).alias("n_words"), *_keys(F.col(text_col)))
+        bad = counted.join(_few(hits.select("t1", "t2", _n_hit("spans").alias("n_hit"))), ["t1", "t2"]).where(share * F.col("n_hit") >= F.col("n_words"))
+        bad = stash(bad.select("t1", "t2").distinct(), "contaminated")
+        return rows.join(_few(bad), ["t1", "t2"], "left_anti").select("row.*")
+    both = _beside(rows, hits)
     found = both.select(*[F.col("row")[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("spans").alias("s"))
     return found.mapInArrow(cut_found, places.schema).toDF(*docs.columns)
 

@@ -63,6 +63,8 @@ BROADCAST_MEMBERS = 500_000
 BROADCAST_KEYS = 1_000_000
 #: Cells of the table of shingle counts (8 bytes each), and the parts that it is summed in.
 CELL_BITS, PARTS = 20, 64
+#: Tasks that add up the tables of a part, before one adds up theirs.
+SUMMED = 16
 
 _U = np.uint64
 
@@ -148,7 +150,8 @@ def _keys(h: np.ndarray, bounds: np.ndarray, bands: Bands, rarity: np.ndarray) -
         full = np.flatnonzero(count)
         rarest = np.minimum.reduceat(rarity[_cells(own[order])], np.concatenate(([0], np.cumsum(count[full])[:-1])))
         rank = np.full(len(count), np.iinfo(np.uint64).max, np.uint64)  # the rarest first, then the largest, then by content
-        rank[full] = (np.minimum(rarest, (1 << 23) - 1).astype(np.uint64) << _U(40)) | ((255 - np.minimum(count[full], 255)).astype(np.uint64) << _U(32)) | (content[full] >> _U(32))
+        graded = (np.log2(1.0 + rarest) * (1 << 17)).astype(np.uint64)  # in order at any size, in 23 bits
+        rank[full] = (graded << _U(40)) | ((255 - np.minimum(count[full], 255)).astype(np.uint64) << _U(32)) | (content[full] >> _U(32))
         rank = rank.reshape(len(member), groups)
         last = np.partition(rank, apart, axis=1)[:, apart]
         row, group = np.nonzero(rank <= last[:, None])
@@ -178,21 +181,23 @@ def _sketch(ngram: int):
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the parts, however many rows each has."""
+    """Sums of the parts (columns part and counts), however many rows each has."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = np.frombuffer(zlib.decompress(counts), np.int64)
             total[part] = total[part] + own if part in total else own
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["part", "counts"])
 
 
 def shingle_counts(sketched: DataFrame) -> np.ndarray:
     """The table of shingle counts over all texts: 2^CELL_BITS cells, whatever the corpus."""
-    rows = sketched.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(_add, "part int, counts binary").collect()
+    tables = sketched.where("part IS NOT NULL").select("part", "counts", (F.spark_partition_id() % SUMMED).alias("some"))
+    summed = tables.repartition("part", "some").select("part", "counts").mapInArrow(_add, "part int, counts binary")  # a tree: no task adds the tables of all others
+    rows = summed.repartition("part").mapInArrow(_add, "part int, counts binary").collect()
     table = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.int64)
     for r in rows:
-        table[r.part] = np.frombuffer(r.counts, np.int64)
+        table[r.part] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return table.ravel()
 
 
