@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import urls as U
 from ledgerloom.operators.running import running_total
+from ledgerloom.store import stash
 
 
 def top(df: DataFrame, key: str | Column, n: int, *, pos: str, name: str = "name") -> DataFrame:
@@ -32,17 +33,23 @@ def company_stats(active: DataFrame, new: DataFrame, *, company: str = "company"
     return flagged.groupBy(company).agg(F.sum("a").alias("active_roles"), F.sum("b").alias("new_roles"), F.min_by(url, F.struct("b", pos)).alias("career_url"))
 
 
+#: Events that are ordered by one task, at most.
+FEW_EVENTS = 10_000
+
+
 def event_cap(df: DataFrame, per_event: int, budget: int, *, event: str, event_pos: str, pos: str, max_events: int | None = None) -> DataFrame:
     """The first rows of each event in order, then as many rows over all events as the budget lets through.
 
-    The budget is a running sum over the events' counts, over ranges of events; a partly covered event keeps its first rows.
+    The budget is a running sum over the events' counts, over ranges of events; a partly covered event keeps its first rows. Every event
+    uses some of it, so of a budget up to FEW_EVENTS no later events are looked at.
     """
     if max_events is not None:
         firsts = df.groupBy(event).agg(F.min(event_pos).alias("_at")).orderBy("_at", event).limit(max_events)
         df = df.join(firsts.select(event), event, "left_semi")
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(event).orderBy(pos))).where(F.col("_r") <= per_event)
     sizes = ranked.groupBy(F.col(event).alias("_event")).agg(F.min(event_pos).alias("_at"), F.count(F.lit(1)).alias("_n"))
-    lead = running_total(sizes, "_n", ["_at", "_event"], name="_before").select("_event", "_before").where(F.col("_before") < budget)
+    sizes = sizes.orderBy("_at", "_event").limit(budget) if budget <= FEW_EVENTS else sizes
+    lead = running_total(stash(sizes, "sizes"), "_n", ["_at", "_event"], name="_before").select("_event", "_before").where(F.col("_before") < budget)
     out = ranked.join(lead, F.col(event) == F.col("_event")).where(F.col("_before") + F.col("_r") <= budget)
     return out.select(*df.columns)
 
