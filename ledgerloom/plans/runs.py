@@ -260,7 +260,8 @@ def next_run(spark, sf_dir):
 
 
 def seed_rows(spark, sf_dir):
-    return L.seed_rows(spark, "2024-01-01 12:00:00")
+    """A sample row for each supplier."""
+    return L.seed_rows(table(spark, sf_dir, "supplier", "s_suppkey").select(C("s_suppkey").alias("id")), "2024-01-01 12:00:00")
 
 
 def _seen_sql(a: str, b: str) -> str:
@@ -347,5 +348,5 @@ QUERIES = {
     "cache_freshness": (cache_freshness, "SELECT event_id, ts >= TIMESTAMP '2024-01-14 12:00:00' AS fresh FROM events"),
     "next_run": (next_run, "SELECT printf('run-20240201030405-%06d', max(user_id) + 1) AS run_id, CAST(max(user_id) + 1 AS INTEGER) AS run_iteration, TIMESTAMP '2024-02-01 03:04:05' AS run_timestamp FROM events"),
     "seed_rows": (seed_rows, """SELECT TIMESTAMP '2024-01-01 12:00:00' - i * INTERVAL 1 HOUR AS timestamp, ['Associate AI Engineer', 'Junior Software Engineer', 'Graduate Data Analyst', 'Trainee ML Engineer'][i % 4 + 1] AS title,
-        'Company ' || chr(CAST(65 + i % 6 AS INTEGER)) AS company, ['new', 'applied', 'rejected', 'interview'][i % 4 + 1] AS status FROM range(12) t(i)"""),
+        'Company ' || chr(CAST(65 + i % 6 AS INTEGER)) AS company, ['new', 'applied', 'rejected', 'interview'][i % 4 + 1] AS status FROM (SELECT s_suppkey AS i FROM supplier)"""),
 }

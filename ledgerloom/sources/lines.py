@@ -83,11 +83,10 @@ def json_object(c: Column) -> Column:
     return F.coalesce(F.when(is_object(c), c), F.when((part != "") & is_object(part), part))
 
 
-def seed_rows(spark: SparkSession, now) -> DataFrame:
-    """Twelve sample rows: statuses and titles repeat by four, companies by six, times step back an hour."""
+def seed_rows(ids: DataFrame, now) -> DataFrame:
+    """A sample row for each id, a whole number from 0: statuses and titles repeat by four, companies by six, times step back an hour. Twelve ids are the usual sample."""
     at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(values) + 1).cast("int"))
-    rows = spark.range(12)
-    return rows.select(
+    return ids.select(
         (F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.col("id").cast("int"))).alias("timestamp"),
         at(("Associate AI Engineer", "Junior Software Engineer", "Graduate Data Analyst", "Trainee ML Engineer")).alias("title"),
         at(tuple(f"Company {k}" for k in "ABCDEF")).alias("company"),
