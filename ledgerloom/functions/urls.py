@@ -75,8 +75,8 @@ def query_value(c: Column, name: str) -> Column:
 
 
 def _bing_target(raw: Column) -> Column:
-    """The address coded in a redirect of Bing; empty if it has none that can be read."""
-    coded = F.regexp_replace(F.coalesce(query_value(raw, "u"), F.lit("")), "^a1", "")
+    """The address coded in a redirect of Bing; empty if it has none that can be read. Line breaks and tabs, as of base64 in lines, are no part of it."""
+    coded = F.regexp_replace(F.regexp_replace(F.coalesce(query_value(raw, "u"), F.lit("")), r"[\t\r\n]", ""), "^a1", "")
     padded = T.bound(coded, lambda x: F.rpad(x, (F.ceil(F.length(x) / 4) * 4).cast("int"), F.lit("=")))
     return F.trim(F.coalesce(F.try_to_binary(F.translate(padded, "-_", "+/"), F.lit("base64")).cast("string"), F.lit("")))
 

@@ -1,9 +1,11 @@
 """Column functions against plain Python on fixtures and generated text."""
 
+import base64 as b64
 import hashlib
 import re
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import fixed, fuzzy, html, scores as S, text as T, urls as U
 from ledgerloom.operators import pages as P
 from ledgerloom.operators import matching as M
+from ledgerloom.plans import pages as plans
 
 
 def values(spark, column, rows, *names):
@@ -60,6 +63,23 @@ def test_redirects(spark):
     assert values(spark, U.unwrapped(F.col("a")), links) == ["https://e.com/a?b=1", "https://e.com/j", "https://e.com/", "https://e.com/a", "", ""]
 
 
+def test_redirects_coded_in_lines(spark):
+    long = ["https://www.cheap-pills.example.com/en/9883?utm_source=feed", "https://e.com/" + "é" * 90]
+    links = [f"https://www.bing.com/ck/a?x=1&u=a1{b64.urlsafe_b64encode(x.encode()).decode().rstrip('=')}" for x in long]
+    lines = [f"https://www.bing.com/ck/a?x=1&u=a1{b64.encodebytes(x.encode()).decode().rstrip().rstrip('=').translate(str.maketrans('+/', '-_'))}" for x in long]
+    assert all("\n" in x for x in lines)
+    assert values(spark, U.unwrapped(F.col("a")), links + lines + [x.replace("\n", "\r\n") for x in lines]) == long * 3
+
+
+def test_unwrapped_pages_with_long_urls_agree_with_sql(spark, tmp_path):
+    rows = [(i, f"https://www.{'long' * (i % 30)}.example.com/en/{i}?x=1#top") for i in range(240)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    query, sql = plans.QUERIES["unwrap_redirects"]
+    got = {r.page_id: r.target for r in query(spark, str(tmp_path)).collect()}
+    want = duckdb.connect().sql(sql.replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert got == dict(want) and len(got) == 240
+
+
 def test_company_names(spark):
     links = ["https://jobs.lever.co/acme-labs/1", "https://jobs.careem.com/x", "https://10pearls.com/careers", "https://acme.breezy.hr/p/1", "https://e.com/?company=Big%20Co", ""]
     assert values(spark, U.company_name(F.lit(""), F.col("a")), links) == ["Acme Labs", "Careem", "10Pearls", "Acme", "E", "Unknown"]
