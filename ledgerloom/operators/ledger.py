@@ -123,11 +123,11 @@ def rgb(colour: Column) -> Column:
 
 
 def column_letter(index: Column) -> Column:
-    """The letters of a sheet's column, from 1 on, up to 18,278 (ZZZ)."""
-    n = F.greatest(F.lit(1), index)
-    letter = lambda x: F.char(65 + F.pmod(x - 1, F.lit(26)))
-    two, three = F.floor((n - 1) / 26), F.floor((F.floor((n - 1) / 26) - 1) / 26)
-    return F.concat(F.when(three > 0, letter(three)).otherwise(""), F.when(two > 0, letter(two)).otherwise(""), letter(n))
+    """The letters of a sheet's column, from 1 on, for any whole number."""
+    n = F.greatest(F.lit(1), index.cast("long"))
+    firsts = [(26 ** (k + 1) - 1) // 25 for k in range(14)]  # the first column that has k + 1 letters
+    letters = [F.when(n >= first, F.char(65 + F.call_function("div", n - first, F.lit(26**k)) % 26)) for k, first in enumerate(firsts)]
+    return F.concat_ws("", *reversed(letters))
 
 
 def company_tab(name: Column) -> Column:

@@ -3,14 +3,15 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import SF
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fuzzy, html, jsonld
-from ledgerloom.operators import alike, changes, dedup, lifecycle, matching, pages, planning, reports, running
-from ledgerloom.plans import pages as plans, runs
+from ledgerloom.operators import alike, changes, dedup, ledger, lifecycle, matching, pages, planning, reports, running
+from ledgerloom.plans import ledger as ledger_plans, pages as plans, runs
 from ledgerloom.sources import commits, lines, tables
 from ledgerloom.streaming import cycle, sites
 
@@ -471,3 +472,26 @@ def test_monitor_keeps_state_of_pages_outside_of_a_cycle(spark, tmp_path):
     assert held("state", "url", "digest", "seen") == [("a", "2", ["x", "y"]), ("b", "1", [])]
     assert held("audit", "url", "status", "new_openings_count", "batch") == [("a", "content_changed", 2, 2), ("a", "new_url_tracked", 1, 1), ("b", "ignored_no_jobs", 0, 1), ("c", "error", 0, 2)]
     assert held("events", "url", "batch") == [("a", 1), ("a", 2)]
+
+
+def plain_letter(index):
+    out, n = "", max(1, index)
+    while n > 0:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def test_column_letters_of_any_number(spark):
+    numbers = [-3, 0, 1, 26, 27, 702, 703, 18278, 18279, 90_000, 475_254, 475_255, 900_000, 2**31, 2**53 + 1, 2**63 - 1, *random.Random(3).sample(range(10**7), 200)]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", ledger.column_letter(F.col("n")).alias("x")).collect()
+    assert [r.x for r in rows] == [plain_letter(r.n) for r in rows]
+
+
+def test_presentation_agrees_with_sql_past_zzz(spark, tmp_path):
+    keys = [*range(18_270, 18_290), 90_000, 475_254, 475_255, 899_999, 900_000]
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in keys], "c_custkey long, c_name string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    query, sql = ledger_plans.QUERIES["presentation"]
+    got = {r.c_custkey: (r.colour, r.light, r.letter, r.tab) for r in query(spark, str(tmp_path)).collect()}
+    want = duckdb.connect().sql(sql.replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")).df()
+    assert got == {r.c_custkey: (r.colour, r.light, r.letter, r.tab) for r in want.itertuples()} and len(got) == len(keys)
